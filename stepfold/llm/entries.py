@@ -8,24 +8,47 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, mixing, simhash
+from . import ann, bpe, exact_dedup, langid, licenses, mixing, pii, secret_scan, simhash, substring
 from .common import table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest_columns(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(table(spark, sf_dir, "documents"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    best = F.get("found", F.lit(0))
+    each = F.transform("found", lambda x: F.concat_ws(":", x["license"], x["first"].cast("string"), x["end"].cast("string")))
+    return found.select("doc_id", best["license"].alias("license"), best["coverage"].alias("coverage"), F.size("found").alias("n_licenses"), F.array_join(each, ",").alias("spans"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest_columns(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(~langid.held_out()))
@@ -39,9 +62,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
         "op2_mixing": op2_mixing,
+        "op3_nearest": op3_nearest,
         "op4_byte_bpe": op4_byte_bpe,
+        "op5_repeats": op5_repeats,
+        "op6_licenses": op6_licenses,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_secrets": op8_secrets,
         "op9_language_id": op9_language_id,
         "op10_simhash": op10_simhash,
     }
