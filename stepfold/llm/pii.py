@@ -30,7 +30,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import cut, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -141,50 +141,61 @@ def _contexts(text: Column, reach: int, term: str) -> Column:
     return F.concat(*map(of, KINDS))
 
 
-#: A text that no pattern can match has none of these.
-_ANY = r"@|\+[0-9]|[0-9]\.[0-9]|[0-9][0-9\x20-]{14}"
+def _possible(text: Column) -> Column:
+    """False for texts that no pattern can match; most texts end at the cheap first look."""
+    return text.rlike("[@+0-9]") & text.rlike(r"@|\+[0-9]|[0-9]\.[0-9]|[0-9][0-9\x20-]{14}")
 
 
-def disclosing_terms(documents: DataFrame, text_col: str = "text", reach: int = 60, support: int = 3, threshold: float = 0.9, shortest: int = 4) -> DataFrame:
+def _key(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+
+
+def located(documents: DataFrame, text_col: str = "text", reach: int = 60, shortest: int = 4) -> DataFrame:
+    """k1, k2, base, near: a row for each row that may hold an entity.
+
+    ``near`` is the array of (entity, term, start, end) around its entities.  It is
+    computed once, into the shared folder, as counts and spans both need it.
+    """
+    text = documents.select(text_or_empty(text_col).alias("text")).filter(_possible(F.col("text")))
+    near = _contexts(F.col("text"), reach, rf"\p{{L}}{{{shortest},}}")
+    return cut(text.select(*_key(F.col("text")), base_spans(F.col("text")).alias("base"), near.alias("near")).filter(F.size("base") > 0))
+
+
+def disclosing_terms(documents: DataFrame, found: DataFrame, text_col: str = "text", support: int = 3, threshold: float = 0.9, shortest: int = 4) -> DataFrame:
     """(entity, term, n_both, n_entity, n_term, disclosure) of the terms that disclose an entity.
 
-    The number of documents is one number; everything else stays distributed.
+    ``found`` is what ``located`` gives.  The number of documents is one number;
+    everything else stays distributed.
     """
-    term = rf"\p{{L}}{{{shortest},}}"
-    text = documents.select(text_or_empty(text_col).alias("text"))
-    near = text.filter(F.col("text").rlike(_ANY)).select(_contexts(F.col("text"), reach, term).alias("c"))
-    both = near.select(F.explode(F.array_distinct(F.transform("c", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x"))
+    both = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x"))
     both = both.groupBy("x.entity", "x.term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
-    entity = near.select(F.explode(F.array_distinct(F.transform("c", lambda x: x["entity"]))).alias("e")).groupBy("e").agg(F.count("*").alias("n_entity"))
-    words = text.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(term), F.lit(0)))).alias("t")).groupBy("t").agg(F.count("*").alias("n_term"))
+    entity = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("e")).groupBy("e").agg(F.count("*").alias("n_entity"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(text_col)), F.lit(rf"\p{{L}}{{{shortest},}}"), F.lit(0)))
+    words = documents.select(F.explode(words).alias("t")).groupBy("t").agg(F.count("*").alias("n_term"))
     n = float(max(documents.count(), 1))
     content = -F.log(F.least(F.col("n_entity") / n, F.lit(1.0)))
     pmi = F.log(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term")))
     # where an entity is in every document nothing more can be disclosed
     degree = F.when(content > 0, pmi / content).otherwise(0.0)
-    joined = both.join(words, F.col("term") == F.col("t")).filter(F.col("n_both") * 50 > F.col("n_term")).join(entity, F.col("entity") == F.col("e"))
+    joined = both.join(words, F.col("term") == F.col("t")).join(entity, F.col("entity") == F.col("e"))
     return joined.select("entity", "term", "n_both", "n_entity", "n_term", degree.alias("disclosure")).filter(F.col("disclosure") >= threshold)
 
 
-def _key(text: Column) -> list[Column]:
-    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
-
-
 def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 60, shortest: int = 4, **options) -> DataFrame:
-    """doc_id, text, base and terms (arrays of (kind, start, end)): a row for each row.
+    """doc_id, k1, k2, base and terms (arrays of (kind, start, end)): a row for each row.
 
-    What a text discloses depends on the text alone, so rows meet their terms by a
+    What a text discloses depends on the text alone, so rows meet their spans by a
     128-bit key of the text and copies are looked at together.
     """
-    text = text_or_empty(text_col)
-    told = disclosing_terms(documents, text_col, reach, shortest=shortest, **options).select(F.col("entity").alias("e"), F.col("term").alias("t"))
-    at = documents.filter(text.rlike(_ANY)).select(*_key(text), F.explode(_contexts(text, reach, rf"\p{{L}}{{{shortest},}}")).alias("x")).select("k1", "k2", "x.*")
+    seen = located(documents, text_col, reach, shortest)
+    told = disclosing_terms(documents, seen, text_col, shortest=shortest, **options).select(F.col("entity").alias("e"), F.col("term").alias("t"))
+    at = seen.select("k1", "k2", F.explode("near").alias("x")).select("k1", "k2", "x.*")
     hit = at.join(told, (F.col("entity") == F.col("e")) & (F.col("term") == F.col("t")), "left_semi")
     terms = hit.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("terms"))
+    spans = seen.select("k1", "k2", "base").dropDuplicates(["k1", "k2"]).join(terms, ["k1", "k2"], "left")
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    base = F.when(text.rlike(_ANY), base_spans(text)).otherwise(none)
-    rows = documents.select(F.col(id_col).alias("doc_id"), *_key(text), base.alias("base"))
-    return rows.join(terms, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "base", F.coalesce("terms", none).alias("terms"))
+    rows = documents.select(F.col(id_col).alias("doc_id"), *_key(text_or_empty(text_col)))
+    return rows.join(spans, ["k1", "k2"], "left").select("doc_id", "k1", "k2", F.coalesce("base", none).alias("base"), F.coalesce("terms", none).alias("terms"))
 
 
 def digest_columns(found: DataFrame) -> DataFrame:

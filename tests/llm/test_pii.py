@@ -57,7 +57,7 @@ def test_disclosing_terms(spark):
     rows = [(i, f"the report by Quillfeather reached q.f@example.org on day {'abcdefghij'[i % 10] * 5} with the others") for i in range(6)]
     rows += [(10 + i, f"the report reached others on day {i} with nothing protected") for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    terms = {(r["entity"], r["term"]) for r in pii.disclosing_terms(df).collect()}
+    terms = {(r["entity"], r["term"]) for r in pii.disclosing_terms(df, pii.located(df)).collect()}
     assert terms == {("email:q.f@example.org", "quillfeather")}
     found = {r["doc_id"]: r["spans"] for r in pii.digest_columns(pii.find(df)).collect()}
     assert found[0] == "email:35:50,term:14:26" and found[10] == ""
