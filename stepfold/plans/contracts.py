@@ -107,10 +107,16 @@ def content_leakage(spark, d):
     probe = items.select("item_id", "item", F.array_join(F.slice(words(F.col("item")), 2, 5), " ").alias("probe"), F.size(words(F.col("item"))).alias("n"))
     spots = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 5), " "))
     grams = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(spots)).alias("g"))
-    long = grams.join(F.broadcast(probe.filter("n > 6")), F.col("g") == F.col("probe")).select("doc_id", "item_id", "item").distinct()
+    long = grams.join(probe.filter("n > 6"), F.col("g") == F.col("probe")).select("doc_id", "item_id", "item").distinct()
     found = long.join(docs, "doc_id").filter(F.contains("text", "item")).select("doc_id", "item_id")
-    few = probe.filter("n <= 6")  # too short for a probe: rare, and compared directly
-    return found.union(docs.join(F.broadcast(few), F.contains("text", "item")).select("doc_id", "item_id"))
+    short = probe.filter("n <= 6").select("item_id", "item").limit(1001).collect()
+    if len(short) > 1000:
+        raise ValueError("over 1000 items are too short for a probe")
+    if not short:
+        return found
+    listed = F.array(*(F.struct(F.lit(r["item_id"]).alias("item_id"), F.lit(r["item"]).alias("item")) for r in short))
+    hits = docs.select("doc_id", F.explode(F.filter(listed, lambda x: F.contains(F.col("text"), x["item"]))).alias("x"))
+    return found.union(hits.select("doc_id", "x.item_id"))
 
 
 @query(

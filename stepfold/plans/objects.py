@@ -303,3 +303,34 @@ def protocol_guards(spark, d):
 
     g = objects(spark, d).groupBy("step_id").agg(F.count_if("matched").alias("m"), F.min("score").alias("s"))
     return violations(g, ["step_id"], [Rule("too_few_matched", F.expr("m >= 5")), Rule("low_score", F.expr("s >= 0.01"))]).select("step_id", "rule")
+
+
+@query("q88_intrinsics_and_boxes", f"""{W} SELECT step_id, idx, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, gcx / 640)), 9) AS cx, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (gx2 - gx1) / 640)), 9) AS w,
+    round(greatest(0.0::DOUBLE, gx1 - (gx2 - gx1) * 0.1::DOUBLE), 9) AS crop_x1, round(least(640.0::DOUBLE, gx2 + (gx2 - gx1) * 0.1::DOUBLE), 9) AS crop_x2, round((pred_depth - gt_depth) / greatest((abs(pred_depth) + abs(gt_depth)) / 2, 1e-8::DOUBLE), 9) AS gap FROM objects""")
+def intrinsics_and_boxes(spark, d):
+    from ..functions.scores import signed_gap
+
+    o = objects(spark, d)
+    unit, crop = boxes.to_center_size(F.col("gt"), HEIGHT, WIDTH), boxes.padded(F.col("gt"), 0.1, HEIGHT, WIDTH)
+    return o.select("step_id", "idx", r9(unit["cx"]).alias("cx"), r9(unit["w"]).alias("w"), r9(crop["x1"]).alias("crop_x1"), r9(crop["x2"]).alias("crop_x2"), r9(signed_gap(F.col("pred_depth"), F.col("gt_depth"))).alias("gap"))
+
+
+@query("q89_median_and_visibility", f"""{W}, v AS (SELECT step_id, median(gt_depth) AS med, median(gt_depth / pred_depth) FILTER (pred_depth > 0.05 AND pred_depth < 20) AS scale,
+    count(*) FILTER ({iou_sql('g', 'p')} >= 0.25) AS visible FROM objects GROUP BY 1) SELECT step_id, round(med, 9) AS med, round(scale, 9) AS scale, visible FROM v""")
+def median_and_visibility(spark, d):
+    ok = F.col("pred_depth").between(0.05, 20)
+    seen = boxes.iou(F.col("gt"), F.col("pred")) >= 0.25
+    return objects(spark, d).groupBy("step_id").agg(r9(F.median("gt_depth")).alias("med"), r9(F.median(F.when(ok, F.col("gt_depth") / F.col("pred_depth")))).alias("scale"), F.count_if(seen).alias("visible"))
+
+
+@query("q90_proposal_acceptance", f"""{W}, {CROSS_SQL}, c AS (SELECT step_id, g.idx AS gt_idx, p.idx AS pred_idx, 0.75::DOUBLE + 0.25 * (1 - p.score) AS conf, sqrt((g.gcx - p.pcx) * (g.gcx - p.pcx) + (g.gcy - p.pcy) * (g.gcy - p.pcy)) / {DIAG} AS dist,
+      (g.label = p.label)::INT AS eq, {iou_sql('g.g', 'p.p')} AS iou FROM x), k AS (SELECT *, round(conf - 0.4 * dist + 0.1 * eq, 9) AS score FROM c WHERE conf >= 0.8 AND dist <= 0.35 AND (iou >= 0.15 OR (iou > 0 AND dist <= 0.08))),
+    r AS (SELECT *, row_number() OVER (PARTITION BY step_id, gt_idx ORDER BY score DESC, pred_idx) AS n FROM k) SELECT step_id, gt_idx, pred_idx, score FROM r WHERE n = 1""")
+def proposal_acceptance(spark, d):
+    g, p = F.col("g"), F.col("p")
+    conf, dist, iou = 0.75 + 0.25 * (1 - p["score"]), boxes.center_distance(g["gt"], p["pred"], HEIGHT, WIDTH), boxes.iou(g["gt"], p["pred"])
+    c = _cross(spark, d).select("step_id", g["idx"].alias("gt_idx"), p["idx"].alias("pred_idx"), conf.alias("conf"), dist.alias("dist"), (g["label"] == p["label"]).cast("int").alias("eq"), iou.alias("iou"))
+    c = c.filter("conf >= 0.8 AND dist <= 0.35 AND (iou >= 0.15 OR (iou > 0 AND dist <= 0.08))")
+    score = r9(F.col("conf") - 0.4 * F.col("dist") + 0.1 * F.col("eq"))
+    best = c.groupBy("step_id", "gt_idx").agg(F.min(F.struct((-score).alias("inv"), "pred_idx")).alias("x"))
+    return best.select("step_id", "gt_idx", "x.pred_idx", (0.0 - F.col("x.inv")).alias("score"))

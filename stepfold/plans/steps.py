@@ -139,7 +139,7 @@ def plan_fanout(spark, d):
         return F.array(*map(F.lit, xs))
 
     files = F.when(F.col("dataset") == "a", names("rgb.zip", "depth.zip")).when(F.col("dataset") == "b", names("scene.sens")).otherwise(names("pose.txt", "depth.png", "meta.json"))
-    return p.distinct().select("dataset", F.concat(F.col("scene").cast("string"), F.lit("/"), F.explode(files)).alias("path"))
+    return p.distinct().select("dataset", F.explode(F.transform(files, lambda f: F.concat(F.col("scene").cast("string"), F.lit("/"), f))).alias("path"))
 
 
 @query(
