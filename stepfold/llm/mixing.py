@@ -54,7 +54,7 @@ def targets(sizes: list[int], weights: list[float], max_epochs: float = 3) -> li
     rest, weight = float(sum(sizes)), float(sum(weights))
     for i in sorted(range(len(sizes)), key=lambda k: sizes[k] / weights[k]):
         share = rest * weights[i] / weight if weight > 0 else 0.0
-        out[i] = min(max_epochs * sizes[i], share)
+        out[i] = min(float(max_epochs * sizes[i]), share)
         rest -= out[i]
         weight -= weights[i]
     return out
