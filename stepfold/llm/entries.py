@@ -77,6 +77,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_mixing": r"""
+            WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+            d AS (
+              SELECT doc_id, source, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                -ln((('0x' || left(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 13))::UBIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+                / (0.1::DOUBLE + 0.9::DOUBLE * length(regexp_replace(text, '[^A-Za-z ]+', '', 'g')) / greatest(length(text), 1)) AS key FROM t),
+            s AS (SELECT source, sum(size)::BIGINT AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+            o AS (
+              SELECT *, (sum(n) OVER ())::DOUBLE - 3 * coalesce(sum(n) OVER before, 0)::DOUBLE AS rest, (sum(w) OVER ())::DOUBLE - coalesce(sum(w) OVER before, 0)::DOUBLE AS weight
+              FROM s WINDOW before AS (ORDER BY n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+            c AS (SELECT *, bool_and(3 * n <= rest * w / weight) OVER (ORDER BY n / w, source NULLS LAST ROWS UNBOUNDED PRECEDING) AS capped FROM o),
+            l AS (SELECT source, n, CASE WHEN capped THEN (3 * n)::DOUBLE ELSE
+                ((sum(n) OVER ())::DOUBLE - 3 * coalesce(sum(n) FILTER (capped) OVER (), 0)::DOUBLE) * w / ((sum(w) OVER ())::DOUBLE - coalesce(sum(w) FILTER (capped) OVER (), 0)::DOUBLE) END AS target FROM c),
+            e AS (SELECT *, CASE WHEN n > 0 THEN floor(target / n)::BIGINT ELSE 0 END AS epochs FROM l),
+            p AS (
+              SELECT d.*, n, target, epochs, target - epochs * n AS remainder, (sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS upto
+              FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+            SELECT doc_id, size, n AS source_size, target, size * (epochs + CASE WHEN size > 0 AND (upto <= remainder OR (remainder - (upto - size) > 0 AND upto - remainder < remainder - (upto - size))) THEN 1 ELSE 0 END)::BIGINT AS taken FROM p
+        """,
         "op7_exact_dedup": r"""
             WITH d AS (
               SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),

@@ -47,16 +47,20 @@ def uniform(id_col: str, seed: str) -> Column:
 def targets(sizes: list[int], weights: list[float], max_epochs: float = 3) -> list[float]:
     """Target words of each source.
 
-    Sources reach their caps in the order of cap / weight, so one pass in that
-    order finds who is capped: the level ``rest / weight of rest`` only rises.
+    Sources reach their caps in the order of size / weight.  In that order the level
+    (what is left to share over the weight left) only rises, so the capped ones come
+    first, and the first one below its cap ends them.
     """
-    out = [0.0] * len(sizes)
+    order = sorted(range(len(sizes)), key=lambda k: sizes[k] / weights[k])
     rest, weight = float(sum(sizes)), float(sum(weights))
-    for i in sorted(range(len(sizes)), key=lambda k: sizes[k] / weights[k]):
-        share = rest * weights[i] / weight if weight > 0 else 0.0
-        out[i] = min(float(max_epochs * sizes[i]), share)
+    out = [0.0] * len(sizes)
+    while order and max_epochs * sizes[order[0]] <= rest * weights[order[0]] / weight:
+        i = order.pop(0)
+        out[i] = float(max_epochs * sizes[i])
         rest -= out[i]
         weight -= weights[i]
+    for i in order:
+        out[i] = rest * weights[i] / weight
     return out
 
 
@@ -94,7 +98,7 @@ def mix(
     schema = T.StructType([T.StructField("s", kind), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("epochs", T.LongType()), T.StructField("remainder", T.DoubleType())])
     plan = []
     for (source, n), target in zip(found, goal, strict=True):
-        epochs = int(target // n) if n else 0
+        epochs = int(target / n) if n else 0
         plan.append((source, n, target, epochs, target - epochs * n))
     # parts has at most `buckets` rows a source, plan one: both proven bounds
     before = F.sum("words").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
