@@ -9,9 +9,11 @@ block of the index is scored by table look-ups divided by the stored norms, the
 best ``keep`` of each block go on and are reranked by the exact cosine in double
 precision, and the best ``k`` over all blocks are the result.
 
-Rows are dealt to blocks by a hash of the id, ``block_rows`` on average; a query
-block meets each index block once.  Nothing is gathered on the driver but the
-sample.
+Equal vectors are indexed once, with the k + 1 smallest of their ids: no result
+needs more of them, and a very common vector cannot crowd others out of the
+candidates.  Vectors are dealt to blocks by their hash, ``block_rows`` on average;
+a query block meets each index block once.  Nothing is gathered on the driver but
+the sample.
 
 Defined results: vectors that are null, zero, of another length than most, or hold
 null or non-finite components take no part, nor do rows with a null id; rows that
@@ -41,7 +43,7 @@ class Codebooks:
         self.dots = self.flat @ self.flat.T
 
     @classmethod
-    def fit(cls, x: np.ndarray, books: int = 8, words: int = 64, rounds: int = 8, seed: int = 0) -> Codebooks:
+    def fit(cls, x: np.ndarray, books: int = 16, words: int = 256, rounds: int = 6, seed: int = 0) -> Codebooks:
         rng = np.random.default_rng(seed)
         rest, out = x.astype(np.float32).copy(), []
         for _ in range(books):
@@ -118,34 +120,41 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit(rows: DataFrame, sample: int = 20_000, **options) -> Codebooks | None:
-    """Codebooks from at most ``sample`` vectors, those of the least hashes."""
-    total = rows.count()
+def fit(rows: DataFrame, sample: int = 20_000, numbers: int = 1 << 24, **options) -> Codebooks | None:
+    """Codebooks from a sample by hash: at most ``sample`` vectors and ``numbers`` components."""
+    total, first = rows.count(), rows.select(F.size("v").alias("n")).first()
     if not total:
         return None
-    share = min(1.0, sample / total)
-    draw = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.filter(draw <= share).limit(2 * sample).toPandas()
-    if picked.empty:
-        picked = rows.limit(sample).toPandas()
-    return Codebooks.fit(_unit(np.array(picked["v"].tolist())), **options)
+    most = max(1, min(sample, numbers // first["n"]))
+    draw = F.pmod(F.xxhash64("v"), F.lit(1 << 30)) / float(1 << 30)
+    picked = rows.filter(draw <= min(1.0, most / total)).select("v").limit(most).toArrow()
+    if not picked.num_rows:
+        picked = rows.select("v").limit(most).toArrow()
+    flat = picked.column("v").combine_chunks().flatten().to_numpy()
+    return Codebooks.fit(_unit(flat.reshape(-1, first["n"])), **options)
 
 
-def index(rows: DataFrame, books: Codebooks, beam: int = 4) -> DataFrame:
-    """vec_id, v, codes, norm of every vector."""
-    kind = rows.schema["vec_id"].dataType.simpleString()
-    raw = books.books
+def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
+    """v, ids: each different vector with its k + 1 smallest ids (the limit is applied before the shuffle too)."""
+    rank = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    return rows.withColumn("_r", rank).filter(F.col("_r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+
+
+def index(vectors: DataFrame, books: Codebooks, beam: int = 4) -> DataFrame:
+    """v, ids, codes, norm of every different vector."""
+    kind = vectors.schema["ids"].dataType.simpleString()
+    shared = vectors.sparkSession.sparkContext.broadcast(books.books)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Codebooks(raw)
+        own = Codebooks(shared.value)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 2048):
-                b = whole.slice(lo, 2048)
-                x = _unit(np.array(b.column(1).to_pylist()))
+            for lo in range(0, whole.num_rows, 1024):
+                b = whole.slice(lo, 1024)
+                x = _unit(b.column(0).flatten().to_numpy().reshape(b.num_rows, -1))
                 codes, norms = own.encode(x, beam)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32())], ["vec_id", "v", "codes", "norm"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32())], ["v", "ids", "codes", "norm"])
 
-    return rows.mapInArrow(run, f"vec_id {kind}, v array<double>, codes binary, norm float")
+    return vectors.select("v", "ids").mapInArrow(run, f"v array<double>, ids {kind}, codes binary, norm float")
 
 
 def _cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -154,39 +163,37 @@ def _cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.einsum("qd,qcd->qc", q, x) / np.sqrt((q * q).sum(axis=1)[:, None] * (x * x).sum(axis=2))
 
 
-def search(indexed: DataFrame, queries: DataFrame, books: Codebooks, k: int = 5, keep: int = 100, block_rows: int = 10_000) -> DataFrame:
+def search(indexed: DataFrame, queries: DataFrame, books: Codebooks, k: int = 5, keep: int = 200, block_rows: int = 10_000) -> DataFrame:
     """query_id, rank, vec_id, score for each row of ``queries`` (vec_id, v)."""
     blocks = max(1, -(-indexed.count() // block_rows))
-    kind = indexed.schema["vec_id"].dataType.simpleString()
-    schema = f"query_id {kind}, vec_id {kind}, score double"
-    raw = books.books
+    kind = queries.schema["vec_id"].dataType.simpleString()
+    shared = queries.sparkSession.sparkContext.broadcast(books.books)
 
     def run(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or block.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        own, block = Codebooks(raw), block.sort_values("vec_id", kind="stable")
-        ids, x = block["vec_id"].to_numpy(), np.array(block["v"].tolist())
-        codes, norms = np.frombuffer(b"".join(block["codes"]), np.uint16).reshape(len(ids), -1), block["norm"].to_numpy()
-        q_ids, q = queries["vec_id"].to_numpy(), np.array(queries["v"].tolist())
-        out, most = [], min(keep, len(ids))
-        for lo in range(0, len(q), 64):
-            part, part_ids = q[lo : lo + 64], q_ids[lo : lo + 64]
-            score = own.scores(_unit(part), codes, norms)
-            score[part_ids[:, None] == ids[None, :]] = -np.inf
-            # equal scores (equal vectors have equal codes) go to smaller ids, as ids are sorted
-            near = np.argsort(-score, axis=1, kind="stable")[:, :most]
-            exact = _cosines(part, x[near])
-            exact[np.take_along_axis(score, near, axis=1) == -np.inf] = -np.inf
-            order = np.lexsort((near, -exact), axis=1)[:, :k]
-            near, exact = np.take_along_axis(near, order, axis=1), np.take_along_axis(exact, order, axis=1)
-            ok = exact > -np.inf
-            out.append(pd.DataFrame({"query_id": np.repeat(part_ids, near.shape[1])[ok.ravel()], "vec_id": ids[near][ok], "score": exact[ok]}))
-        return pd.concat(out)
+        out: list[tuple] = []
+        if not queries.empty and not block.empty:
+            own = Codebooks(shared.value)
+            block = block.assign(least=block["ids"].str[0]).sort_values("least", kind="stable")
+            ids, least, x = block["ids"].tolist(), block["least"].to_numpy(), np.array(block["v"].tolist())
+            codes, norms = np.frombuffer(b"".join(block["codes"]), np.uint16).reshape(len(ids), -1), block["norm"].to_numpy()
+            q_ids, q = queries["vec_id"].tolist(), np.array(queries["v"].tolist())
+            most = min(keep, len(ids))
+            for lo in range(0, len(q), 64):
+                part = q[lo : lo + 64]
+                score = own.scores(_unit(part), codes, norms)
+                near = np.argsort(-score, axis=1, kind="stable")[:, :most]
+                exact = _cosines(part, x[near])
+                # the query's own vector may hold no other id, so one more vector than ids
+                order = np.lexsort((least[near], -exact), axis=1)[:, : k + 1]
+                for n, own_id in enumerate(q_ids[lo : lo + 64]):
+                    found = [(-exact[n, j], i) for j in order[n] for i in ids[near[n, j]] if i != own_id]
+                    out += [(own_id, i, -s) for s, i in sorted(found)[:k]]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b")
     left = queries.select("vec_id", "v", each)
-    right = indexed.select("vec_id", "v", "codes", "norm", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("b"))
-    found = left.groupBy("b").cogroup(right.groupBy("b")).applyInPandas(run, schema)
+    right = indexed.select("v", "ids", "codes", "norm", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int").alias("b"))
+    found = left.groupBy("b").cogroup(right.groupBy("b")).applyInPandas(run, f"query_id {kind}, vec_id {kind}, score double")
     # a limit on the rank is applied before the shuffle too
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -199,5 +206,5 @@ def neighbours(table: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec
     if books is None:
         kind = rows.schema["vec_id"].dataType.simpleString()
         return rows.sparkSession.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
-    indexed = cut(index(rows, books))
+    indexed = cut(index(distinct_vectors(rows, k), books))
     return search(indexed, rows.filter(F.col("vec_id") % every == 0), books, k, **options)

@@ -96,6 +96,14 @@ def oracle_sql() -> dict[str, str]:
               FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
             SELECT doc_id, size, n AS source_size, target, size * (epochs + CASE WHEN size > 0 AND (upto <= remainder OR (remainder - (upto - size) > 0 AND upto - remainder < remainder - (upto - size))) THEN 1 ELSE 0 END)::BIGINT AS taken FROM p
         """,
+        "op5_repeats": r"""
+            WITH w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS word, generate_subscripts(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), 1) AS i FROM documents),
+            h AS (SELECT doc_id, i, word, md5(string_agg(word, ' ') OVER near) AS digest, count(*) OVER near AS k FROM w WINDOW near AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+            r AS (SELECT *, k = 35 AND count(*) OVER (PARTITION BY digest, k) > 1 AS again FROM h),
+            g AS (SELECT doc_id, i, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM r),
+            a AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM g GROUP BY doc_id)
+            SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM documents LEFT JOIN a USING (doc_id)
+        """,
         "op7_exact_dedup": r"""
             WITH d AS (
               SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
