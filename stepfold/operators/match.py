@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BOX = ["x1", "y1", "x2", "y2"]
+#: Classes (by canonical name; bookcase stands for shelves) whose boxes are loose.
+STRUCTURAL = ("bookcase", "cabinet", "curtain", "door", "window")
 
 
 def _iou(b: np.ndarray) -> np.ndarray:
@@ -168,3 +170,52 @@ def demote(pairs: DataFrame) -> DataFrame:
     g, p = F.col("gt_idx"), F.col("pred_idx")
     parts = F.when(keep, F.array(row("match", g, p))).otherwise(F.array(row("missing", g, none), row("hallucination", none, p)))
     return pairs.select("step_id", F.explode(parts).alias("o")).select("step_id", "o.*")
+
+
+def same_objects(boxes: np.ndarray, classes: list[str], loose: np.ndarray, order: np.ndarray, diagonal: float, taus: tuple = (0.55, 0.72, 0.85, 0.12), loose_taus: tuple = (0.45, 0.62, 0.78, 0.16)) -> list[tuple[int, int, str]]:
+    """(dropped, kept one it repeats, reason) over boxes taken in ``order``.
+
+    A box repeats a kept one of its class (an empty class fits all) that it overlaps
+    by taus[0], that covers it by taus[1], or of which one contains the other by
+    taus[2] with centres within taus[3] of the diagonal.  Where either is ``loose``
+    the second set of thresholds holds.
+    """
+    w = np.minimum(boxes[:, None, 2], boxes[None, :, 2]) - np.maximum(boxes[:, None, 0], boxes[None, :, 0])
+    h = np.minimum(boxes[:, None, 3], boxes[None, :, 3]) - np.maximum(boxes[:, None, 1], boxes[None, :, 1])
+    inter = np.maximum(w, 0) * np.maximum(h, 0)
+    size = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
+    mid = (boxes[:, :2] + boxes[:, 2:]) / 2
+    away = np.linalg.norm(mid[:, None] - mid[None, :], axis=2) / diagonal
+    iou = inter / (size[:, None] + size[None, :] - inter)
+    tau = np.where((loose[:, None] | loose[None, :])[..., None], np.array(loose_taus), np.array(taus))
+    checks = {
+        "overlap": iou >= tau[..., 0],
+        "covered": inter / size[:, None] >= tau[..., 1],
+        "contained": (inter / np.minimum(size[:, None], size[None, :]) >= tau[..., 2]) & (away <= tau[..., 3]),
+    }
+    kept, dropped = [], []
+    for i in order.tolist():
+        for j in kept:
+            reason = next((n for n, c in checks.items() if c[i, j]), None) if not classes[i] or not classes[j] or classes[i] == classes[j] else None
+            if reason:
+                dropped.append((i, j, reason))
+                break
+        else:
+            kept.append(i)
+    return dropped
+
+
+def dedupe_objects(detections: DataFrame, height: float, width: float, structural: tuple[str, ...] = STRUCTURAL) -> DataFrame:
+    """(step_id, idx, duplicate_of, reason) of detections (step_id, idx, cls, score, x1..y2) that repeat a better one of their step."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx", kind="stable").reset_index(drop=True)
+        b = pdf[BOX].to_numpy(float)
+        area = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
+        order = np.lexsort((np.arange(len(b)), -area, -pdf["score"].to_numpy(float)))
+        idx = pdf["idx"].to_numpy()
+        found = same_objects(b, pdf["cls"].tolist(), pdf["cls"].isin(structural).to_numpy(), order, float(np.hypot(height, width)))
+        return pd.DataFrame([(pdf["step_id"].iloc[0], idx[i], idx[j], r) for i, j, r in found], columns=["step_id", "idx", "duplicate_of", "reason"])
+
+    good = detections.filter("x2 > x1 AND y2 > y1")
+    return good.groupBy("step_id").applyInPandas(run, "step_id bigint, idx int, duplicate_of int, reason string")

@@ -334,3 +334,9 @@ def proposal_acceptance(spark, d):
     score = r9(F.col("conf") - 0.4 * F.col("dist") + 0.1 * F.col("eq"))
     best = c.groupBy("step_id", "gt_idx").agg(F.min(F.struct((-score).alias("inv"), "pred_idx")).alias("x"))
     return best.select("step_id", "gt_idx", "x.pred_idx", (0.0 - F.col("x.inv")).alias("score"))
+
+
+@query("q94_label_aware_dedup")
+def label_aware_dedup(spark, d):
+    x = objects(spark, d).select("step_id", "idx", labels.canonical(F.col("label")).alias("cls"), "score", boxes.safe_box(F.col("gt"), HEIGHT, WIDTH).alias("b"))
+    return match.dedupe_objects(x.filter("b IS NOT NULL").select("step_id", "idx", "cls", "score", "b.*"), HEIGHT, WIDTH)

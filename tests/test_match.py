@@ -66,3 +66,21 @@ def test_merge_and_recover(spark):
     assert sorted((r["idx"], r["n"], r["x2"]) for r in match.merge_overlapping(boxes).collect()) == [(0, 2, 11.0), (2, 1, 60.0)]
     near = spark.createDataFrame([(1, 0, 7, 0.3), (1, 0, 8, 0.1), (1, 1, 8, 0.05), (1, 1, 7, 0.2)], "step_id bigint, gt_idx int, pred_idx int, distance double")
     assert sorted((r["gt_idx"], r["pred_idx"]) for r in match.recover(near).collect()) == [(0, 8), (1, 7)]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 15))
+def test_same_objects(seed, n):
+    b, s = random_boxes(seed, n)
+    classes = [("a", "b", "")[i % 3] for i in range(n)]
+    loose = np.arange(n) % 4 == 0
+    order = np.lexsort((np.arange(n), -s))
+    dropped = match.same_objects(b, classes, loose, order, 30.0)
+    gone = {i for i, _, _ in dropped}
+    over, place = match._iou(b), {int(i): k for k, i in enumerate(order)}
+    for i, j, _ in dropped:
+        assert j not in gone and place[j] < place[i] and (classes[i] == classes[j] or not classes[i] or not classes[j])
+    for i in set(range(n)) - gone:
+        for j in set(range(n)) - gone:
+            if i != j and (classes[i] == classes[j] or not classes[i] or not classes[j]):
+                assert over[i, j] < (0.45 if loose[i] or loose[j] else 0.55)
