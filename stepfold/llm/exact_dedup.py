@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, shared_dir, text_or_empty
+from .common import SPACE, cut, shared_dir, text_or_empty
 
 MAX_DEPTH = 16
 
@@ -83,12 +83,16 @@ def _with_bucket(df: DataFrame, directory: DataFrame, depth: int) -> DataFrame:
     return df.join(F.broadcast(directory), slot_of(F.col("key"), max(depth, 1)) == directory["entry"]).drop("entry")
 
 
-def build_index(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 20) -> DataFrame:
-    """One row per group of equal texts, read from the index files in the shared folder."""
+def build_index(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 20, keys: DataFrame | None = None) -> DataFrame:
+    """One row per group of equal texts, read from the index files in the shared folder.
+
+    ``keys`` (key) are the documents' keys, where the caller has them already.
+    """
     spark = documents.sparkSession
     norm = normalised(text_col)
     keyed = documents.select(F.col(id_col).alias("id"), F.length(text_or_empty(text_col)).alias("n"), norm.alias("norm")).withColumn("key", key_of(F.col("norm")))
-    counts = documents.select(slot_of(key_of(norm)).alias("slot")).groupBy("slot").count().collect()
+    keys = documents.select(key_of(norm).alias("key")) if keys is None else keys
+    counts = keys.select(slot_of(F.col("key")).alias("slot")).groupBy("slot").count().collect()
     depth, entries = build_directory({r["slot"]: r["count"] for r in counts}, capacity)
     number = {b: i for i, b in enumerate(sorted(set(entries)))}
     # with depth 0 both entries of a one-bit directory lead to the one bucket
@@ -112,9 +116,10 @@ def build_index(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def assign(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 20) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    index = build_index(documents, id_col, text_col, capacity).withColumnsRenamed({"key": "k", "digest": "d"})
     rows = documents.select(F.col(id_col).alias("doc_id"), F.length(text_or_empty(text_col)).alias("n"), normalised(text_col).alias("norm"))
-    rows = rows.select("doc_id", "n", key_of(F.col("norm")).alias("key"), F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))
+    # a light row for each document, computed once: the directory and the last join both need it
+    rows = cut(rows.select("doc_id", "n", key_of(F.col("norm")).alias("key"), F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")))
+    index = build_index(documents, id_col, text_col, capacity, rows.select("key")).withColumnsRenamed({"key": "k", "digest": "d"})
     return rows.join(index, (rows["key"] == index["k"]) & (rows["text_sha256"] == index["d"])).select(
         "doc_id",
         "keep_id",
