@@ -74,6 +74,7 @@ def _quality(o):
     near = (b["x1"] <= mx) | (b["y1"] <= my) | (b["x2"] >= WIDTH - mx) | (b["y2"] >= HEIGHT - my)
     x = x.withColumns({"area": bw * bh / (HEIGHT * WIDTH), "side": F.least(bw, bh) / min(HEIGHT, WIDTH), "touches": touches, "near": near, "aspect": F.greatest(bw, bh) / F.greatest(F.least(bw, bh), F.lit(1.0))})
     area, side = F.col("area"), F.col("side")
+    # Thresholds of the quality rules.
     rules = [
         ("invalid_box", b.isNull()),
         ("ignored_label", F.col("label").isin("shelf")),
