@@ -31,7 +31,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one of least doc_id."""
+    """One document of each SimHash component: the one of least doc_id.
+
+    Rows without an id stay if their component has no id at all.
+    """
     stay = simhash.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
     return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi")
 
