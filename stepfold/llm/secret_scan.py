@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import cut, text_or_empty
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -85,10 +85,27 @@ class Novelty:
         return out
 
 
+def _frequent(words: DataFrame, most: int, steps: int = 8) -> DataFrame:
+    """(word, count) of the words at least as frequent as the ``most``-th one, and few others.
+
+    A histogram over the logarithms of the counts (64 * ``steps`` rows at most) tells
+    where to stop, so no task sends the driver a list of its own most frequent words.
+    """
+    counts = cut(words.groupBy("word").count().filter("count > 1"))
+    level = F.floor(F.log2(F.col("count")) * steps)
+    least, above = 0, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):
+        least, above = r["level"], above + r["n"]
+        if above >= most:
+            break
+    return counts.filter(level >= least)
+
+
 def identifier_dictionary(documents: DataFrame, text_col: str = "text", dictionary_bytes: int = 1 << 15) -> bytes:
     """The most frequent identifiers of the corpus, the most frequent last (nearest, for zstandard)."""
     words = documents.select(F.explode(F.array_distinct(F.regexp_extract_all(text_or_empty(text_col), F.lit(r"[A-Za-z_][A-Za-z0-9_]{5,63}"), F.lit(0)))).alias("word"))
-    top = words.groupBy("word").count().filter("count > 1").orderBy(F.desc("count"), "word").limit(dictionary_bytes // 7).collect()
+    most = dictionary_bytes // 7
+    top = _frequent(words, most).orderBy(F.desc("count"), "word").limit(most).collect()
     out, size = [], 0
     for r in top:
         size += len(r["word"]) + 1
