@@ -17,11 +17,14 @@ def scaled_intrinsics(k: Column, stages: Column) -> Column:
     return F.transform(k, lambda row, i: F.when(i < 2, F.transform(row, lambda v: v * factor)).otherwise(row))
 
 
-def fov_intrinsics(fov: Column, width: Column, height: Column) -> Column:
-    """Pinhole intrinsics of a horizontal field of view in radians, square pixels, centred."""
+def fov_intrinsics(fov: Column, width: Column, height: Column, pixel_centres: bool = False) -> Column:
+    """Pinhole intrinsics of a horizontal field of view in radians, square pixels, centred.
+
+    With ``pixel_centres`` the centre is that of a grid whose first pixel lies at 0.
+    """
     f = width / 2 / F.tan(fov / 2)
-    zero, one = F.lit(0.0), F.lit(1.0)
-    return F.array(F.array(f, zero, width / 2), F.array(zero, f, height / 2), F.array(zero, zero, one))
+    zero, one, less = F.lit(0.0), F.lit(1.0), 1 if pixel_centres else 0
+    return F.array(F.array(f, zero, (width - less) / 2), F.array(zero, f, (height - less) / 2), F.array(zero, zero, one))
 
 
 def flip_axes(pose: Column, signs: tuple[int, int, int] = (1, -1, -1)) -> Column:

@@ -10,13 +10,20 @@ def gray(rgb: np.ndarray) -> np.ndarray:
 
 
 def half_size(a: np.ndarray, nearest: bool = False) -> np.ndarray:
-    """Every second pixel, or the mean of two by two."""
-    h, w = a.shape[0] // 2 * 2, a.shape[1] // 2 * 2
+    """Every second pixel, or the mean of two by two; odd sizes round half to even, an edge repeated if need be."""
+    h, w = 2 * round(a.shape[0] / 2), 2 * round(a.shape[1] / 2)
+    if h > a.shape[0] or w > a.shape[1]:
+        a = np.pad(a, ((0, max(0, h - a.shape[0])), (0, max(0, w - a.shape[1]))) + ((0, 0),) * (a.ndim - 2), mode="edge")
     if nearest:
         return a[0:h:2, 0:w:2]
     return (a[0:h:2, 0:w:2].astype(float) + a[1:h:2, 0:w:2] + a[0:h:2, 1:w:2] + a[1:h:2, 1:w:2]) / 4
 
 
+def resized(a: np.ndarray, size: tuple[int, int]) -> np.ndarray:
+    """The nearest pixel at or before each place of a grid of ``size``."""
+    return a[np.ix_(*(np.arange(n) * m // n for n, m in zip(size, a.shape[:2], strict=True)))]
+
+
 def _blur(a: np.ndarray, size: int = 7, sigma: float = 1.5) -> np.ndarray:
     x = np.arange(size) - size // 2
     k = np.exp(-(x**2) / (2 * sigma**2))
