@@ -45,21 +45,40 @@ def invalid_cases(steps: DataFrame, key: str = "case_id") -> DataFrame:
 
 
 def with_components(steps: DataFrame) -> DataFrame:
-    c = object_components(*(F.col(x) for x in ("num_gt_objects", "num_pred_all", "num_matched", "center_error_norm", "object_integrity", "relative_topology")))
-    return steps.withColumns({k: v for k, v in c.items()})
+    """Components of each step; recall and what rests on it are null where a step has no object."""
+    g = F.when(F.col("num_gt_objects") > 0, F.col("num_gt_objects"))
+    return steps.withColumns(object_components(g, *(F.col(x) for x in ("num_pred_all", "num_matched", "center_error_norm", "object_integrity", "relative_topology"))))
+
+
+def _case_aggregates() -> list:
+    """Mean plus worst of each pillar, and whether any step has no object (1 or 0)."""
+    return [*(mean_plus_worst(p).alias(p) for p in PILLARS), F.max((F.col("num_gt_objects") <= 0).cast("int")).alias("_bad")]
 
 
 def case_pillars(steps: DataFrame, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
-    """Mean plus worst of each pillar over a case's steps (steps with objects only)."""
-    return with_components(steps).groupBy(*keys, "subtype").agg(*(mean_plus_worst(p).alias(p) for p in PILLARS))
+    """Mean plus worst of each pillar over the steps of each valid case.
+
+    A case is valid if all its steps have objects.  As a case has one subtype, the
+    fold itself finds that out: no window and no second shuffle is needed.
+    """
+    return with_components(steps).groupBy(*keys, "subtype").agg(*_case_aggregates()).filter("_bad = 0").drop("_bad")
 
 
 def pillar_fold(steps: DataFrame, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
     """One row per subtype with its pillars and score, over valid cases."""
-    kinds = case_pillars(mask_invalid_cases(steps, keys[0]), keys).groupBy("subtype").agg(F.count("*").alias("num_cases"), *(F.avg(p).alias(p) for p in PILLARS))
+    kinds = case_pillars(steps, keys).groupBy("subtype").agg(F.count("*").alias("num_cases"), *(F.avg(p).alias(p) for p in PILLARS))
     return kinds.withColumn("ssp", (F.col("f1") + F.col("spatial") + F.col("integrity")) / 3)
 
 
+def overall(steps: DataFrame, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
+    """One row (cmg, ssp) of steps that carry both kinds of records: one read and one fold over cases for both."""
+    cases = with_components(with_action_score(steps)).groupBy(*keys, "subtype").agg(F.avg("score").alias("s"), *_case_aggregates())
+    kinds = cases.groupBy("subtype").agg(F.avg("s").alias("s"), *(F.avg(F.when(F.col("_bad") == 0, F.col(p))).alias(p) for p in PILLARS))
+    picked = [F.max(F.when(F.col("subtype") == k, F.col("s"))).alias(k) for k in ("atomic", "chain", "cycle")]
+    one = kinds.agg(*picked, F.avg((F.col("f1") + F.col("spatial") + F.col("integrity")) / 3).alias("ssp"))
+    return one.select(((F.col("atomic") + F.col("chain") + F.col("cycle")) / 3).alias("cmg"), "ssp")
+
+
 def summary(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """mean, median, least, largest and count of each column in one pass, skipping NULL and NaN."""
     aggs = []

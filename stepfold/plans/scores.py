@@ -47,7 +47,7 @@ def object_step_components(spark, d):
 
 @query("q05_case_mean_plus_worst", f"{W} SELECT case_id, subtype, round((avg(f1) + min(f1)) / 2, 9) AS f1, round((avg(spatial) + min(spatial)) / 2, 9) AS spatial, round((avg(integrity) + min(integrity)) / 2, 9) AS integrity FROM components GROUP BY ALL")
 def case_mean_plus_worst(spark, d):
-    cases = fold.case_pillars(fold.mask_invalid_cases(step_records(spark, d), "l_orderkey"), KEYS)
+    cases = fold.case_pillars(step_records(spark, d), KEYS)
     return cases.select("case_id", "subtype", *(r9(p).alias(p) for p in fold.PILLARS))
 
 
@@ -72,11 +72,7 @@ def invalid_cases(spark, d):
     SELECT round(cmg, 9) AS cmg, round(ssp, 9) AS ssp, round((cmg + ssp) / 2, 9) AS overall, cmg BETWEEN 0 AND 1 AND ssp BETWEEN 0 AND 1 AS in_range FROM a, b""",
 )
 def overall_result(spark, d):
-    steps = step_records(spark, d)
-    a = fold.macro_score(steps, KEYS).select("cmg")
-    b = fold.pillar_fold(steps, KEYS).agg(F.avg("ssp").alias("ssp"))
-    # two single rows made one without a cross join
-    one = a.select("cmg", F.lit(None).cast("double").alias("ssp")).union(b.select(F.lit(None).cast("double"), "ssp")).agg(F.max("cmg").alias("cmg"), F.max("ssp").alias("ssp"))
+    one = fold.overall(step_records(spark, d), KEYS)
     return one.select(r9("cmg").alias("cmg"), r9("ssp").alias("ssp"), r9((F.col("cmg") + F.col("ssp")) / 2).alias("overall"), (F.col("cmg").between(0, 1) & F.col("ssp").between(0, 1)).alias("in_range"))
 
 
