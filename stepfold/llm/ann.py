@@ -11,9 +11,10 @@ precision, and the best ``k`` over all blocks are the result.
 
 Equal vectors are indexed once, with the k + 1 smallest of their ids: no result
 needs more of them, and a very common vector cannot crowd others out of the
-candidates.  Vectors are dealt to blocks by their hash, ``block_rows`` on average;
-a query block meets each index block once.  Nothing is gathered on the driver but
-the sample.
+candidates.  Vectors and queries are dealt to blocks by their hashes, ``block_rows``
+and ``query_rows`` on average; a query block meets each index block once, so a task
+holds one of each whatever the number of queries.  Nothing is gathered on the
+driver but the sample.
 
 Defined results: vectors that are null, zero, of another length than most, or hold
 null or non-finite components take no part, nor do rows with a null id; rows that
@@ -163,9 +164,9 @@ def _cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.einsum("qd,qcd->qc", q, x) / np.sqrt((q * q).sum(axis=1)[:, None] * (x * x).sum(axis=2))
 
 
-def search(indexed: DataFrame, queries: DataFrame, books: Codebooks, k: int = 5, keep: int = 200, block_rows: int = 10_000) -> DataFrame:
+def search(indexed: DataFrame, queries: DataFrame, books: Codebooks, k: int = 5, keep: int = 200, block_rows: int = 10_000, query_rows: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score for each row of ``queries`` (vec_id, v)."""
-    blocks = max(1, -(-indexed.count() // block_rows))
+    blocks, sets = max(1, -(-indexed.count() // block_rows)), max(1, -(-queries.count() // query_rows))
     kind = queries.schema["vec_id"].dataType.simpleString()
     shared = queries.sparkSession.sparkContext.broadcast(books.books)
 
@@ -190,10 +191,15 @@ def search(indexed: DataFrame, queries: DataFrame, books: Codebooks, k: int = 5,
                     out += [(own_id, i, -s) for s, i in sorted(found)[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b")
-    left = queries.select("vec_id", "v", each)
-    right = indexed.select("v", "ids", "codes", "norm", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int").alias("b"))
-    found = left.groupBy("b").cogroup(right.groupBy("b")).applyInPandas(run, f"query_id {kind}, vec_id {kind}, score double")
+    def all_of(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def one_of(column: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+
+    left = queries.select("vec_id", "v", one_of("vec_id", sets).alias("a"), all_of(blocks).alias("b"))
+    right = indexed.select("v", "ids", "codes", "norm", one_of("v", blocks).alias("b"), all_of(sets).alias("a"))
+    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(run, f"query_id {kind}, vec_id {kind}, score double")
     # a limit on the rank is applied before the shuffle too
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

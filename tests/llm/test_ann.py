@@ -42,6 +42,14 @@ def test_odd_vectors(spark):
     assert set(got) == {0, 100}
 
 
+def test_blocks_of_queries_and_vectors_change_nothing(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, rng.integers(-3, 4, 6).astype(float).tolist()) for i in range(300)], "vec_id bigint, embedding array<double>")
+    whole = result(ann.neighbours(df, every=7))
+    assert result(ann.neighbours(df, every=7, block_rows=100, query_rows=10)) == whole
+    assert set(whole) <= set(range(0, 300, 7)) and all(len(v) == 5 for v in whole.values())
+
+
 def test_few_and_no_vectors(spark):
     schema = "vec_id bigint, embedding array<float>"
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [-1.0, 0.0])], schema)
