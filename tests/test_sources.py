@@ -70,13 +70,34 @@ def test_lines(spark, tmp_path):
 
 
 def test_discovery(spark, tmp_path):
-    for p in ("outputs/c1/step1.png", "outputs/c1/step_02.jpg", "outputs/c2.png", "outputs/c1/notes.txt", "outputs/c3_step1.webp", "outputs/c3/step1.png"):
-        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / p).write_bytes(b"x")
+    names = ("c1/step1.png", "c1/step_02.jpg", "c2.png", "c1/notes.txt", "c3_step1.webp", "c3/step1.png", "c5/step03/f1.png", "c5/step03/f2.png", "c6.mp4", "c7/step001.png", "a.b.tiff", "x_step1_step2.bmp", "c8/step1.v2.gif")
+    expected = [("c1", 1), ("c1", 2), ("c2", 1), ("c3", 1), ("c4", 1), ("c5", 3), ("c6", 1), ("c6", 2), ("c7", 1), ("a", 4), ("a.b", 1), ("x_step1", 2), ("x", 1), ("c8", 1)]
+    want = {("c1", 1): "c1/step1.png", ("c1", 2): "c1/step_02.jpg", ("c2", 1): "c2.png", ("c3", 1): "ambiguous", ("c5", 3): "c5/step03", ("a", 4): "a.b.tiff", ("a.b", 1): "a.b.tiff", ("x_step1", 2): "x_step1_step2.bmp", ("c8", 1): "c8/step1.v2.gif"}
+    for top in ("run one/outputs", "plain.d"):
+        root = tmp_path / top
+        for p in names:
+            (root / p).parent.mkdir(parents=True, exist_ok=True)
+            (root / p).write_bytes(b"x")
+        where = str(tmp_path / top.split("/")[0])
+        got = discovery.match_expected(discovery.listing(spark, where), spark.createDataFrame(expected, "case_id string, step int"), None if "outputs" in top else where).collect()
+        assert {(r["case_id"], r["step"]): r["artefact"] or r["status"] for r in got} == {k: want.get(k, "missing") for k in expected}
+
+
+def test_frames_of_segments(spark, tmp_path):
+    for k in range(6):
+        (tmp_path / f"f{k}.png").write_bytes(b"x")
+    (tmp_path / "z.txt").write_bytes(b"x")
     files = discovery.listing(spark, str(tmp_path))
-    expected = spark.createDataFrame([("c1", 1), ("c1", 2), ("c2", 1), ("c3", 1), ("c4", 1)], "case_id string, step int")
-    got = {(r["case_id"], r["step"]): r["status"] for r in discovery.match_expected(files, expected).collect()}
-    assert got == {("c1", 1): "ok", ("c1", 2): "ok", ("c2", 1): "ok", ("c3", 1): "ambiguous", ("c4", 1): "missing"}
+
+    def chosen(**selection):
+        path = discovery.chosen_frames(files, **selection).first()["path"]
+        return path and path[-6:-4]
+
+    assert [chosen(), chosen(policy="index", index=1), chosen(policy="index", index=-2), chosen(policy="index", index=6)] == ["f5", "f1", "f4", None]
+    assert [chosen(policy="ratio", ratio=r) for r in (0.0, 0.5, 0.7, 1.0)] == ["f0", "f2", "f4", "f5"]
+    for bad in ({"policy": "ratio", "ratio": 1.5}, {"policy": "first"}):
+        with pytest.raises(ValueError):
+            discovery.frame_index(F.lit(1), **bad)
 
 
 def test_sinks(spark, tmp_path):
