@@ -170,7 +170,7 @@ def listing_to_expected_steps(spark, d):
     pages = table(spark, d, "pages")
     listing = pages.select(F.concat(case, F.lit("/step"), (page % 4).cast("string"), suffix).alias("path"))
     expected = pages.select(case.alias("case_id")).distinct().select("case_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("step"))
-    return match_expected(listing, expected)
+    return match_expected(listing, expected).select("case_id", "step", "candidates", "status")
 
 
 @query(
