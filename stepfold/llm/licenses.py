@@ -7,6 +7,11 @@ anchors are aligned the same way, down to gaps without anchors, whose common
 prefix and suffix still count.  Coverage is the share of the template's words that
 are aligned; a template is reported where it is at least ``coverage``.
 
+Templates are statements, notices and whole licenses.  Words in braces tell a
+template from others and must be aligned themselves.  Of places that share at least
+half of their aligned words (with all of those in braces) only the one is reported
+whose aligned words exceed the template's missing ones by most.
+
 Words are lower-case runs of letters and digits.  Every whole text is read; texts
 that share too few words with a template to reach the coverage are passed over.
 
@@ -21,6 +26,7 @@ import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,29 +34,78 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-#: Statements and notices as their licenses word them.
+def _file(name: str, *needed: tuple[str, str]) -> str:
+    """A whole license; each needed (words, marked words) tells it from a license of nearly the same text."""
+    text = resources.files(__package__).joinpath("license_texts", f"{name}.txt").read_text().translate({ord("{"): " ", ord("}"): " "})
+    for plain, marked in needed:
+        assert plain in text
+        text = text.replace(plain, marked)
+    return text
+
+
+def _gnu(work: str, kind: str, version: str) -> list[str]:
+    """The notice of a GNU license, its first sentence, and the sentence of one version only."""
+    terms = f"This {work} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} {{Public}} License"
+    first = f"{terms} as published by the Free Software Foundation, either version {version} of the License"
+    rest = f"or (at your option) any later version. This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind.translate(_PLAIN)} Public License for more details. You should have received a copy of the GNU {kind.translate(_PLAIN)} Public License along with this {work}"
+    return [f"{first}, {rest}", first, f"{terms} version {version} as published by the Free Software Foundation"]
+
+
+def _said(kind: str, version: str) -> list[str]:
+    return [f"licensed under the {{gnu}} {kind} {{public}} license, version {version}", f"this work is licensed under the {{gnu}} {kind} {{public}} license, version {version}"]
+
+
+_CC = {"by": "{attribution}", "sa": "{sharealike}", "nd": "{noderivatives}", "nc": "{noncommercial}"}
+_PLAIN = {ord("{"): None, ord("}"): None}
+_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_BSD = "All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_NAMES = "3. {Neither} the name of the copyright holder nor the names of its contributors may be used to {endorse} or promote products derived from this software without specific prior written permission."
+_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+
+#: Statements, notices and whole licenses as their licenses word them; words in braces must be aligned.
 TEMPLATES = {
-    "MIT": ["released under the mit license", "licensed under the mit license", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"],
-    "Apache-2.0": ["licensed under the apache license, version 2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"],
-    "GPL-3.0": ["this work is licensed under the gnu general public license, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"],
-    "GPL-2.0": ["licensed under the gnu general public license, version 2"],
-    "LGPL": ["licensed under the gnu lesser general public license"],
-    "BSD": ["released under the bsd license", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
-    "CC-BY-4.0": ["licensed under cc by 4.0", "licensed under a creative commons attribution 4.0 international license"],
-    "CC-BY-NC-4.0": ["licensed under cc by nc 4.0"],
-    "CC-BY-SA-4.0": ["licensed under cc by sa 4.0"],
-    "CC0-1.0": ["released under cc0 1.0"],
-    "proprietary": ["all rights reserved"],
+    "MIT": ["released under the {mit} license", "licensed under the {mit} license", _GRANT, _GRANT + ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."],
+    "Apache-2.0": ["licensed under the {apache} license, version {2}.0", "Licensed under the {Apache} License, Version {2}.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "{Apache} License Version {2}.0, January 2004", _file("Apache-2.0")],
+    "GPL-3.0": [*_said("{general}", "{3}"), *_gnu("program", "{General}", "{3}"), "{GNU} {General} {Public} License Version {3}, 29 June 2007", _file("GPL-3.0", ("special requirements", "{special} {requirements}"))],
+    "GPL-2.0": [*_said("{general}", "{2}"), *_gnu("program", "{General}", "{2}"), "{GNU} {General} {Public} License Version {2}, June 1991", _file("GPL-2.0")],
+    "AGPL-3.0": [*_said("{affero} {general}", "{3}"), *_gnu("program", "{Affero} {General}", "{3}"), "{GNU} {Affero} {General} {Public} License Version {3}, 19 November 2007", "{Remote} {Network} {Interaction}; Use with the GNU General Public License. Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer all users interacting with it remotely through a computer network (if your version supports such interaction) an opportunity to receive the Corresponding Source of your version by providing access to the Corresponding Source from a network server at no charge, through some standard or customary means of facilitating copying of software."],
+    "LGPL": ["licensed under the {gnu} {lesser} {general} public license"],
+    "LGPL-2.0": [*_said("{library} {general}", "{2}"), *_gnu("library", "{Library} {General}", "{2}"), "{GNU} {Library} {General} {Public} License Version {2}, June 1991", _file("LGPL-2.0")],
+    "LGPL-2.1": [*_said("{lesser} {general}", "{2}.{1}"), *_gnu("library", "{Lesser} {General}", "{2}.{1}"), "{GNU} {Lesser} {General} {Public} License Version {2}.{1}, February 1999", _file("LGPL-2.1")],
+    "LGPL-3.0": [*_said("{lesser} {general}", "{3}"), *_gnu("library", "{Lesser} {General}", "{3}"), "{GNU} {Lesser} {General} {Public} License Version {3}, 29 June 2007", _file("LGPL-3.0")],
+    "BSD": ["released under the {bsd} license", "licensed under the {bsd} license", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", f"{_BSD} {_AS_IS}", f"{_BSD} {_NAMES} {_AS_IS}"],
+    "ISC": [_ISC, _ISC + ", provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the {Mozilla} Public License, v. {2}.0", "licensed under the {mozilla} public license, version {2}.0", _file("MPL-2.0")],
+    **{
+        f"CC-{'-'.join(code).upper()}-4.0": [f"licensed under {{cc}} {' '.join(f'{{{c}}}' for c in code)} {{4}}.0", f"licensed under a {{creative}} {{commons}} {' '.join(_CC[c] for c in code)} {{4}}.0 international license"]
+        for code in (("by",), ("by", "sa"), ("by", "nd"), ("by", "nc"), ("by", "nc", "sa"), ("by", "nc", "nd"))
+    },
+    "CC0-1.0": ["released under {cc0} {1}.0", _file("CC0-1.0")],
+    "proprietary": ["{all} {rights} {reserved}"],
 }
 _WORD = re.compile(r"[^\W_]+")
+_PARTS = re.compile(r"[{}]|[^\W_]+")
+_SHORT = 64
 
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def template_of(text: str) -> tuple[list[str], frozenset[int]]:
+    """A template's words and the positions of those in braces."""
+    words, needed, inside = [], [], False
+    for part in _PARTS.findall(text.lower()):
+        if part in "{}":
+            inside = part == "{"
+            continue
+        if inside:
+            needed.append(len(words))
+        words.append(part)
+    return words, frozenset(needed)
+
+
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest subsequence of (i, j), sorted by i, in which j increases."""
     tails, ends, back = [], [], [-1] * len(pairs)
@@ -91,51 +146,91 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 class Scanner:
     def __init__(self, templates: dict[str, list[str]] = TEMPLATES, coverage: float = 0.8):
         self.coverage = coverage
-        self.templates = [(name, words_of(t)) for name, ts in templates.items() for t in ts]
+        self.templates = [(name, *template_of(t)) for name, ts in templates.items() for t in ts]
+        self.counts = [Counter(words) for _, words, _ in self.templates]
         self.owners = defaultdict(list)
-        for k, (_, words) in enumerate(self.templates):
-            for w in set(words):
-                self.owners[w].append(k)
+        for k, counts in enumerate(self.counts):
+            for w, n in counts.items():
+                self.owners[w].append((k, n))
         self.vocabulary = frozenset(self.owners)
 
-    def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(license, coverage, first word, end word), the best place of each license, best first."""
-        words = words_of(text)
+    def _windows(self, k: int, where: dict[str, list[int]]) -> Iterator[list[tuple[int, int]]]:
+        """Of each place to look at, the windows of the text to align there, the best to be taken."""
+        template = self.templates[k][1]
+        # one of these is aligned wherever the coverage is reached: the rest would not do
+        left = int((1 - self.coverage) * len(template) + 1e-9) + 1
+        rare = set()
+        for w, c in sorted(self.counts[k].items(), key=lambda x: (len(where.get(x[0], ())), x[0])):
+            rare.add(w)
+            left -= c
+            if left <= 0:
+                break
+        reach, lo = len(template) + len(template) // 2 + 2, 0
+        if len(template) <= _SHORT:
+            at = sorted({i for w in rare for i in where.get(w, ())})
+            while lo < len(at):
+                hi = lo
+                while hi + 1 < len(at) and at[hi + 1] - at[hi] <= 2 and at[hi + 1] - at[lo] <= reach:
+                    hi += 1
+                yield [(at[lo] - reach, at[hi] + reach)]
+                lo = hi + 1
+            return
+        # where the template would start; the near window keeps the next copy's words out, the far one holds more insertions
+        at = sorted({i - j for j, w in enumerate(template) if w in rare for i in where.get(w, ())})
+        slack = len(template) // 4
+        while lo < len(at):
+            hi = lo
+            while hi + 1 < len(at) and at[hi + 1] - at[lo] <= slack:
+                hi += 1
+            yield [(at[lo] - slack, at[hi] + len(template) + slack), (at[lo] - reach, at[hi] + len(template) + reach)]
+            lo = hi + 1
+
+    def _places(self, words: list[str]) -> Iterator[tuple]:
+        """(template, pairs) of every place where a template reaches the coverage."""
         have = self.vocabulary.intersection(words)
-        shared = Counter(k for w in have for k in self.owners[w])
-        best: dict[str, tuple] = {}
+        found = Counter()
+        for w in have:
+            for k, n in self.owners[w]:
+                found[k] += n
         where = None
-        for k, n in sorted(shared.items()):
-            name, template = self.templates[k]
+        for k, n in sorted(found.items()):
+            _, template, needed = self.templates[k]
+            least = self.coverage * len(template)
             # each template word that is missing costs at least one place
-            if sum(w in have for w in template) < self.coverage * len(template):
+            if n < least or len(words) < least or any(template[j] not in have for j in needed):
                 continue
             if where is None:
                 where = defaultdict(list)
                 for i, w in enumerate(words):
                     if w in have:
                         where[w].append(i)
-            # one of these is aligned wherever the coverage is reached: the rest would not do
-            spare = int((1 - self.coverage) * len(template) + 1e-9) + 1
-            rare, left = [], spare
-            for w, c in sorted(Counter(template).items(), key=lambda x: (len(where.get(x[0], ())), x[0])):
-                rare.append(w)
-                left -= c
-                if left <= 0:
-                    break
-            at = sorted({i for w in rare for i in where.get(w, ())})
-            reach, lo = len(template) + len(template) // 2 + 2, 0
-            while lo < len(at):
-                hi = lo
-                while hi + 1 < len(at) and at[hi + 1] - at[hi] <= 2 and at[hi + 1] - at[lo] <= reach:
-                    hi += 1
-                start = max(0, at[lo] - reach)
-                window = words[start : at[hi] + reach]
-                pairs = align(window, template)
-                if len(pairs) >= self.coverage * len(template):
-                    one = (-len(pairs) / len(template), -len(template), start + pairs[0][0], start + pairs[-1][0] + 1)
-                    best[name] = min(best.get(name, one), one)
-                lo = hi + 1
+            done = set()
+            for windows in self._windows(k, where):
+                for start, end in windows:
+                    start = max(0, start)
+                    window = words[start:end]
+                    if len(template) > _SHORT and (Counter(window) & self.counts[k]).total() < least:
+                        continue
+                    pairs = [(start + i, j) for i, j in align(window, template)]
+                    if len(pairs) >= least and needed.issubset(j for _, j in pairs):
+                        if (pairs[0][0], pairs[-1][0], len(pairs)) not in done:
+                            done.add((pairs[0][0], pairs[-1][0], len(pairs)))
+                            yield k, pairs
+                        break
+
+    def scan(self, text: str) -> list[tuple[str, float, int, int]]:
+        """(license, coverage, first word, end word), the best place of each license, best first."""
+        words = words_of(text)
+        places = sorted(self._places(words), key=lambda x: (len(self.templates[x[0]][1]) - 2 * len(x[1]), x[1][0], x[0]))
+        best: dict[str, tuple] = {}
+        taken: set[int] = set()
+        for k, pairs in places:
+            name, template, needed = self.templates[k]
+            if 2 * sum(i in taken for i, _ in pairs) >= len(pairs) and all(i in taken for i, j in pairs if j in needed):
+                continue
+            taken.update(i for i, _ in pairs)
+            one = (-len(pairs) / len(template), -len(template), pairs[0][0], pairs[-1][0] + 1)
+            best[name] = min(best.get(name, one), one)
         return [(name, -x[0], x[2], x[3]) for name, x in sorted(best.items(), key=lambda y: (y[1], y[0]))]
 
 

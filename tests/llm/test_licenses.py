@@ -44,6 +44,37 @@ def test_statements():
     assert own.scan("Released under the MIT License. " + filler + "Released under the MIT License.")[0][1] == 1.0
 
 
+def names(text):
+    return [x[0] for x in licenses.Scanner().scan(text)]
+
+
+def test_notices_of_near_licenses_are_told_apart():
+    head = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {} License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    for work, kind, version, name in (("program", "General Public", "2", "GPL-2.0"), ("program", "General Public", "3", "GPL-3.0"), ("library", "Lesser General Public", "2.1", "LGPL-2.1"), ("library", "Library General Public", "2", "LGPL-2.0"), ("program", "Affero General Public", "3", "AGPL-3.0")):
+        assert names(f"word {head.format(work, kind, version)} word") == [name]
+
+
+def test_whole_licenses():
+    for name, text in licenses.TEMPLATES.items():
+        assert names("before " + text[-1].replace("{", " ").replace("}", " ") + " after") == [name]
+    apache = licenses.TEMPLATES["Apache-2.0"][-1]
+    assert names(apache[: apache.index("APPENDIX")]) == ["Apache-2.0"]
+    gpl = licenses.TEMPLATES["GPL-3.0"][-1].replace("{", " ").replace("}", " ")
+    assert licenses.Scanner().scan("before " + gpl * 2)[0][:3] == ("GPL-3.0", 1.0, 1)
+    # without the words that the AGPL lacks the body is not the GPL's, only the notice at its end is
+    found = licenses.Scanner().scan(gpl[gpl.index("Preamble") :].replace("requirements", "terms"))
+    assert [end - first < 200 for name, _, first, end in found if name == "GPL-3.0"] == [True]
+
+
+def test_short_statements_need_their_own_words():
+    assert names("Released under the MIT License.") == ["MIT"]
+    assert names("Licensed under the Apache License, Version 2.0.") == ["Apache-2.0"]
+    assert names("Licensed under the Apache License, Version 1.1.") == []
+    assert names("This work is licensed under the GNU General Public License, version 2.") == ["GPL-2.0"]
+    assert names("Licensed under CC BY 4.0.") == ["CC-BY-4.0"] and names("Licensed under CC BY-NC-SA 4.0.") == ["CC-BY-NC-SA-4.0"]
+    assert sorted(names("Licensed under the MIT License or the Apache License, Version 2.0.")) == ["Apache-2.0", "MIT"]
+
+
 def test_tables(spark, odd, none, small):
     assert licenses.scan(none).count() == 0
     assert all(r["found"] == [] for r in licenses.scan(odd).collect())
