@@ -1,18 +1,19 @@
 """Personal data: fixed patterns and terms that disclose what the patterns protect.
 
 DataFrame functions only.  E-mail addresses, IP addresses, card and phone numbers
-are found by pattern; each distinct value is a protected entity.  The words around
-an entity's occurrences are candidate terms.  Over the whole corpus, documents with
-the entity, with the term and with both give the pointwise mutual information
-PMI(e; t), and the entity's information content is IC(e) = -log p(e).  PMI reaches
-IC exactly when the term never occurs without the entity.  A term discloses an
-entity where both are together in at least ``support`` documents and PMI is at
-least ``threshold`` * IC; its occurrences near the entity are spans of kind ``term``.
+are found by pattern; each distinct value is a protected entity.  The words of a
+document outside its e-mail addresses are its terms, those of documents with an
+entity its candidates.  Over the whole corpus, documents with the entity, with the
+term and with both give the pointwise mutual information PMI(e; t), and the entity's
+information content is IC(e) = -log p(e).  PMI reaches IC exactly when the term never
+occurs without the entity.  A term discloses an entity where both are together in at
+least ``support`` documents and PMI is at least ``threshold`` * IC; its occurrences
+in every document with the entity are spans of kind ``term``.
 ``sanitise`` generalises base spans to their kind and removes disclosing terms.
 
-Windows are ``reach`` code points on either side, so pairs grow with the number of
-entities, not with its square or a text's length.  Counts are partially aggregated
-where rows are read.
+Only entities in ``support`` documents make pairs: a document makes its distinct
+terms times its distinct such entities.  Counts are partially aggregated where rows
+are read.
 
 The patterns are written so that Java's matcher needs no recursion and no second
 look at a run: a match may start at a run's start or at the previous match's end.
@@ -110,35 +111,38 @@ def _located(text: Column, pattern: str) -> Column:
     return _let(both, placed)
 
 
-def base_spans(text: Column) -> Column:
-    """Array of (kind, start, end), by kind as listed, then start."""
+def _found(text: Column) -> Column:
+    """Array of (kind, start, end, entity), by kind as listed, then start."""
     found = []
     for kind in KINDS:
         good = F.filter(_located(text, PATTERNS[kind]), lambda x: _passes(kind, x["m"]))
-        found.append(F.transform(good, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end"))))
+        found.append(F.transform(good, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end"), _entity(kind, x["m"]).alias("entity"))))
     return F.concat(*found)
 
 
-def _contexts(text: Column, reach: int, term: str) -> Column:
-    """Array of (entity, term, start, end): whole words within ``reach`` of each entity."""
+def _term(shortest: int) -> str:
+    return rf"\p{{L}}{{{shortest},}}"
 
-    def of(kind):
-        def around(x):
-            def words(part, at):
-                return F.transform(
-                    _located(part, term),
-                    lambda w: F.struct(_entity(kind, x["m"]).alias("entity"), F.lower(w["m"]).alias("term"), (at + w["start"]).alias("start"), (at + w["start"] + F.length(w["m"])).alias("end")),
-                )
 
-            left = F.right(x["before"], F.lit(reach))
-            left = F.when(F.length(x["before"]) > reach, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-            right = F.left(x["after"], F.lit(reach))
-            right = F.when(F.length(x["after"]) > reach, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-            return F.concat(_let(left, lambda v: words(v, x["start"] - F.length(v))), _let(right, lambda v: words(v, x["start"] + F.length(x["m"]))))
+def _terms(text: Column, shortest: int) -> Column:
+    """The distinct terms of a text: lower-case words outside its e-mail addresses, the one kind that holds letters."""
+    free = F.when(text.contains("@"), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
+    return F.array_distinct(F.transform(F.regexp_extract_all(free, F.lit(_term(shortest)), F.lit(0)), lambda m: F.lower(m)))
 
-        return F.flatten(F.transform(F.filter(_located(text, PATTERNS[kind]), lambda x: _passes(kind, x["m"])), around))
 
-    return F.concat(*map(of, KINDS))
+def _term_spans(text: Column, terms: Column, shortest: int) -> Column:
+    """Array of (kind, start, end) of every occurrence of one of the terms outside e-mail addresses."""
+    both = F.struct(F.split(text, PATTERNS["email"], -1).alias("p"), F.regexp_extract_all(text, F.lit(PATTERNS["email"]), F.lit(0)).alias("m"))
+
+    def words(part, at):
+        said = F.filter(_located(part, _term(shortest)), lambda w: F.array_contains(terms, F.lower(w["m"])))
+        return F.transform(said, lambda w: F.struct(F.lit("term").alias("kind"), (at + w["start"]).alias("start"), (at + w["start"] + F.length(w["m"])).alias("end")))
+
+    def pieces(x):
+        ends = _sums(F.zip_with(x["p"], x["m"], lambda p, m: F.length(p) + F.coalesce(F.length(m), F.lit(0))))
+        return _let(ends, lambda e: F.flatten(F.transform(x["p"], lambda p, i: words(p, F.when(i > 0, F.get(e, i - 1)).otherwise(0)))))
+
+    return _let(both, pieces)
 
 
 def _possible(text: Column) -> Column:
@@ -150,15 +154,24 @@ def _key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
-def located(documents: DataFrame, text_col: str = "text", reach: int = 60, shortest: int = 4) -> DataFrame:
-    """k1, k2, base, near: a row for each row that may hold an entity.
+def located(documents: DataFrame, text_col: str = "text") -> DataFrame:
+    """k1, k2, text, base, entities (distinct), copies: a row for each distinct text with an entity.
 
-    ``near`` is the array of (entity, term, start, end) around its entities.  It is
-    computed once, into the shared folder, as counts and spans both need it.
+    It is computed once, into the shared folder, as counts and spans both need it.
     """
     text = documents.select(text_or_empty(text_col).alias("text")).filter(_possible(F.col("text")))
-    near = _contexts(F.col("text"), reach, rf"\p{{L}}{{{shortest},}}")
-    return cut(text.select(*_key(F.col("text")), base_spans(F.col("text")).alias("base"), near.alias("near")).filter(F.size("base") > 0))
+    found = text.select("text", _found(F.col("text")).alias("found")).filter(F.size("found") > 0)
+    base = F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    rows = found.select(*_key(F.col("text")), "text", base.alias("base"), F.array_distinct(F.transform("found", lambda x: x["entity"])).alias("entities"))
+    return cut(rows.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.first("entities").alias("entities"), F.count("*").alias("copies")))
+
+
+def _pairs(found: DataFrame, support: int, shortest: int) -> DataFrame:
+    """k1, k2, copies, entity, n_entity, term: the terms of each text with each of its entities that ``support`` documents hold."""
+    entity = found.select(F.explode("entities").alias("e"), "copies").groupBy("e").agg(F.sum("copies").alias("n_entity")).filter(F.col("n_entity") >= support)
+    held = found.select("k1", "k2", F.explode("entities").alias("entity")).join(entity, F.col("entity") == F.col("e")).drop("e")
+    terms = found.select("k1", "k2", "copies", _terms(F.col("text"), shortest).alias("terms"))
+    return held.join(terms, ["k1", "k2"]).select("k1", "k2", "copies", "entity", "n_entity", F.explode("terms").alias("term"))
 
 
 def disclosing_terms(documents: DataFrame, found: DataFrame, text_col: str = "text", support: int = 3, threshold: float = 0.9, shortest: int = 4) -> DataFrame:
@@ -167,32 +180,29 @@ def disclosing_terms(documents: DataFrame, found: DataFrame, text_col: str = "te
     ``found`` is what ``located`` gives.  The number of documents is one number;
     everything else stays distributed.
     """
-    both = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x"))
-    both = both.groupBy("x.entity", "x.term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
-    entity = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("e")).groupBy("e").agg(F.count("*").alias("n_entity"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(text_col)), F.lit(rf"\p{{L}}{{{shortest},}}"), F.lit(0)))
-    words = documents.select(F.explode(words).alias("t")).groupBy("t").agg(F.count("*").alias("n_term"))
+    both = _pairs(found, support, shortest).groupBy("entity", "n_entity", "term").agg(F.sum("copies").alias("n_both")).filter(F.col("n_both") >= support)
+    words = documents.select(F.explode(_terms(text_or_empty(text_col), shortest)).alias("t")).groupBy("t").agg(F.count("*").alias("n_term"))
     n = float(max(documents.count(), 1))
     content = -F.log(F.least(F.col("n_entity") / n, F.lit(1.0)))
     pmi = F.log(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term")))
     # where an entity is in every document nothing more can be disclosed
     degree = F.when(content > 0, pmi / content).otherwise(0.0)
-    joined = both.join(words, F.col("term") == F.col("t")).join(entity, F.col("entity") == F.col("e"))
+    joined = both.join(words, F.col("term") == F.col("t"))
     return joined.select("entity", "term", "n_both", "n_entity", "n_term", degree.alias("disclosure")).filter(F.col("disclosure") >= threshold)
 
 
-def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 60, shortest: int = 4, **options) -> DataFrame:
+def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, shortest: int = 4, **options) -> DataFrame:
     """doc_id, k1, k2, base and terms (arrays of (kind, start, end)): a row for each row.
 
     What a text discloses depends on the text alone, so rows meet their spans by a
     128-bit key of the text and copies are looked at together.
     """
-    seen = located(documents, text_col, reach, shortest)
-    told = disclosing_terms(documents, seen, text_col, shortest=shortest, **options).select(F.col("entity").alias("e"), F.col("term").alias("t"))
-    at = seen.select("k1", "k2", F.explode("near").alias("x")).select("k1", "k2", "x.*")
-    hit = at.join(told, (F.col("entity") == F.col("e")) & (F.col("term") == F.col("t")), "left_semi")
-    terms = hit.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("terms"))
-    spans = seen.select("k1", "k2", "base").dropDuplicates(["k1", "k2"]).join(terms, ["k1", "k2"], "left")
+    seen = located(documents, text_col)
+    told = disclosing_terms(documents, seen, text_col, support=support, shortest=shortest, **options).select(F.col("entity").alias("e"), F.col("term").alias("t"))
+    hit = _pairs(seen, support, shortest).join(told, (F.col("entity") == F.col("e")) & (F.col("term") == F.col("t")), "left_semi")
+    said = hit.groupBy("k1", "k2").agg(F.collect_set("term").alias("said"))
+    terms = F.when(F.col("said").isNotNull(), F.array_sort(_term_spans(F.col("text"), F.col("said"), shortest)))
+    spans = seen.join(said, ["k1", "k2"], "left").select("k1", "k2", "base", terms.alias("terms"))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     rows = documents.select(F.col(id_col).alias("doc_id"), *_key(text_or_empty(text_col)))
     return rows.join(spans, ["k1", "k2"], "left").select("doc_id", "k1", "k2", F.coalesce("base", none).alias("base"), F.coalesce("terms", none).alias("terms"))

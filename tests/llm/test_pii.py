@@ -65,6 +65,22 @@ def test_disclosing_terms(spark):
     assert clean[0] == "the report by  reached [email] on day aaaaa with the others" and clean[12] == rows[8][1]
 
 
+def test_terms_of_whole_documents(spark):
+    far = "common words without meaning " * 20
+    rows = [(i, f"Dear Quillfeather, {far} q.f@example.org {far} yours, quillfeather") for i in range(4)]
+    rows += [(10, "a@x.com, b@x.com Wilson"), (11, "a@x.com, b@x.com Wilson"), (12, "a@x.com, b@x.com Wilson"), (13, "Quillfeather alone")]
+    rows += [(20 + i, far) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    terms = {(r["entity"], r["term"]): (r["n_both"], r["n_entity"], r["n_term"]) for r in pii.disclosing_terms(df, pii.located(df)).collect()}
+    assert terms[("email:q.f@example.org", "quillfeather")] == (4, 4, 5)
+    assert ("email:a@x.com", "wilson") in terms and ("email:b@x.com", "wilson") in terms and not any(t in ("common", "example") for _, t in terms)
+    found = {r["doc_id"]: r["terms"] for r in pii.find(df).collect()}
+    text = rows[0][1]
+    assert [text[x["start"] : x["end"]] for x in found[0] if text[x["start"] : x["end"]].lower() == "quillfeather"] == ["Quillfeather", "quillfeather"]
+    assert found[13] == [] and [(x["start"], x["end"]) for x in found[10]] == [(17, 23)]
+    assert "uillfeather" not in {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}[2]
+
+
 def test_rewriting_overlaps(spark):
     df = spark.createDataFrame([("0123456789", [("ip", 1, 4), ("card", 3, 6), ("term", 7, 8)])], "text string, s array<struct<kind:string,start:int,end:int>>")
     assert df.select(pii.rewritten(df.text, df.s)).first()[0] == "0[ip]689"
