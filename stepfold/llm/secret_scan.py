@@ -1,12 +1,15 @@
 """Secret scans: fixed patterns, and strings that a primed compressor cannot explain.
 
 The patterns find assignments, access keys and long hex strings.  Beside them, each
-candidate string in a sensitive context (a word such as key, token or auth shortly
-before it) is measured by its marginal compressed size: the surrounding code is
-compressed with zstandard, primed with a dictionary of the corpus's identifiers,
-once without the candidate and once with it.  If the added bytes are at least
-``novelty`` of its length, neither the surroundings nor the corpus explain it and
-it is reported.
+candidate string of the text in a sensitive context (a word such as key, token or
+auth within ``reach`` code points of it, on either side or inside) is measured by its
+marginal compressed size: the surrounding code is compressed with zstandard, primed
+with a dictionary of the corpus's identifiers, once without the candidate and once
+with it.  If the added bytes are at least ``novelty`` of its length, neither the
+surroundings nor the corpus explain it and it is reported.  Where the whole is
+explained, what its first context word begins and what follows its last ``=`` are
+tried.  A reported candidate goes on to the adjacent lines that are candidates
+themselves, and lines of one length to the shorter one that ends them.
 
 The identifier dictionary holds the most frequent identifiers of all texts, up to
 ``dictionary_bytes`` (its size is the feature; counts cover every row).
@@ -18,6 +21,7 @@ repeated rows give repeated rows; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,7 +36,12 @@ _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CONTEXT = re.compile(r"(?ai:key|secret|token|passw|credential|auth|private|bearer|signature)")
+_LEAST = 16
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_PAD = "\x20\t\"'>"
+_BREAK = re.compile(r"""[\x20\t"',;\\]*+\r?\n[\x20\t"'>]*+""")
+_CLOSE = re.compile(r"""[\x20\t"',;\\]*+\r?(?:\n|\Z)""")
+_REST = re.compile(rf"""{_BREAK.pattern}([A-Za-z0-9+/_=-]{{1,15}}+)(?={_CLOSE.pattern})""")
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 
 
@@ -61,28 +70,82 @@ class Novelty:
         known = (before + after).encode()
         return (self.size(known + text[start:end].encode()) - self.size(known)) / (end - start)
 
+    def _novel(self, text: str, start: int, end: int, inside: int | None) -> int | None:
+        """Where the novel part of a candidate starts: the whole, what its first context word begins, or what follows its last '='."""
+        tries = [start, inside, text.rfind("=", start, start + len(text[start:end].rstrip("="))) + 1]
+        for at in tries:
+            if at is None or at < start or end - at < _LEAST:
+                continue
+            word = text[at:end]
+            if _DIGIT.search(word) and _LETTER.search(word) and self.ratio(text, at, end) >= self.novelty:
+                return at
+        return None
+
     def spans(self, text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-        """Novel candidates that overlap no span already taken."""
-        out, last = [], -1
+        """Novel candidates, and the lines that go on with a reported one, that overlap no span already taken."""
+        context = [m.span() for m in _CONTEXT.finditer(text)]
+        if not context and not taken:
+            return []
+        first, last = [s for s, _ in context], [e for _, e in context]
         starts = sorted((s, e) for s, e, _ in taken)
+        runs = [m.span() for m in _CANDIDATE.finditer(text)]
+        begins: list[int | None] = [None] * len(runs)  # where the reported part begins
+        free = [True] * len(runs)
+        k, reached = 0, -1
+        for n, (start, end) in enumerate(runs):
+            while k < len(starts) and starts[k][0] < end:
+                reached = max(reached, starts[k][1])
+                k += 1
+            if reached > start:
+                begins[n], free[n] = start, False
+                continue
+            c = bisect_left(last, start - self.reach)
+            if c < len(context) and first[c] <= end + self.reach:
+                c = bisect_left(first, start, c)
+                begins[n] = self._novel(text, start, end, first[c] if c < len(first) and first[c] < end else None)
+        # a secret over several lines: lines of nothing but one candidate, next to a reported one
+        for order, step in ((range(len(runs)), -1), (range(len(runs) - 1, -1, -1), 1)):
+            for n in order:
+                m = n + step
+                if begins[n] is None and 0 <= m < len(runs) and begins[m] is not None and _goes_on(text, runs[n], runs[m]):
+                    begins[n] = runs[n][0]
+        out = [(b, e, "novel") for b, (_, e), f in zip(begins, runs, free, strict=True) if f and b is not None]
+        # lines of one length may end in a shorter one
+        for n in range(1, len(runs)):
+            (a0, a1), (b0, b1) = runs[n - 1 : n + 1]
+            if begins[n - 1] is not None and begins[n] is not None and a1 - a0 == b1 - b0 and _broken(text, a1, b0):
+                rest = _REST.match(text, b1)
+                if rest and any(map(str.isalnum, rest[1])):
+                    out.append((rest.start(1), rest.end(1), "novel"))
+        clear = []
         k, reached = 0, -1
-        for c in _CONTEXT.finditer(text):
-            for m in _CANDIDATE.finditer(text, c.start(), min(len(text), c.end() + self.reach)):
-                end = m.end()
-                if end == c.end() + self.reach:  # the window may cut it
-                    end = _CANDIDATE.match(text, m.start()).end()
-                if m.start() <= last:
-                    continue
-                last = end - 1
-                while k < len(starts) and starts[k][0] < end:
-                    reached = max(reached, starts[k][1])
-                    k += 1
-                word = m.string[m.start() : end]
-                if reached > m.start() or not (_DIGIT.search(word) and _LETTER.search(word)):
-                    continue
-                if self.ratio(text, m.start(), end) >= self.novelty:
-                    out.append((m.start(), end, "novel"))
-        return out
+        for s, e, kind in sorted(out):
+            while k < len(starts) and starts[k][0] < e:
+                reached = max(reached, starts[k][1])
+                k += 1
+            if reached <= s:
+                clear.append((s, e, kind))
+        return clear
+
+
+def _broken(text: str, end: int, start: int) -> bool:
+    """Nothing but one line break, indentation and quotes lies between."""
+    m = _BREAK.match(text, end, start)
+    return m is not None and m.end() == start
+
+
+def _goes_on(text: str, one: tuple[int, int], reported: tuple[int, int]) -> bool:
+    """The candidate is alone in its line, next to a reported one, and looks like a part of a secret."""
+    (start, end), (low, high) = one, reported
+    if not (_broken(text, high, start) if high <= start else _broken(text, end, low)):
+        return False
+    before = start
+    while before > 0 and text[before - 1] in _PAD:
+        before -= 1
+    if not (before == 0 or text[before - 1] == "\n") or not _CLOSE.match(text, end):
+        return False
+    word = text[start:end]
+    return bool(_DIGIT.search(word) and _LETTER.search(word)) or (end - start == high - low and any(map(str.isalnum, word)))
 
 
 def _frequent(words: DataFrame, most: int, steps: int = 8) -> DataFrame:

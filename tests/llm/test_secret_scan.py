@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from stepfold.llm import secret_scan
 
@@ -50,3 +52,28 @@ def test_candidate_longer_than_the_window():
     body = "".join(chr(97 + i * 7 % 26) + str(i * 3 % 10) for i in range(60))
     text = f"bearer {body} end"
     assert secret_scan.Novelty(b"").spans(text, []) == [(7, 7 + len(body), "novel")]
+
+
+def novel(text):
+    return [text[s:e] for s, e, _ in secret_scan.Novelty(b"").spans(text, secret_scan.base_spans(text))]
+
+
+def test_candidates_on_either_side_of_the_word():
+    rng = random.Random(4)
+    secret = "".join(rng.choices(string.ascii_letters + string.digits, k=40))
+    for gap in (1, 31, 33, 40, 47):
+        assert novel(f"auth{' ' * gap}{secret} end") == [secret]
+        assert novel(f"{secret}{' ' * gap}auth") == [secret]
+    assert novel(f"auth{' ' * 60}{secret}") == []
+    whole = "AbC123q9keyZZ81kq2PwLr7Yt0aBc"
+    assert novel(f"x {whole} y") == [whole]
+
+
+def test_secrets_of_several_lines():
+    rng = random.Random(5)
+    lines = ["".join(rng.choices(string.ascii_letters + string.digits + "+/", k=64)) for _ in range(26)] + ["Ab1=="]
+    for end in ("\n", "\r\n"):
+        key = end.join(["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----", "and prose after it"])
+        assert novel(f"text before{end}{key}") == lines
+    # a word of prose in the next line is no part, nor is a rule
+    assert novel(f"auth {lines[0]}\n{'-' * 20}\n{lines[1]}x and more\n") == [lines[0]]
