@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.images import mask_iou
+
 BOX = ["x1", "y1", "x2", "y2"]
 #: Classes (by canonical name; bookcase stands for shelves) whose boxes are loose.
 STRUCTURAL = ("bookcase", "cabinet", "curtain", "door", "window")
@@ -140,15 +142,87 @@ def merge_overlapping(detections: DataFrame, tau: float = 0.55) -> DataFrame:
     return detections.groupBy("step_id").applyInPandas(run, "step_id bigint, idx int, n int, x1 double, y1 double, x2 double, y2 double")
 
 
+def _centre_inside(a: np.ndarray, b: np.ndarray) -> bool:
+    x, y = (a[0] + a[2]) / 2, (a[1] + a[3]) / 2
+    return bool(b[0] <= x <= b[2] and b[1] <= y <= b[3])
+
+
+def dedupe_extras(extras: DataFrame, tau: float = 0.4) -> DataFrame:
+    """Extra objects (step_id, idx, x1..y2) in index order, without those that overlap one already taken by ``tau`` or have a centre in common."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx", kind="stable")
+        box, kept = pdf[BOX].to_numpy(float), []
+        over = _iou(box)
+        for i in range(len(box)):
+            if not any(over[i, j] >= tau or _centre_inside(box[i], box[j]) or _centre_inside(box[j], box[i]) for j in kept):
+                kept.append(i)
+        return pdf.iloc[kept][["step_id", "idx", *BOX]]
+
+    return extras.groupBy("step_id").applyInPandas(run, "step_id bigint, idx int, x1 double, y1 double, x2 double, y2 double")
+
+
+def dedupe_instances(boxes: np.ndarray, masks: list[np.ndarray], scores: np.ndarray, mask_tau: float = 0.75, box_tau: float = 0.90, cap: int = 60) -> list[int]:
+    """Kept positions: by falling score, then mask area (then index), dropping what overlaps a kept one by mask or by box; empty masks are no instances."""
+    area = np.array([int(np.count_nonzero(m)) for m in masks])
+    over, kept = _iou(np.asarray(boxes, float).reshape(-1, 4)), []
+    for i in np.lexsort((np.arange(len(scores)), -area, -np.asarray(scores, float))):
+        if len(kept) == cap:
+            break
+        if area[i] and all(over[i, j] < box_tau and mask_iou(masks[i] > 0, masks[j] > 0) < mask_tau for j in kept):
+            kept.append(int(i))
+    return kept
+
+
+def gated_match(proposals: DataFrame, least: float = 0.8) -> DataFrame:
+    """Every proposal (step_id, gt_idx, pred_idx, compatible, confidence) with its ``status`` (match, rejected) and ``reason``.
+
+    Labels are gated first, then the confidence (null is 0.5); the rest is taken one to one, the most confident first.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        confidence = pdf["confidence"].astype(float).fillna(0.5).clip(0, 1)
+        pdf = pdf.assign(confidence=confidence).sort_values(["confidence", "gt_idx", "pred_idx"], ascending=[False, True, True], kind="stable")
+        left, right, reasons = set(), set(), []
+        for g, p, ok, c in pdf[["gt_idx", "pred_idx", "compatible", "confidence"]].itertuples(index=False, name=None):
+            if ok is None or pd.isna(ok) or not ok:
+                reasons.append("label")
+            elif c < least:
+                reasons.append("confidence")
+            elif g in left or p in right:
+                reasons.append("one_to_one")
+            else:
+                left.add(g)
+                right.add(p)
+                reasons.append(None)
+        out = pdf[["step_id", "gt_idx", "pred_idx", "confidence"]].copy()
+        out["status"], out["reason"] = ["rejected" if r else "match" for r in reasons], pd.Series(reasons, index=out.index, dtype=object)
+        return out
+
+    return proposals.groupBy("step_id").applyInPandas(run, "step_id bigint, gt_idx int, pred_idx int, confidence double, status string, reason string")
+
+
 def recover(missing_extra: DataFrame, cap: int = 12) -> DataFrame:
     """Missing objects taken in index order, each with the nearest extra still unused; ``cap`` a step at most.
 
-    ``missing_extra``: (step_id, gt_idx, pred_idx, distance) of acceptable pairs.
+    ``missing_extra``: (step_id, gt_idx, pred_idx, distance) of the pairs in reach, and where there is a verdict of each
+    pair, ``accepted``: a missing object whose nearest unused extra isn't accepted stays missing, and the extra unused.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["gt_idx", "distance", "pred_idx"], kind="stable")
-        rows = greedy_pairs(list(pdf[["gt_idx", "pred_idx", "distance"]].itertuples(index=False, name=None)))[:cap]
+        if "accepted" not in pdf:
+            pdf = pdf.assign(accepted=True)
+        rows, asked, used = [], set(), set()
+        for g, p, distance, accepted in pdf[["gt_idx", "pred_idx", "distance", "accepted"]].itertuples(index=False, name=None):
+            if len(rows) == cap:
+                break
+            if g in asked or p in used:
+                continue
+            asked.add(g)
+            if accepted:
+                used.add(p)
+                rows.append((g, p, distance))
         out = pd.DataFrame(rows, columns=["gt_idx", "pred_idx", "distance"])
         out.insert(0, "step_id", pdf["step_id"].iloc[0])
         return out

@@ -295,7 +295,19 @@ def image_level(spark, d):
 
 @query("q91_merge_recover_extra")
 def merge_recover(spark, d):
-    return match.merge_overlapping(_detections(spark, d), tau=0.3)
+    """Merged boxes, recovered pairs and the extras left over, one kind of row each."""
+    o, box = objects(spark, d), ["x1", "y1", "x2", "y2"]
+    merged = match.merge_overlapping(_detections(spark, d), tau=0.3).select("step_id", F.lit("merged").alias("kind"), F.lit(None).cast("int").alias("gt_idx"), "idx", "n", *box, F.lit(None).cast("double").alias("distance"))
+    extra = match.dedupe_extras(extra_objects(spark, d).join(_detections(spark, d).select("step_id", "idx", *box), ["step_id", "idx"]))
+    missing = o.filter("NOT matched").select("step_id", F.col("idx").alias("gt_idx"), F.col("label").alias("gl"), "gt")
+    seen = extra.join(o.select("step_id", "idx", F.col("label").alias("pl"), "score", "pred"), ["step_id", "idx"])
+    # an object and its own prediction have been told apart already
+    near = missing.join(seen, "step_id").filter("gt_idx <> idx").withColumn("distance", boxes.center_distance(F.col("gt"), F.col("pred"), HEIGHT, WIDTH)).filter("distance <= 0.35")
+    same = labels.compatible(F.col("gl"), F.col("pl")) & (0.75 + 0.25 * (1 - F.col("score")) >= 0.8)
+    got = match.recover(near.select("step_id", "gt_idx", F.col("idx").alias("pred_idx"), "distance", F.coalesce(same, F.lit(False)).alias("accepted"))).withColumnRenamed("pred_idx", "idx")
+    left = extra.join(got.select("step_id", "idx", "gt_idx", "distance"), ["step_id", "idx"], "left")
+    kind = F.when(F.col("gt_idx").isNull(), "extra").otherwise("recovered")
+    return merged.union(left.select("step_id", kind.alias("kind"), "gt_idx", "idx", F.lit(1).alias("n"), *box, "distance"))
 
 
 @query("q77_protocol_guards", f"""{W} SELECT step_id, 'too_few_matched' AS rule FROM objects GROUP BY step_id HAVING NOT count(*) FILTER (matched) >= 5 UNION ALL SELECT step_id, 'low_score' FROM objects GROUP BY step_id HAVING NOT min(score) >= 0.01""")

@@ -84,3 +84,41 @@ def test_same_objects(seed, n):
         for j in set(range(n)) - gone:
             if i != j and (classes[i] == classes[j] or not classes[i] or not classes[j]):
                 assert over[i, j] < (0.45 if loose[i] or loose[j] else 0.55)
+
+
+def test_extras_are_deduplicated_as_they_come(spark):
+    rows = [(1, 0, 0.0, 0.0, 10.0, 10.0), (1, 1, 1.0, 0.0, 11.0, 10.0), (1, 2, 4.0, 4.0, 6.0, 6.0), (1, 3, 50.0, 50.0, 60.0, 60.0), (2, 0, 0.0, 0.0, 1.0, 1.0)]
+    extras = spark.createDataFrame(rows, "step_id bigint, idx int, x1 double, y1 double, x2 double, y2 double")
+    assert sorted((r["step_id"], r["idx"]) for r in match.dedupe_extras(extras).collect()) == [(1, 0), (1, 3), (2, 0)]
+
+
+def test_recovery_asks_the_nearest_only(spark):
+    near = spark.createDataFrame([(1, 0, 7, 0.1, False), (1, 0, 8, 0.2, True), (1, 1, 7, 0.3, True)], "step_id bigint, gt_idx int, pred_idx int, distance double, accepted boolean")
+    assert [(r["gt_idx"], r["pred_idx"]) for r in match.recover(near).collect()] == [(1, 7)]
+
+
+def test_gated_match_keeps_what_it_rejects(spark):
+    rows = [(1, 0, 0, True, 0.9), (1, 0, 1, True, 0.95), (1, 1, 0, False, 0.99), (1, 2, 2, True, 0.7), (1, 3, 3, True, None)]
+    df = spark.createDataFrame(rows, "step_id bigint, gt_idx int, pred_idx int, compatible boolean, confidence double")
+    got = {(r["gt_idx"], r["pred_idx"]): (r["status"], r["reason"]) for r in match.gated_match(df).collect()}
+    assert got == {(0, 1): ("match", None), (0, 0): ("rejected", "one_to_one"), (1, 0): ("rejected", "label"), (2, 2): ("rejected", "confidence"), (3, 3): ("rejected", "confidence")}
+
+
+def test_instances_are_dropped_by_mask_or_box():
+    masks = [np.zeros((20, 20), bool) for _ in range(4)]
+    masks[0][:10, :10] = masks[1][:10, :9] = masks[2][12:, 12:] = True
+    far = np.array([[0, 0, 10, 10], [0, 0, 4, 4], [12, 12, 20, 20], [0, 0, 1, 1]], float)
+    assert match.dedupe_instances(far, masks, np.array([0.9, 0.8, 0.7, 1.0])) == [0, 2]  # by mask; the empty one is none
+    masks[1][:] = False
+    masks[1][5, 15] = True
+    assert match.dedupe_instances(far, masks, np.array([0.9, 0.8, 0.7, 1.0])) == [0, 1, 2]
+    far[1] = far[0]
+    assert match.dedupe_instances(far, masks, np.array([0.9, 0.8, 0.7, 1.0])) == [0, 2]  # by box
+
+
+def test_merge_recover_query(spark):
+    from stepfold.plans import objects
+
+    rows = objects.merge_recover(spark, "/root/testdata/sf0.001").collect()
+    assert {r["kind"] for r in rows} >= {"merged", "extra"} and all((r["gt_idx"] is not None) == (r["kind"] == "recovered") for r in rows)
+    assert all(r["distance"] <= 0.35 and r["gt_idx"] != r["idx"] for r in rows if r["kind"] == "recovered")
