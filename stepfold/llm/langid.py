@@ -4,7 +4,8 @@ A language's model is its distribution over hashed byte trigrams of lower-case
 text.  A document is a mixture: expectation-maximisation finds the proportions
 of languages under which its trigrams are most likely.  The set of languages is
 chosen by penalised likelihood: languages are added in the order of their
-proportions while the gain exceeds ``penalty * ln(n) / 2`` for n trigrams.  The
+proportions, each at the price of ``penalty * ln(n) / 2`` for n trigrams, up to all
+learned ones, and the best set is taken.  The
 prediction is the largest proportion of the chosen set, its score that proportion.
 
 Training: trigram counts of whole texts of a sample of labelled rows, at most
@@ -62,16 +63,25 @@ class Model:
             pi = pi * ((c / (pi @ self.p)) @ self.p.T) / n
         return pi, (c * np.log(pi @ self.p)).sum(axis=1)
 
-    def proportions(self, c: np.ndarray, penalty: float = 4.0, most: int = 3, rounds: int = 8) -> np.ndarray:
+    def proportions(self, c: np.ndarray, penalty: float = 4.0, rounds: int = 8) -> np.ndarray:
         """Proportions over the languages of each row's chosen set; zero elsewhere."""
-        full, _ = self._mixture(c, np.ones((len(c), len(self.langs)), np.float32), rounds)
+        full, likely = self._mixture(c, np.ones((len(c), len(self.langs)), np.float32), rounds)
         rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
-        cost = penalty * np.log(np.maximum(c.sum(axis=1), 2)) / 2
+        n = c.sum(axis=1)
+        cost = penalty * np.log(np.maximum(n, 2)) / 2
+        # no mixture is likelier than this (Jensen): what a further language costs can then not come back
+        grown = ((c / (full @ self.p)) @ self.p.T).max(axis=1) / np.maximum(n, 1)
+        bound = likely + n * np.log(np.maximum(grown, 1))
         best, pi = np.full(len(c), -np.inf), np.zeros_like(full)
-        for k in range(1, min(most, len(self.langs)) + 1):
-            mix, likelihood = self._mixture(c, (rank < k).astype(np.float32), rounds if k > 1 else 1)
-            gain = likelihood - cost * k > best
-            pi[gain], best[gain] = mix[gain], (likelihood - cost * k)[gain]
+        left = np.arange(len(c))
+        for k in range(1, len(self.langs) + 1):
+            mix, likelihood = self._mixture(c[left], (rank[left] < k).astype(np.float32), rounds if k > 1 else 1)
+            value = likelihood - cost[left] * k
+            gain = value > best[left]
+            pi[left[gain]], best[left[gain]] = mix[gain], value[gain]
+            left = left[bound[left] - cost[left] * (k + 1) > best[left]]
+            if not len(left):
+                break
         return pi
 
     def predict(self, texts: list[str | None], batch: int = 128) -> tuple[list[str], list[float]]:

@@ -57,3 +57,14 @@ def test_accepted_keeps_columns(odd):
     got = langid.accepted(docs, langid.fit(odd.filter("length(text) < 1000")))
     ids = {r["doc_id"] for r in got.collect()}
     assert got.columns == docs.columns and {5, 7, 9} <= ids and not {2, 3, 4, 10} & ids
+
+
+def test_more_than_three_languages():
+    rng = np.random.default_rng(3)
+    totals = rng.gamma(0.05, 100.0, (6, langid.DIMS))
+    model = langid.Model(list("abcdef"), totals)
+    share = np.array([0.37, 0.23, 0.20, 0.20, 0.0, 0.0])
+    c = np.stack([rng.multinomial(4000, share @ model.p / (share @ model.p).sum()), rng.multinomial(4000, model.p[5] / model.p[5].sum())]).astype(np.float32)
+    pi = model.proportions(c)
+    assert (pi[0] > 0).sum() == 4 and abs(pi[0].max() - 0.37) < 0.03 and pi[0].argmax() == 0
+    assert (pi[1] > 0).sum() == 1 and pi[1].argmax() == 5
