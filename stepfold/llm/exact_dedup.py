@@ -5,11 +5,10 @@
   grown by doubling: a bucket over its capacity is split, and when its local
   depth equals the directory's, the directory doubles.  It is built from a
   histogram of at most ``2 ** max_depth`` rows, whatever the input's size.
-* Owners: each owner task has a contiguous range of buckets.  Within it equal
-  keys are chained, and the members of a chain are told apart by their bytes:
-  grouping by the normalised text itself compares them.  Partial aggregation
-  collapses copies before the shuffle, so a hot group reaches its owner as one
-  row per upstream task.
+* Groups: rows are grouped by bucket, key and normalised text, so texts of equal
+  key are told apart by their bytes.  That replaces owners with ranges of buckets:
+  rows are dealt by a hash of all three.  Partial aggregation collapses copies
+  before the shuffle, so a hot group is one row per upstream task.
 * The index (bucket, key, digest, row that stays, group size) is written as
   Parquet to the shared folder and joined back to one light row per document.
 
