@@ -145,3 +145,14 @@ def test_result(spark):
         contract.result(pose.filter("id NOT LIKE '%chain%'"), obj, given).collect()
     with pytest.raises(ValueError, match="one_family"):
         contract.score_predictions(manifest(spark), predictions(spark), pose, obj.limit(5), given)
+
+
+def test_leakage_of_many_short_items(spark, tmp_path):
+    from stepfold.plans.contracts import content_leakage
+
+    texts = ["one two three four five six seven", "xalpha betas end", "", "k500 and k17x", None, "a b c d"]
+    items = [f"k{i}" for i in range(1500)] + ["alpha beta", "wo three fo", "two three four five si", "", "b c", "three five", "one two three four five six seve", "x" * 30]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(tuple(r) for r in content_leakage(spark, str(tmp_path)).collect())
+    assert got == sorted((d, i) for d, t in enumerate(texts) if t is not None for i, x in enumerate(items) if x in t)
