@@ -64,6 +64,15 @@ def targets(sizes: list[int], weights: list[float], max_epochs: float = 3) -> li
     return out
 
 
+def key_range(key: Column, buckets: int) -> Column:
+    """The range of a key, in the keys' order: ``buckets`` / 4 to a doubling.
+
+    A quality only shifts the logarithm of its keys, so whatever the qualities of a
+    source, a range expects at most about a ``buckets``-th of its rows.
+    """
+    return F.coalesce(F.floor(F.log2(key) * (buckets / 4)), F.lit(-64 * buckets)).cast("int")
+
+
 def mix(
     documents: DataFrame,
     id_col: str = "doc_id",
@@ -88,7 +97,7 @@ def mix(
         F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"),
         (-F.log(uniform(id_col, seed)) / quality(text_col)).alias("key"),
     )
-    rows = cut(rows.withColumn("part", F.floor(F.lit(buckets) * (1 - F.exp(-F.col("key")))).cast("int")))
+    rows = cut(rows.withColumn("part", key_range(F.col("key"), buckets)))
     parts = cut(rows.groupBy("source", "part").agg(F.sum("size").alias("words")))
     found = parts.groupBy("source").agg(F.sum("words").alias("n")).limit(max_sources + 1).collect()
     if len(found) > max_sources:
@@ -100,7 +109,7 @@ def mix(
     for (source, n), target in zip(found, goal, strict=True):
         epochs = int(target / n) if n else 0
         plan.append((source, n, target, epochs, target - epochs * n))
-    # parts has at most `buckets` rows a source, plan one: both proven bounds
+    # parts has at most 16 * `buckets` rows a source, plan one: both proven bounds
     before = F.sum("words").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.withColumn("before", F.coalesce(before, F.lit(0)))
     parts = parts.join(F.broadcast(spark.createDataFrame(plan, schema)), F.col("source").eqNullSafe(F.col("s"))).drop("s", "words")

@@ -85,3 +85,13 @@ def test_mixed_documents(small):
     got = mixing.mixed_documents(small)
     assert got.columns == small.columns
     assert {r["doc_id"]: r["count"] for r in got.groupBy("doc_id").count().collect()} == times
+
+
+def test_ranges_are_even_for_every_quality(spark):
+    from pyspark.sql import functions as F
+
+    for quality in (0.1, 0.3, 1.0):
+        keys = spark.range(200000).select((-F.log((F.col("id") + 0.5) / 200000) / quality).alias("key"))
+        ranges = keys.groupBy(mixing.key_range(F.col("key"), 4096).alias("r")).agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).orderBy("r").collect()
+        assert max(r["n"] for r in ranges) < 2 * 200000 / 4096
+        assert all(x["b"] < y["a"] for x, y in zip(ranges, ranges[1:], strict=False))
