@@ -212,20 +212,40 @@ def _detections(spark, d):
     return objects(spark, d).select("step_id", "idx", "label", "score", "pred.*")
 
 
-@query("q60_greedy_nms")
+@query("q60_greedy_nms", f"""WITH RECURSIVE {OBJECTS_SQL}, k AS (SELECT step_id, idx, row_number() OVER (PARTITION BY step_id ORDER BY score DESC, idx) AS n FROM objects),
+    c AS (SELECT a.step_id, a.idx, coalesce(list(b.idx) FILTER (b.idx IS NOT NULL), []) AS against FROM objects a LEFT JOIN objects b ON a.step_id = b.step_id AND a.idx <> b.idx AND {iou_sql('a.p', 'b.p')} >= 0.3 GROUP BY ALL),
+    o AS (SELECT * FROM k JOIN c USING (step_id, idx)),
+    walk AS (SELECT DISTINCT step_id, 0::BIGINT AS n, []::INT[] AS kept FROM o
+      UNION ALL SELECT w.step_id, o.n, CASE WHEN len(kept) < 60 AND NOT list_has_any(kept, against) THEN list_append(kept, o.idx) ELSE kept END FROM walk w JOIN o ON o.step_id = w.step_id AND o.n = w.n + 1),
+    done AS (SELECT step_id, arg_max(kept, n) AS kept FROM walk GROUP BY 1) SELECT step_id, unnest(kept) AS idx, (generate_subscripts(kept, 1) - 1)::INT AS rank FROM done""")
 def greedy_nms(spark, d):
     return match.nms(_detections(spark, d), tau=0.3)
 
 
-@query("q61_greedy_one_to_one")
+@query("q61_greedy_one_to_one", f"""WITH RECURSIVE {OBJECTS_SQL}, {CROSS_SQL}, c AS (SELECT step_id, g.idx AS gt_idx, p.idx AS pred_idx, round({iou_sql('g.g', 'p.p', 1e-6)}, 9) AS iou, round(list_dot_product(g.feature, p.feature), 9) AS similarity FROM x
+      WHERE g.label = p.label AND {iou_sql('g.g', 'p.p', 1e-6)} >= 0.05), k AS (SELECT *, row_number() OVER (PARTITION BY step_id ORDER BY iou DESC, similarity DESC, gt_idx, pred_idx) AS n FROM c),
+    walk AS (SELECT DISTINCT step_id, 0::BIGINT AS n, []::INT[] AS gs, []::INT[] AS ps, false AS took FROM k
+      UNION ALL SELECT w.step_id, k.n, CASE WHEN list_contains(gs, gt_idx) OR list_contains(ps, pred_idx) THEN gs ELSE list_append(gs, gt_idx) END,
+        CASE WHEN list_contains(gs, gt_idx) OR list_contains(ps, pred_idx) THEN ps ELSE list_append(ps, pred_idx) END, NOT (list_contains(gs, gt_idx) OR list_contains(ps, pred_idx)) FROM walk w JOIN k ON k.step_id = w.step_id AND k.n = w.n + 1)
+    SELECT step_id, gt_idx, pred_idx, iou, similarity FROM walk JOIN k USING (step_id, n) WHERE took""")
 def greedy_one_to_one(spark, d):
-    return match.greedy_match(_candidates(spark, d, 0.05))
+    return match.greedy_match(_candidates(spark, d, 0.05).withColumns({"iou": r9("iou"), "similarity": r9("similarity")}))
 
 
-@query("q62_optimal_assignment")
+def _assignment_sql() -> str:
+    """The best sum over sets of used predictions, one ground-truth object after the other."""
+    ctes = ["f0 AS (SELECT DISTINCT step_id, 0 AS used, 0.0::DOUBLE AS total, []::STRUCT(gt_idx INT, pred_idx INT, weight DOUBLE)[] AS path FROM cand)"]
+    for i in range(10):
+        ctes.append(f"""f{i + 1} AS (SELECT step_id, used, max(total) AS total, arg_max(path, total) AS path FROM (SELECT * FROM f{i}
+          UNION ALL SELECT step_id, used | (1 << pred_idx), total + weight, list_append(path, {{'gt_idx': gt_idx, 'pred_idx': pred_idx, 'weight': weight}}) FROM f{i} JOIN cand USING (step_id) WHERE gt_idx = {i} AND used & (1 << pred_idx) = 0) GROUP BY ALL)""")
+    return ", ".join(ctes)
+
+
+@query("q62_optimal_assignment", f"""{W}, {CROSS_SQL}, cand AS (SELECT step_id, g.idx AS gt_idx, p.idx AS pred_idx, 1 - sqrt((g.gcx - p.pcx) * (g.gcx - p.pcx) + (g.gcy - p.pcy) * (g.gcy - p.pcy)) / {DIAG} AS weight FROM x WHERE sqrt((g.gcx - p.pcx) * (g.gcx - p.pcx) + (g.gcy - p.pcy) * (g.gcy - p.pcy)) / {DIAG} <= 0.35),
+    {_assignment_sql()}, best AS (SELECT step_id, unnest(arg_max(path, total)) AS x FROM f10 GROUP BY 1) SELECT step_id, x.gt_idx AS gt_idx, x.pred_idx AS pred_idx, round(x.weight, 9) AS weight FROM best""")
 def optimal_assignment(spark, d):
     near = _cross(spark, d).select("step_id", F.col("g.idx").alias("gt_idx"), F.col("p.idx").alias("pred_idx"), (1 - boxes.center_distance(F.col("g.gt"), F.col("p.pred"), HEIGHT, WIDTH)).alias("weight"))
-    return match.optimal_match(near.filter("weight >= 0.65"))
+    return match.optimal_match(near.filter("weight >= 0.65")).withColumn("weight", r9("weight"))
 
 
 @query("q63_demote_split", f"""{W}, v AS (SELECT step_id, idx, CASE WHEN idx % 4 = 3 THEN NULL ELSE score < 0.2 END AS same, 0.85::DOUBLE + 0.1 * score AS conf, 1 - score AS ident FROM objects WHERE matched),
@@ -293,7 +313,34 @@ def image_level(spark, d):
     )
 
 
-@query("q91_merge_recover_extra")
+EXTRA_SQL = f"""extra AS (SELECT step_id, idx FROM objects e WHERE NOT matched
+    AND NOT EXISTS (SELECT 1 FROM objects m WHERE m.step_id = e.step_id AND m.matched AND {iou_sql('m.p', 'e.p')} > 0.5)
+    AND NOT EXISTS (SELECT 1 FROM objects g WHERE g.step_id = e.step_id AND g.idx <> e.idx AND ({iou_sql('g.g', 'e.p')} > 0.25 OR (e.pcx BETWEEN g.gx1 AND g.gx2 AND e.pcy BETWEEN g.gy1 AND g.gy2))))"""
+BOX_SQL = "{'idx': o.idx, 'n': 1, 'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2}"
+_INSIDE = "(({0}x1 + {0}x2) / 2 BETWEEN {1}x1 AND {1}x2 AND ({0}y1 + {0}y2) / 2 BETWEEN {1}y1 AND {1}y2)"
+
+
+@query("q91_merge_recover_extra", f"""WITH RECURSIVE {OBJECTS_SQL}, {EXTRA_SQL}, b AS (SELECT step_id, idx, px1 AS x1, py1 AS y1, px2 AS x2, py2 AS y2 FROM objects),
+    bo AS (SELECT *, row_number() OVER (PARTITION BY step_id ORDER BY idx) AS k FROM b),
+    merge1 AS (SELECT DISTINCT step_id, 0::BIGINT AS k, []::STRUCT(idx INT, n INT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)[] AS gs FROM b
+      UNION ALL SELECT w.step_id, o.k, CASE WHEN len(list_filter(gs, lambda g: {iou_sql('g.', 'o.')} > 0.3)) = 0 THEN list_append(gs, {BOX_SQL})
+        ELSE list_transform(gs, lambda g: CASE WHEN g.idx = list_filter(gs, lambda h: {iou_sql('h.', 'o.')} > 0.3)[1].idx
+          THEN {{'idx': g.idx, 'n': g.n + 1, 'x1': least(g.x1, o.x1), 'y1': least(g.y1, o.y1), 'x2': greatest(g.x2, o.x2), 'y2': greatest(g.y2, o.y2)}} ELSE g END) END FROM merge1 w JOIN bo o ON o.step_id = w.step_id AND o.k = w.k + 1),
+    merged AS (SELECT step_id, unnest(arg_max(gs, k)) AS g FROM merge1 GROUP BY 1),
+    eo AS (SELECT b.*, row_number() OVER (PARTITION BY step_id ORDER BY idx) AS k FROM b JOIN extra USING (step_id, idx)),
+    extra1 AS (SELECT DISTINCT step_id, 0::BIGINT AS k, []::STRUCT(idx INT, n INT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)[] AS gs FROM eo
+      UNION ALL SELECT w.step_id, o.k, CASE WHEN len(list_filter(gs, lambda g: {iou_sql('g.', 'o.')} >= 0.4 OR {_INSIDE.format('o.', 'g.')} OR {_INSIDE.format('g.', 'o.')})) = 0 THEN list_append(gs, {BOX_SQL}) ELSE gs END
+      FROM extra1 w JOIN eo o ON o.step_id = w.step_id AND o.k = w.k + 1),
+    kept AS (SELECT step_id, unnest(arg_max(gs, k)) AS g FROM extra1 GROUP BY 1),
+    near AS (SELECT m.step_id, m.idx AS gt_idx, p.idx AS idx, round(sqrt((m.gcx - p.pcx) * (m.gcx - p.pcx) + (m.gcy - p.pcy) * (m.gcy - p.pcy)) / {DIAG}, 9) AS distance, {CANON.format('m.label')} = {CANON.format('p.label')} AND 0.75::DOUBLE + 0.25 * (1 - p.score) >= 0.8 AS accepted
+      FROM kept JOIN objects p ON p.step_id = kept.step_id AND p.idx = kept.g.idx JOIN objects m ON m.step_id = p.step_id AND NOT m.matched AND m.idx <> p.idx),
+    no AS (SELECT *, row_number() OVER (PARTITION BY step_id ORDER BY gt_idx, distance, idx) AS k FROM near WHERE distance <= 0.35),
+    back AS (SELECT DISTINCT step_id, 0::BIGINT AS k, []::INT[] AS asked, []::INT[] AS used, false AS took FROM no
+      UNION ALL SELECT w.step_id, o.k, CASE WHEN list_contains(asked, gt_idx) OR list_contains(used, idx) THEN asked ELSE list_append(asked, gt_idx) END,
+        CASE WHEN accepted AND NOT (list_contains(asked, gt_idx) OR list_contains(used, idx)) THEN list_append(used, idx) ELSE used END, accepted AND NOT (list_contains(asked, gt_idx) OR list_contains(used, idx)) FROM back w JOIN no o ON o.step_id = w.step_id AND o.k = w.k + 1),
+    got AS (SELECT step_id, gt_idx, idx, distance FROM back JOIN no USING (step_id, k) WHERE took)
+    SELECT step_id, 'merged' AS kind, NULL::INT AS gt_idx, g.idx AS idx, g.n AS n, round(g.x1, 9) AS x1, round(g.y1, 9) AS y1, round(g.x2, 9) AS x2, round(g.y2, 9) AS y2, NULL::DOUBLE AS distance FROM merged
+    UNION ALL SELECT kept.step_id, CASE WHEN got.idx IS NULL THEN 'extra' ELSE 'recovered' END, got.gt_idx, g.idx, 1, round(g.x1, 9), round(g.y1, 9), round(g.x2, 9), round(g.y2, 9), got.distance FROM kept LEFT JOIN got ON got.step_id = kept.step_id AND got.idx = kept.g.idx""")
 def merge_recover(spark, d):
     """Merged boxes, recovered pairs and the extras left over, one kind of row each."""
     o, box = objects(spark, d), ["x1", "y1", "x2", "y2"]
@@ -302,12 +349,13 @@ def merge_recover(spark, d):
     missing = o.filter("NOT matched").select("step_id", F.col("idx").alias("gt_idx"), F.col("label").alias("gl"), "gt")
     seen = extra.join(o.select("step_id", "idx", F.col("label").alias("pl"), "score", "pred"), ["step_id", "idx"])
     # an object and its own prediction have been told apart already
-    near = missing.join(seen, "step_id").filter("gt_idx <> idx").withColumn("distance", boxes.center_distance(F.col("gt"), F.col("pred"), HEIGHT, WIDTH)).filter("distance <= 0.35")
+    near = missing.join(seen, "step_id").filter("gt_idx <> idx").withColumn("distance", r9(boxes.center_distance(F.col("gt"), F.col("pred"), HEIGHT, WIDTH))).filter("distance <= 0.35")
     same = labels.compatible(F.col("gl"), F.col("pl")) & (0.75 + 0.25 * (1 - F.col("score")) >= 0.8)
     got = match.recover(near.select("step_id", "gt_idx", F.col("idx").alias("pred_idx"), "distance", F.coalesce(same, F.lit(False)).alias("accepted"))).withColumnRenamed("pred_idx", "idx")
     left = extra.join(got.select("step_id", "idx", "gt_idx", "distance"), ["step_id", "idx"], "left")
     kind = F.when(F.col("gt_idx").isNull(), "extra").otherwise("recovered")
-    return merged.union(left.select("step_id", kind.alias("kind"), "gt_idx", "idx", F.lit(1).alias("n"), *box, "distance"))
+    out = merged.union(left.select("step_id", kind.alias("kind"), "gt_idx", "idx", F.lit(1).alias("n"), *box, "distance"))
+    return out.withColumns({c: r9(c) for c in box})
 
 
 @query("q77_protocol_guards", f"""{W} SELECT step_id, 'too_few_matched' AS rule FROM objects GROUP BY step_id HAVING NOT count(*) FILTER (matched) >= 5 UNION ALL SELECT step_id, 'low_score' FROM objects GROUP BY step_id HAVING NOT min(score) >= 0.01""")
@@ -349,7 +397,20 @@ def proposal_acceptance(spark, d):
     return best.select("step_id", "gt_idx", "x.pred_idx", (0.0 - F.col("x.inv")).alias("score"))
 
 
-@query("q94_label_aware_dedup")
+def _repeats_sql(tau: str) -> str:
+    a, b, c, e = tau.split()
+    return f"CASE WHEN inter / (sa + sb - inter) >= {a} THEN 'overlap' WHEN inter / sa >= {b} THEN 'covered' WHEN inter / least(sa, sb) >= {c} AND away <= {e} THEN 'contained' END"
+
+
+@query("q94_label_aware_dedup", f"""WITH RECURSIVE {OBJECTS_SQL}, {QUALITY_SQL}, b AS (SELECT q.step_id, q.idx, {CANON.format('q.label')} AS cls, o.score, x1, y1, x2, y2, (x2 - x1) * (y2 - y1) AS size FROM q JOIN objects o USING (step_id, idx) WHERE x2 > x1 AND y2 > y1),
+    k AS (SELECT *, row_number() OVER (PARTITION BY step_id ORDER BY score DESC, size DESC, idx) AS n FROM b),
+    j AS (SELECT i.step_id, i.idx, j.idx AS other, i.cls IN {match.STRUCTURAL} OR j.cls IN {match.STRUCTURAL} AS loose, i.size AS sa, j.size AS sb, greatest(0.0::DOUBLE, least(i.x2, j.x2) - greatest(i.x1, j.x1)) * greatest(0.0::DOUBLE, least(i.y2, j.y2) - greatest(i.y1, j.y1)) AS inter,
+      sqrt(((i.x1 + i.x2) / 2 - (j.x1 + j.x2) / 2) ** 2 + ((i.y1 + i.y2) / 2 - (j.y1 + j.y2) / 2) ** 2) / {DIAG} AS away FROM k i JOIN k j ON i.step_id = j.step_id AND i.idx <> j.idx AND i.cls = j.cls),
+    r AS (SELECT step_id, idx, other, CASE WHEN loose THEN {_repeats_sql('0.45 0.62 0.78 0.16')} ELSE {_repeats_sql('0.55 0.72 0.85 0.12')} END AS reason FROM j),
+    o AS (SELECT k.step_id, k.idx, k.n, coalesce(list(r.other) FILTER (r.reason IS NOT NULL), []) AS against FROM k LEFT JOIN r ON r.step_id = k.step_id AND r.idx = k.idx GROUP BY ALL),
+    walk AS (SELECT DISTINCT step_id, 0::BIGINT AS n, []::INT[] AS kept, NULL::INT AS first FROM o
+      UNION ALL SELECT w.step_id, o.n, CASE WHEN list_has_any(kept, against) THEN kept ELSE list_append(kept, o.idx) END, list_filter(kept, lambda x: list_contains(against, x))[1] FROM walk w JOIN o ON o.step_id = w.step_id AND o.n = w.n + 1)
+    SELECT r.step_id, r.idx, r.other AS duplicate_of, r.reason FROM walk w JOIN o USING (step_id, n) JOIN r ON r.step_id = o.step_id AND r.idx = o.idx AND r.other = w.first""")
 def label_aware_dedup(spark, d):
     x = objects(spark, d).select("step_id", "idx", labels.canonical(F.col("label")).alias("cls"), "score", boxes.safe_box(F.col("gt"), HEIGHT, WIDTH).alias("b"))
     return match.dedupe_objects(x.filter("b IS NOT NULL").select("step_id", "idx", "cls", "score", "b.*"), HEIGHT, WIDTH)
