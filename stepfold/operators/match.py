@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.images import mask_iou
@@ -174,6 +174,35 @@ def dedupe_instances(boxes: np.ndarray, masks: list[np.ndarray], scores: np.ndar
     return kept
 
 
+#: Proposal modes, and the scores that a mode of both kinds gives to its sources.
+MODES = {"auto": ("auto",), "detector": ("detector",), "detector_mask": ("detector_mask",), "text": ("text",), "hybrid": ("auto", "text")}
+HYBRID_SCORES = {"auto": 0.90, "text": 1.00}
+
+
+def proposals(mode: str, sources: dict[str, DataFrame], cap: int = 60) -> DataFrame:
+    """(step_id, idx, source, rank) of the proposals (step_id, idx, label, score, mask, x1..y2) of a mode.
+
+    A mode of one source takes it as it is, ranked by index; ``hybrid`` unites two
+    under constant scores and removes what repeats a better one by mask or by box.
+    An unknown mode is ``text``.
+    """
+    names = MODES.get(mode, MODES["text"])
+    if len(names) == 1:
+        rank = F.row_number().over(Window.partitionBy("step_id").orderBy("idx")) - 1
+        return sources[names[0]].select("step_id", "idx", F.lit(names[0]).alias("source"), rank.cast("int").alias("rank"))
+    both = None
+    for name in names:
+        one = sources[name].withColumns({"score": F.lit(HYBRID_SCORES[name]), "source": F.lit(name)})
+        both = one if both is None else both.unionByName(one)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["source", "idx"], kind="stable")
+        kept = dedupe_instances(pdf[BOX].to_numpy(float), [np.asarray(m, bool) for m in pdf["mask"]], pdf["score"].to_numpy(float), 0.72, 0.88, cap)
+        return pdf.iloc[kept][["step_id", "idx", "source"]].assign(rank=np.arange(len(kept), dtype=np.int32))
+
+    return both.groupBy("step_id").applyInPandas(run, "step_id bigint, idx int, source string, rank int")
+
+
 def gated_match(proposals: DataFrame, least: float = 0.8) -> DataFrame:
     """Every proposal (step_id, gt_idx, pred_idx, compatible, confidence) with its ``status`` (match, rejected) and ``reason``.
 
