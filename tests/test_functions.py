@@ -91,3 +91,40 @@ def test_depths():
     k = np.array([[10.0, 0, 5], [0, 10, 5], [0, 0, 1]])
     mask = images.project(np.array([[0, 0, 1.0], [0, 0, -1], [9, 9, 1]]), k, np.eye(4), (10, 10))
     assert mask.sum() == 1 and mask[5, 5]
+
+
+def test_exact_quantiles_against_a_sort(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from stepfold.operators import fold
+
+    rng = random.Random(4)
+    kinds = {"ties": lambda: float(rng.randint(0, 3)), "wide": lambda: rng.gauss(0, 1) ** 3, "one": lambda: 5.0}
+    rows = [(g, kinds["ties"](), kinds["wide"](), kinds["one"]() if rng.random() < 0.9 else None) for g in ("a", "b", None) for _ in range(rng.randint(800, 6000))]
+    rows += [("c", 1.0, float("nan"), None), ("d", 2.0, 1.0, 3.0), ("d", 3.0, 2.0, 4.0)]
+    df = spark.createDataFrame(rows, "g string, ties double, wide double, one double").repartition(4)
+
+    def plain(values, p):
+        values = sorted(v for v in values if v is not None and v == v)
+        at = (len(values) - 1) * p
+        a, b = values[int(at)], values[min(int(at) + 1, len(values) - 1)]
+        return a + (b - a) * (at - int(at))
+
+    for p in (0.0, 0.5, 0.98, 1.0):
+        got = {(r["g"], r["column"]): r["quantile"] for r in fold.exact_quantiles(df, list(kinds), p, ["g"], accuracy=100).collect()}
+        small = {(r["g"], r["column"]): r["quantile"] for r in fold.quantiles(df, list(kinds), p, ["g"], 1 << 40).collect()}
+        assert set(small) == set(got)
+        for g in ("a", "b", None, "d"):
+            for k, c in enumerate(kinds):
+                assert abs(small[g, c] - got[g, c]) < 1e-9
+                assert abs(got[g, c] - plain([r[k + 1] for r in rows if r[0] == g], p)) < 1e-9
+        assert ("c", "one") not in got and ("c", "wide") not in got
+    for most in (0, 1 << 40):
+        whole = fold.summary(df, list(kinds), held_bytes=most).first()
+        for k, c in enumerate(kinds):
+            assert abs(whole[f"{c}_median"] - plain([r[k + 1] for r in rows], 0.5)) < 1e-9
+        assert fold.summary(df.filter(F.lit(False)), ["wide"], held_bytes=most).first()["wide_median"] is None
+        by = {r["g"]: r for r in fold.summary(df, list(kinds), ["g"], most).collect()}
+        assert abs(by[None]["wide_median"] - plain([r[2] for r in rows if r[0] is None], 0.5)) < 1e-9 and by["c"]["one_median"] is None and by["c"]["ties_count"] == 1
