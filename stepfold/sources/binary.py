@@ -1,7 +1,8 @@
 """Binary and text scene sources: sensor streams, NumPy arrays, archives, camera text.
 
 Files are listed and read by Spark's ``binaryFile`` source, so any store that Spark
-reads will do; each file is parsed in one task.
+reads will do; each file is parsed in one task.  Sensor streams may also be given by
+path alone (``listed``): tasks then read them by ranges, so they may be of any size.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 #: Layout of version 4 of the sensor stream, little-endian.
 SENSOR_VERSION = 4
+SENSOR_CODECS, SENSOR_SHIFT = (2, 1), 1000.0
 _HEAD, _MATRICES, _TAIL, _FRAME = struct.Struct("<IQ"), struct.Struct("<64f"), struct.Struct("<2i4IfQ"), struct.Struct("<16f4Q")
 
 
@@ -26,34 +29,68 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
 
 
-def read_sensor_stream(data: bytes, wanted: set[int] | None = None) -> tuple[dict, Iterator[dict]]:
-    """Header and frames; payloads only of the frames wanted, the others are stepped over."""
-    version, length = _HEAD.unpack_from(data)
+def listed(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, length) of files: their content is not read, so files of any size may be listed."""
+    return files(spark, path, pattern).select("path", "length")
+
+
+def read_sensor_stream(data: bytes | BinaryIO, wanted: set[int] | None = None) -> tuple[dict, Iterator[dict]]:
+    """Header and frames; payloads only of the frames wanted, the others are stepped over.
+
+    A stream that can seek is read as it goes, so a file need not be held.
+    """
+    source = io.BytesIO(data) if isinstance(data, bytes) else data
+    size = source.seek(0, io.SEEK_END)
+    source.seek(0)
+
+    def take(n: int, what: str) -> bytes:
+        if n > size - source.tell():
+            raise ValueError(f"sensor stream ends in {what}")
+        return source.read(n)
+
+    version, length = _HEAD.unpack(take(_HEAD.size, "its header"))
     if version != SENSOR_VERSION:
         raise ValueError(f"sensor stream version {version}")
-    at = _HEAD.size + length
-    m = _MATRICES.unpack_from(data, at)
-    at += _MATRICES.size
-    color_codec, depth_codec, cw, ch, dw, dh, shift, count = _TAIL.unpack_from(data, at)
-    at += _TAIL.size
+    take(length, "its name")
+    m = _MATRICES.unpack(take(_MATRICES.size, "its header"))
+    color_codec, depth_codec, cw, ch, dw, dh, shift, count = _TAIL.unpack(take(_TAIL.size, "its header"))
     names = ("intrinsic_color", "extrinsic_color", "intrinsic_depth", "extrinsic_depth")
     head = {n: list(m[16 * k : 16 * k + 16]) for k, n in enumerate(names)} | {"color_codec": color_codec, "depth_codec": depth_codec, "color_size": (cw, ch), "depth_size": (dw, dh), "depth_shift": shift, "frames": count}
 
     def frames(at: int) -> Iterator[dict]:
         for k in range(count):
-            if at + _FRAME.size > len(data):
-                raise ValueError(f"sensor stream ends in frame {k}")
-            *pose, t_color, t_depth, n_color, n_depth = _FRAME.unpack_from(data, at)
+            source.seek(at)
+            *pose, t_color, t_depth, n_color, n_depth = _FRAME.unpack(take(_FRAME.size, f"frame {k}"))
             at += _FRAME.size
-            if at + n_color + n_depth > len(data):
+            if n_color + n_depth > size - at:
                 raise ValueError(f"payload of frame {k} goes beyond the stream")
             row = {"frame": k, "pose": list(pose), "color_time": t_color, "depth_time": t_depth, "color": None, "depth": None}
             if wanted is not None and k in wanted:
-                row |= {"color": data[at : at + n_color], "depth": data[at + n_color : at + n_color + n_depth]}
+                row |= {"color": source.read(n_color), "depth": source.read(n_depth)}
             yield row
             at += n_color + n_depth
 
-    return head, frames(at)
+    return head, frames(source.tell())
+
+
+def check_sensor_header(head: dict, wanted: set[int] | None = None) -> None:
+    """Errors of a header: kinds of payloads, depth unit, sizes, and frames that are not there."""
+    if (head["color_codec"], head["depth_codec"]) != SENSOR_CODECS:
+        raise ValueError(f"sensor stream of codecs {head['color_codec']} and {head['depth_codec']}")
+    if head["depth_shift"] != SENSOR_SHIFT or min(*head["color_size"], *head["depth_size"]) <= 0:
+        raise ValueError(f"sensor stream of depth unit {head['depth_shift']}, sizes {head['color_size']} and {head['depth_size']}")
+    if wanted and not 0 <= min(wanted) <= max(wanted) < head["frames"]:
+        raise ValueError(f"frames {min(wanted)} to {max(wanted)} are wanted of {head['frames']}")
+
+
+def _source(path: str, content: bytes | None) -> bytes | BinaryIO:
+    from .ranged import opened
+
+    return opened(path) if content is None else content
+
+
+def _with_content(streams: DataFrame) -> DataFrame:
+    return streams.select("path", "content" if "content" in streams.columns else F.lit(None).cast("binary").alias("content"))
 
 
 def inflate(data: bytes, expected: int) -> bytes:
@@ -66,15 +103,15 @@ def inflate(data: bytes, expected: int) -> bytes:
 
 
 def sensor_poses(streams: DataFrame) -> DataFrame:
-    """(path, frame, pose, valid) of each frame of sensor streams (path, content)."""
+    """(path, frame, pose, valid) of each frame of sensor streams (path, and content where it is held already)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for path, content in part[["path", "content"]].itertuples(index=False, name=None):
-                rows = [(path, r["frame"], r["pose"], bool(np.isfinite(r["pose"]).all())) for r in read_sensor_stream(content)[1]]
+                rows = [(path, r["frame"], r["pose"], bool(np.isfinite(r["pose"]).all())) for r in read_sensor_stream(_source(path, content))[1]]
                 yield pd.DataFrame(rows, columns=["path", "frame", "pose", "valid"])
 
-    return streams.select("path", "content").mapInPandas(run, "path string, frame int, pose array<double>, valid boolean")
+    return _with_content(streams).mapInPandas(run, "path string, frame int, pose array<double>, valid boolean")
 
 
 def sensor_frames(streams: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -83,14 +120,16 @@ def sensor_frames(streams: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for path, content, frames in part[["path", "content", "frames"]].itertuples(index=False, name=None):
-                head, rows = read_sensor_stream(content, set(map(int, frames)))
+                some = set(map(int, frames))
+                head, rows = read_sensor_stream(_source(path, content), some)
+                check_sensor_header(head, some)
                 size = head["depth_size"][0] * head["depth_size"][1] * 2
                 for r in rows:
                     if r["color"] is not None:
                         yield pd.DataFrame([(path, r["frame"], r["pose"], r["color"], inflate(r["depth"], size))], columns=["path", "frame", "pose", "color", "depth"])
 
     lists = wanted.groupBy("path").agg(F.collect_set("frame").alias("frames"))
-    return streams.select("path", "content").join(lists, "path").mapInPandas(run, "path string, frame int, pose array<double>, color binary, depth binary")
+    return _with_content(streams).join(lists, "path").mapInPandas(run, "path string, frame int, pose array<double>, color binary, depth binary")
 
 
 def arrays(npy: DataFrame) -> DataFrame:

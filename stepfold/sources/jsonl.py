@@ -16,10 +16,16 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, row_no, line) of all lines.
 
     Lines of a file get an ordinal that follows their order: the position within the
-    split and the splits' order.  Blank lines count, as messages name physical lines.
+    split and the splits' order.  Lines are numbered within their split, which no task
+    sorts more than one of; splits add up what lies before them.  Blank lines count, as
+    messages name physical lines.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
-    return lines.select("file", F.row_number().over(Window.partitionBy("file").orderBy("block", "at")).alias("row_no"), "line")
+    lines = lines.withColumn("place", F.row_number().over(Window.partitionBy("file", "block").orderBy("at")))
+    sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("file", "block", F.coalesce(before, F.lit(0)).alias("before"))
+    return lines.join(sizes, ["file", "block"]).select("file", (F.col("before") + F.col("place")).cast("int").alias("row_no"), "line")
 
 
 def parse_lines(lines: DataFrame, schema: StructType | str, text: str = "line") -> tuple[DataFrame, DataFrame]:
