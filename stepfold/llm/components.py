@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lookup
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _least(edges: DataFrame) -> DataFrame:
+    """u, m, n: each node with edges (u, v), the least of its v and their number."""
+    return cut(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = _least(both).withColumn("m", F.least("u", "m"))
+    # the centre of a large star has its edges in many tasks
+    return lookup(both.filter("v > u"), least, ["u"], "n", 2 * total, ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
-    moved = down.join(least, F.col("u") == F.col("k")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
+    least = _least(down)
+    moved = lookup(down, least, ["u"], "n", total, ["v"]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -27,12 +33,13 @@ def stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     The least node itself has no row.  Each round is two keyed aggregations and
     joins over the edges; nothing is gathered on the driver but two numbers.
     """
-    now = cut(_small_star(edges.filter("u <> v")))
+    edges = edges.filter("u <> v")
+    now = cut(_small_star(edges, max(edges.count(), 1)))
     seen = None
     for _ in range(max_rounds):
-        sign = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if sign == seen:
+        total, sign = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if (total, sign) == seen:
             return now
-        seen = sign
-        now = cut(_small_star(_large_star(now)))
+        seen = (total, sign)
+        now = cut(_small_star(cut(_large_star(now, max(total, 1))), max(total, 1)))
     raise RuntimeError("components did not settle")

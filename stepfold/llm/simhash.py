@@ -13,7 +13,8 @@ spanning forest, not all its pairs.
 
 Defined results: null text counts as empty; a text without words has fingerprint
 zero, linked like any other; a component whose ids are all null has a null
-component_id; repeated rows give repeated rows; an empty table gives no rows.
+component_id; repeated rows give repeated rows; an empty table gives no rows; a long
+text is read in blocks; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty, word_blocks
+from .common import cut, lookup, text_or_empty, word_blocks
 from .components import stars
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -224,9 +225,9 @@ def links(nodes: DataFrame, budget: int = 4, cap: int = 50_000, rows_at_once: in
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, budget: int = 4) -> DataFrame:
     """A row for each row: doc_id, fp, component_id (least doc_id that links reach)."""
     rows = cut(fingerprints(documents, id_col, text_col, width))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    star = stars(links(nodes.select("fp"), budget))
-    rooted = nodes.join(star.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = rooted.join(named, "root").select(F.col("fp").alias("f"), "component_id")
-    return rows.join(label, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
+    star = stars(cut(links(nodes.select("fp"), budget)))
+    rooted = cut(nodes.join(star.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    label = lookup(rooted.drop("least"), named, ["root"], "n", max(rooted.count(), 1), ["fp"]).select("fp", "component_id", "copies")
+    return lookup(rows, cut(label), ["fp"], "copies", rows.count(), ["doc_id", F.spark_partition_id()]).select("doc_id", "fp", "component_id")
