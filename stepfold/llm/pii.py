@@ -3,25 +3,26 @@
 DataFrame functions only.  E-mail addresses, IP addresses, card and phone numbers
 are found by pattern; each distinct value is a protected entity.  The words of a
 document outside its e-mail addresses are its terms, those of documents with an
-entity its candidates.  Over the whole corpus, documents with the entity, with the
-term and with both give the pointwise mutual information PMI(e; t), and the entity's
+entity its candidates.  Over the whole corpus, the different texts with the entity, with
+the term and with both give the pointwise mutual information PMI(e; t), and the entity's
 information content is IC(e) = -log p(e).  PMI reaches IC exactly when the term never
 occurs without the entity.  A term discloses an entity where both are together in at
-least ``support`` documents and PMI is at least ``threshold`` * IC; its occurrences
-in every document with the entity are spans of kind ``term``.
-``sanitise`` generalises base spans to their kind and removes disclosing terms.
+least ``support`` different texts (copies are no further evidence) and PMI is at least
+``threshold`` * IC; its occurrences in every document with the entity are spans of kind
+``term``.  ``sanitise`` generalises base spans to their kind and removes disclosing terms.
 
-Only entities in ``support`` documents make pairs: a document makes its distinct
-terms times its distinct such entities.  Counts are partially aggregated where rows
-are read.
+Only entities in ``support`` texts make pairs: a text makes its distinct terms times
+its distinct such entities.  Texts with a term are counted over the whole corpus, for
+the terms that the texts with entities leave possible.  Copies and common entities
+are salted in every join.
 
 The patterns are written so that Java's matcher needs no recursion and no second
 look at a run: a match may start at a run's start or at the previous match's end.
 Positions come from the lengths of the matches and of the pieces between them.
 
 Spans are code points, end exclusive.  Defined results: null text counts as empty
-and has no spans; repeated rows count as documents and give repeated rows; an empty
-table gives no rows.
+and has no spans; repeated rows give repeated rows; an empty table gives no rows; a long
+text is one value, looked at by linear patterns; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, lookup, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -43,6 +44,8 @@ PATTERNS = {
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _IP = rf"\A{_PART}\.{_PART}\.{_PART}\.{_PART}\z"
 _BLOCK = 128
+_SPANS = "array<struct<kind:string,start:int,end:int>>"
+_FOUND = "array<struct<kind:string,start:int,end:int,entity:string>>"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -154,58 +157,89 @@ def _key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
-def located(documents: DataFrame, text_col: str = "text") -> DataFrame:
-    """k1, k2, text, base, entities (distinct), copies: a row for each distinct text with an entity.
+def looked_at(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, k1, k2, base, entities, text: a row for each row, text null where there is no entity.
 
-    It is computed once, into the shared folder, as counts and spans both need it.
+    It is computed once, into the shared folder, so that the patterns run once.
     """
-    text = documents.select(text_or_empty(text_col).alias("text")).filter(_possible(F.col("text")))
-    found = text.select("text", _found(F.col("text")).alias("found")).filter(F.size("found") > 0)
+    rows = documents.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = rows.select("doc_id", *_key(F.col("text")), "text", F.when(_possible(F.col("text")), _found(F.col("text"))).otherwise(F.array().cast(_FOUND)).alias("found"))
     base = F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    rows = found.select(*_key(F.col("text")), "text", base.alias("base"), F.array_distinct(F.transform("found", lambda x: x["entity"])).alias("entities"))
-    return cut(rows.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.first("entities").alias("entities"), F.count("*").alias("copies")))
+    entities = F.array_distinct(F.transform("found", lambda x: x["entity"]))
+    return cut(rows.select("doc_id", "k1", "k2", base.alias("base"), entities.alias("entities"), F.when(F.size("found") > 0, F.col("text")).alias("text")))
 
 
-def _pairs(found: DataFrame, support: int, shortest: int) -> DataFrame:
-    """k1, k2, copies, entity, n_entity, term: the terms of each text with each of its entities that ``support`` documents hold."""
-    entity = found.select(F.explode("entities").alias("e"), "copies").groupBy("e").agg(F.sum("copies").alias("n_entity")).filter(F.col("n_entity") >= support)
-    held = found.select("k1", "k2", F.explode("entities").alias("entity")).join(entity, F.col("entity") == F.col("e")).drop("e")
-    terms = found.select("k1", "k2", "copies", _terms(F.col("text"), shortest).alias("terms"))
-    return held.join(terms, ["k1", "k2"]).select("k1", "k2", "copies", "entity", "n_entity", F.explode("terms").alias("term"))
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """k1, k2, text, entities, copies: a row for each different text with an entity, computed once."""
+    held = rows.filter(F.col("text").isNotNull()).groupBy("k1", "k2")
+    return cut(held.agg(F.first("text").alias("text"), F.first("entities").alias("entities"), F.count("*").alias("copies")))
 
 
-def disclosing_terms(documents: DataFrame, found: DataFrame, text_col: str = "text", support: int = 3, threshold: float = 0.9, shortest: int = 4) -> DataFrame:
+def _pairs(seen: DataFrame, support: int, shortest: int) -> DataFrame:
+    """k1, k2, entity, n_entity, term: the terms of each different text with each of its entities that ``support`` of them hold."""
+    held = seen.select("k1", "k2", F.explode("entities").alias("entity"))
+    entity = cut(held.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= support))
+    held = lookup(held, entity.withColumn("__n", F.col("n_entity")), ["entity"], "__n", held.count(), ["k1"])
+    terms = seen.select("k1", "k2", _terms(F.col("text"), shortest).alias("terms"))
+    return held.join(terms, ["k1", "k2"]).select("k1", "k2", "entity", "n_entity", F.explode("terms").alias("term"))
+
+
+def _texts_with(documents: DataFrame, terms: DataFrame, text_col: str, shortest: int, broadcast_terms: int) -> DataFrame:
+    """t, n_term: in how many different texts of all each of ``terms`` (t) is."""
+    each = documents.select(*_key(text_or_empty(text_col)), F.explode(_terms(text_or_empty(text_col), shortest)).alias("t"))
+    if terms.count() <= broadcast_terms:
+        each = each.join(F.broadcast(terms), "t", "left_semi")
+    else:  # as terms may be common, each goes to sixteen tasks
+        wide = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        each = each.withColumn("salt", F.pmod("k1", F.lit(16)).cast("int")).join(wide, ["t", "salt"], "left_semi")
+    return each.groupBy("t", "k1", "k2").count().groupBy("t").agg(F.count("*").alias("n_term"))
+
+
+def disclosing_terms(documents: DataFrame, rows: DataFrame, seen: DataFrame | None = None, text_col: str = "text", support: int = 3, threshold: float = 0.9, shortest: int = 4, broadcast_terms: int = 100_000) -> DataFrame:
     """(entity, term, n_both, n_entity, n_term, disclosure) of the terms that disclose an entity.
 
-    ``found`` is what ``located`` gives.  The number of documents is one number;
-    everything else stays distributed.
+    ``rows`` is what ``looked_at`` gives, ``seen`` what ``distinct_texts`` makes of
+    it.  The numbers of texts, entities and terms are single numbers; everything else
+    stays distributed.
     """
-    both = _pairs(found, support, shortest).groupBy("entity", "n_entity", "term").agg(F.sum("copies").alias("n_both")).filter(F.col("n_both") >= support)
-    words = documents.select(F.explode(_terms(text_or_empty(text_col), shortest)).alias("t")).groupBy("t").agg(F.count("*").alias("n_term"))
-    n = float(max(documents.count(), 1))
-    content = -F.log(F.least(F.col("n_entity") / n, F.lit(1.0)))
-    pmi = F.log(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term")))
-    # where an entity is in every document nothing more can be disclosed
-    degree = F.when(content > 0, pmi / content).otherwise(0.0)
+    seen = distinct_texts(rows) if seen is None else seen
+    n = float(max(rows.select("k1", "k2").distinct().count(), 1))
+    both = _pairs(seen, support, shortest).groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
+    # a term's texts are at least those with an entity: common words end here
+    least = seen.select(F.explode(_terms(F.col("text"), shortest)).alias("t")).groupBy("t").agg(F.count("*").alias("n_seen"))
+
+    def disclosure(n_term: Column) -> Column:
+        content = -F.log(F.least(F.col("n_entity") / n, F.lit(1.0)))
+        pmi = F.log(F.col("n_both") * n / (F.col("n_entity") * n_term))
+        # where an entity is in every document nothing more can be disclosed
+        return F.when(content > 0, pmi / content).otherwise(0.0)
+
+    both = both.join(least, F.col("term") == F.col("t")).filter(disclosure(F.col("n_seen")) >= threshold)
+    both = cut(both.select("entity", "n_entity", "term", "n_both"))
+    words = _texts_with(documents, both.select(F.col("term").alias("t")).distinct(), text_col, shortest, broadcast_terms)
     joined = both.join(words, F.col("term") == F.col("t"))
-    return joined.select("entity", "term", "n_both", "n_entity", "n_term", degree.alias("disclosure")).filter(F.col("disclosure") >= threshold)
+    return joined.select("entity", "term", "n_both", "n_entity", "n_term", disclosure(F.col("n_term")).alias("disclosure")).filter(F.col("disclosure") >= threshold)
 
 
 def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, shortest: int = 4, **options) -> DataFrame:
     """doc_id, k1, k2, base and terms (arrays of (kind, start, end)): a row for each row.
 
-    What a text discloses depends on the text alone, so rows meet their spans by a
-    128-bit key of the text and copies are looked at together.
+    What a text discloses depends on the text alone, so rows with an entity meet their
+    terms by a 128-bit key of the text and copies are looked at together.
     """
-    seen = located(documents, text_col)
-    told = disclosing_terms(documents, seen, text_col, support=support, shortest=shortest, **options).select(F.col("entity").alias("e"), F.col("term").alias("t"))
-    hit = _pairs(seen, support, shortest).join(told, (F.col("entity") == F.col("e")) & (F.col("term") == F.col("t")), "left_semi")
+    rows = looked_at(documents, id_col, text_col)
+    seen = distinct_texts(rows)
+    told = cut(disclosing_terms(documents, rows, seen, text_col, support=support, shortest=shortest, **options).select("entity", "term", "n_both"))
+    total = told.agg(F.sum("n_both")).first()[0] or 0
+    hit = lookup(_pairs(seen, support, shortest), told, ["entity", "term"], "n_both", total, ["k1"], "left_semi")
     said = hit.groupBy("k1", "k2").agg(F.collect_set("term").alias("said"))
-    terms = F.when(F.col("said").isNotNull(), F.array_sort(_term_spans(F.col("text"), F.col("said"), shortest)))
-    spans = seen.join(said, ["k1", "k2"], "left").select("k1", "k2", "base", terms.alias("terms"))
-    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    rows = documents.select(F.col(id_col).alias("doc_id"), *_key(text_or_empty(text_col)))
-    return rows.join(spans, ["k1", "k2"], "left").select("doc_id", "k1", "k2", F.coalesce("base", none).alias("base"), F.coalesce("terms", none).alias("terms"))
+    terms = F.array_sort(_term_spans(F.col("text"), F.col("said"), shortest))
+    spans = cut(seen.join(said, ["k1", "k2"]).select("k1", "k2", terms.alias("terms"), "copies"))
+    none = F.array().cast(_SPANS)
+    rows = rows.drop("entities")
+    free = rows.filter("text IS NULL").select("doc_id", "k1", "k2", "base", none.alias("terms"))
+    held = lookup(rows.filter("text IS NOT NULL").drop("text"), spans, ["k1", "k2"], "copies", rows.count(), ["doc_id", F.spark_partition_id()], "left")
+    return held.select("doc_id", "k1", "k2", "base", F.coalesce("terms", none).alias("terms")).unionAll(free)
 
 
 def digest_columns(found: DataFrame) -> DataFrame:
@@ -233,10 +267,12 @@ def rewritten(text: Column, spans: Column) -> Column:
 
 def sanitise(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents, all columns, with their texts rewritten; a text without spans is unchanged."""
-    found = find(documents, id_col, text_col, **options).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.concat("base", "terms").alias("__spans"))
-    found = found.filter(F.size("__spans") > 0).dropDuplicates(["__k1", "__k2"])
+    spans = find(documents, id_col, text_col, **options).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.concat("base", "terms").alias("__spans")).filter(F.size("__spans") > 0)
+    spans = cut(spans.groupBy("__k1", "__k2").agg(F.first("__spans").alias("__spans"), F.count("*").alias("__n")))
     text = text_or_empty(text_col)
     k1, k2 = _key(text)
-    joined = documents.withColumns({"__a": k1, "__b": k2}).join(found, (F.col("__a") == F.col("__k1")) & (F.col("__b") == F.col("__k2")), "left")
+    # only texts that a pattern may match are dealt out
+    some = documents.filter(_possible(text)).withColumns({"__k1": k1, "__k2": k2})
+    joined = lookup(some, spans, ["__k1", "__k2"], "__n", documents.count(), ["__k1", F.spark_partition_id()], "left")
     new = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(rewritten(text, F.col("__spans")))
-    return joined.withColumn(text_col, new).drop("__a", "__b", "__k1", "__k2", "__spans")
+    return joined.withColumn(text_col, new).select(*documents.columns).unionAll(documents.filter(~_possible(text)))
