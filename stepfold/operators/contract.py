@@ -79,12 +79,12 @@ def prediction_rules(manifest_sha256: str) -> list[Rule]:
         Rule("benchmark_version", F.col("benchmark_version") == VERSION),
         Rule("manifest_sha256", F.col("manifest_sha256").rlike(DIGEST)),
         Rule("model_id", F.col("model_id").rlike(SAFE_ID) & (F.length("model_id") <= 128)),
-        Rule("model_type", F.col("model_type").isin("image", "video", "world-model", "pose-conditioned")),
+        Rule("model_type", F.col("model_type").isin(*labels.MODEL_TYPES)),
         Rule("case_id", _filled("case_id")),
         Rule("step_id", F.col("step_id") >= 1),
         Rule("output_path", _filled("output_path") & ~F.col("output_path").rlike(ROOTED) & ~F.array_contains(F.split("output_path", "[/\\\\]"), "..")),
         Rule("output_sha256", F.col("output_sha256").rlike(DIGEST)),
-        Rule("interface_type", F.col("interface_type").isin("image-editing", "multi-image-editing", "pose-conditioned", "autoregressive-rollout")),
+        Rule("interface_type", F.col("interface_type").isin(*labels.INTERFACES)),
         Rule("input_ids", (F.size("input_ids") >= 1) & F.forall("input_ids", _filled)),
         Rule("prompt_sha256", F.col("prompt_sha256").rlike(DIGEST)),
         Rule("other_manifest", F.col("manifest_sha256") == manifest_sha256),

@@ -25,7 +25,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("file", "block", F.coalesce(before, F.lit(0)).alias("before"))
-    return lines.join(sizes, ["file", "block"]).select("file", (F.col("before") + F.col("place")).cast("int").alias("row_no"), "line")
+    return lines.join(sizes, ["file", "block"]).select("file", (F.col("before") + F.col("place")).alias("row_no"), "line")
 
 
 def parse_lines(lines: DataFrame, schema: StructType | str, text: str = "line") -> tuple[DataFrame, DataFrame]:
