@@ -38,7 +38,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     best = F.get("found", F.lit(0))
     each = F.transform("found", lambda x: F.concat_ws(":", x["license"], x["first"].cast("string"), x["end"].cast("string")))
-    return found.select("doc_id", best["license"].alias("license"), best["coverage"].alias("coverage"), F.size("found").alias("n_licenses"), F.array_join(each, ",").alias("spans"))
+    return found.select("doc_id", best["license"].alias("license"), best["coverage"].alias("coverage"), F.size(F.array_distinct(F.transform("found", lambda x: x["license"]))).alias("n_licenses"), F.array_join(each, ",").alias("spans"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,9 +15,10 @@ whose aligned words exceed the template's missing ones by most.
 Words are lower-case runs of letters and digits.  Every whole text is read; texts
 that share too few words with a template to reach the coverage are passed over.
 
-Defined results: null or empty text has no license; of equal coverage the longer
-template, then the first place wins; repeated rows give repeated rows; an empty
-table gives no rows.
+Defined results: null or empty text has no license; every place is reported, of equal
+coverage the longer template's, then the first one first; repeated rows give repeated
+rows; an empty table gives no rows; a very long text is read whole (its words are held);
+other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -207,31 +208,41 @@ class Scanner:
             done = set()
             for windows in self._windows(k, where):
                 for start, end in windows:
-                    start = max(0, start)
-                    window = words[start:end]
-                    if len(template) > _SHORT and (Counter(window) & self.counts[k]).total() < least:
-                        continue
-                    pairs = [(start + i, j) for i, j in align(window, template)]
-                    if len(pairs) >= least and needed.issubset(j for _, j in pairs):
-                        if (pairs[0][0], pairs[-1][0], len(pairs)) not in done:
-                            done.add((pairs[0][0], pairs[-1][0], len(pairs)))
-                            yield k, pairs
+                    found = list(self._aligned(k, words, max(0, start), end, least))
+                    fresh = [p for p in found if (p[0][0], p[-1][0], len(p)) not in done]
+                    done.update((p[0][0], p[-1][0], len(p)) for p in fresh)
+                    yield from ((k, p) for p in fresh)
+                    if found:
                         break
 
+    def _aligned(self, k: int, words: list[str], start: int, end: int, least: float) -> Iterator[list[tuple[int, int]]]:
+        """The places in ``words[start:end]`` where template k reaches ``least`` aligned words, each besides the former."""
+        _, template, needed = self.templates[k]
+        todo = [(start, min(end, len(words)))]
+        while todo:
+            lo, hi = todo.pop()
+            window = words[lo:hi]
+            if len(window) < least or (len(template) > _SHORT and (Counter(window) & self.counts[k]).total() < least):
+                continue
+            pairs = [(lo + i, j) for i, j in align(window, template)]
+            if len(pairs) >= least and needed.issubset(j for _, j in pairs):
+                yield pairs
+                # of a short template another place may lie in the same window
+                todo += [(lo, pairs[0][0]), (pairs[-1][0] + 1, hi)] if len(template) <= _SHORT else []
+
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(license, coverage, first word, end word), the best place of each license, best first."""
+        """(license, coverage, first word, end word) of every place, best first."""
         words = words_of(text)
         places = sorted(self._places(words), key=lambda x: (len(self.templates[x[0]][1]) - 2 * len(x[1]), x[1][0], x[0]))
-        best: dict[str, tuple] = {}
+        found: list[tuple] = []
         taken: set[int] = set()
         for k, pairs in places:
             name, template, needed = self.templates[k]
             if 2 * sum(i in taken for i, _ in pairs) >= len(pairs) and all(i in taken for i, j in pairs if j in needed):
                 continue
             taken.update(i for i, _ in pairs)
-            one = (-len(pairs) / len(template), -len(template), pairs[0][0], pairs[-1][0] + 1)
-            best[name] = min(best.get(name, one), one)
-        return [(name, -x[0], x[2], x[3]) for name, x in sorted(best.items(), key=lambda y: (y[1], y[0]))]
+            found.append((-len(pairs) / len(template), -len(template), pairs[0][0], name, pairs[-1][0] + 1))
+        return [(name, -share, first, end) for share, _, first, name, end in sorted(found)]
 
 
 def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] = TEMPLATES, coverage: float = 0.8) -> DataFrame:

@@ -48,6 +48,49 @@ def names(text):
     return [x[0] for x in licenses.Scanner().scan(text)]
 
 
+def test_every_place_is_reported():
+    own, filler = licenses.Scanner(), "something else is said here " * 12
+    assert own.scan("all rights reserved all rights reserved") == [("proprietary", 1.0, 0, 3), ("proprietary", 1.0, 3, 6)]
+    found = own.scan(f"Released under the MIT License. {filler} Licensed under CC BY 4.0. {filler} Released under the MIT License.")
+    assert sorted((x[0], x[1]) for x in found) == [("CC-BY-4.0", 1.0), ("MIT", 1.0), ("MIT", 1.0)]
+    notice = licenses.TEMPLATES["ISC"][1]
+    assert [x[0] for x in own.scan(f"{notice} {filler} {notice}")] == ["ISC", "ISC"]
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    return row[-1]
+
+
+def test_statements_against_brute_force():
+    """Words of statements in random texts: what is reported is there by the longest common subsequence of its
+    place, and no statement that stands whole in the text is left out."""
+    rng = random.Random(7)
+    short = {n: [t for t in ts if len(licenses.template_of(t)[0]) <= 14] for n, ts in licenses.TEMPLATES.items()}
+    short = {n: ts for n, ts in short.items() if ts}
+    own = licenses.Scanner(short)
+    pool = sorted({w for ts in short.values() for t in ts for w in licenses.template_of(t)[0]}) + ["x", "y", "z"]
+    for _ in range(150):
+        whole = [rng.choice([(n, t) for n, ts in short.items() for t in ts]) for _ in range(rng.randint(0, 3))]
+        parts = []
+        for n, t in whole:
+            parts += rng.choices(pool, k=rng.randint(0, 20)) + ["q"] * 30 + licenses.template_of(t)[0] + ["q"] * 30
+        words = parts + rng.choices(pool, k=10)
+        found = own.scan(" ".join(words))
+        for name, coverage, first, end in found:
+            best = max(lcs(words[first:end], licenses.template_of(t)[0]) / len(licenses.template_of(t)[0]) for t in short[name])
+            assert 0.8 <= coverage <= best + 1e-9
+        at = {(first, end) for _, _, first, end in found}
+        for _, t in whole:
+            k = licenses.template_of(t)[0]
+            places = [i for i in range(len(words)) if words[i : i + len(k)] == k]
+            assert all(any(s <= i and e >= i + len(k) for s, e in at) for i in places)
+
+
 def test_notices_of_near_licenses_are_told_apart():
     head = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {} License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
     for work, kind, version, name in (("program", "General Public", "2", "GPL-2.0"), ("program", "General Public", "3", "GPL-3.0"), ("library", "Lesser General Public", "2.1", "LGPL-2.1"), ("library", "Library General Public", "2", "LGPL-2.0"), ("program", "Affero General Public", "3", "AGPL-3.0")):
