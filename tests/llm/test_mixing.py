@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -87,6 +88,22 @@ def test_mixed_documents(small):
     assert {r["doc_id"]: r["count"] for r in got.groupBy("doc_id").count().collect()} == times
 
 
+def test_rows_that_share_an_id_are_told_apart(spark):
+    # ids 1 to 3 stand in two sources and twice in one, with texts of one size; id null repeats one row
+    rows = [(i, f"{w} " * (5 + i), s, n) for n, (w, s) in enumerate((("aa", "x"), ("bb", "x"), ("cc", "y"))) for i in (1, 2, 3)]
+    rows += [(None, "again and again", "y", 9)] * 40 + [(i, "w " * 3, "z", 9) for i in range(10, 15)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, __n int").repartition(5)
+    check(df)
+    planned = Counter()
+    for r in mixing.mix(df).collect():
+        planned[r["source"], r["doc_id"], r["size"]] += r["times"]
+    got = Counter((r["source"], r["doc_id"], len(r["text"].split())) for r in mixing.mixed_documents(df).collect())
+    assert got == +planned
+    sizes = {s: sum(len(t.split()) for _, t, k, _ in rows if k == s) for s in "xyz"}
+    for s, goal in zip("xyz", mixing.targets(list(sizes.values()), [1, 2, 3]), strict=True):
+        assert abs(sum(n * k[2] for k, n in got.items() if k[0] == s) - goal) <= 8
+
+
 def test_ranges_are_even_for_every_quality(spark):
     from pyspark.sql import functions as F
 
