@@ -2,7 +2,14 @@
 
 Each stage is ``(name, function)``; a function takes ``(spark, docs, sf_dir)`` and
 returns what it keeps with the columns of ``documents`` (the last one: token
-digests).  Stages are written as Parquet in the shared folder and read again.
+digests).  Stages are written as Parquet in the shared folder and read again; what a
+stage has written goes once the next one has written its own.
+
+Defined results: null and empty texts have no language and go in the first stage, as
+do documents that no language explains for the most part; of equal texts, and of near
+copies, one document stays, and of rows that repeat each other one; rows without an id
+are documents, all of one id; the mix repeats whole rows, whatever their ids; extra
+columns travel along, whatever their names; an empty table gives an empty one.
 
 The rows depend on hash sampling, EM and XXH64, which DuckDB's SQL lacks, so
 ``ORACLE_SQL`` is None; tests hold each stage against a brute-force version.
@@ -17,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepfold.llm import bpe, entries, exact_dedup, langid, mixing, simhash
-from stepfold.llm.common import shared_dir
+from stepfold.llm.common import drop_files, shared_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,9 +69,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base, last = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{base}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last is not None:
+            drop_files(spark, last)
+        last = path
     return docs
