@@ -14,7 +14,9 @@ summed by Spark, and only languages x ``DIMS`` sums come to the driver.
 
 Defined results: null text and text without a letter give ``und`` with score 0,
 and so does everything if there is nothing to learn from; a null id counts as
-empty text for the held-out rule; repeated rows give repeated rows.
+empty text for the held-out rule; repeated rows give repeated rows; of equal
+proportions the language first in code-point order wins; a very long text is counted in
+blocks; other columns are not looked at.
 """
 
 from __future__ import annotations

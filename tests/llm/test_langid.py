@@ -1,3 +1,5 @@
+import math
+import random
 import zlib
 
 import numpy as np
@@ -68,3 +70,62 @@ def test_more_than_three_languages():
     pi = model.proportions(c)
     assert (pi[0] > 0).sum() == 4 and abs(pi[0].max() - 0.37) < 0.03 and pi[0].argmax() == 0
     assert (pi[1] > 0).sum() == 1 and pi[1].argmax() == 5
+
+
+def plain_counts(t):
+    data, out = f" {t.lower()} ".encode(), {}
+    for i in range(len(data) - 2):
+        slot = int.from_bytes(data[i : i + 3], "little") * 2654435761 % (1 << 32) >> 20
+        out[slot] = out.get(slot, 0) + 1
+    return out
+
+
+def plain_model(rows):
+    """Each language's distribution from (text, lang) rows."""
+    langs = sorted({k for _, k in rows if k is not None})
+    total = {k: [0.5] * langid.DIMS for k in langs}
+    for t, k in rows:
+        for slot, n in plain_counts(t or "").items() if k is not None else ():
+            total[k][slot] += n
+    return {k: [x / sum(v) for x in v] for k, v in total.items()}
+
+
+def plain_mixture(c, p, allowed, rounds):
+    n, pi = max(sum(c.values()), 1), {k: 1 / len(allowed) if k in allowed else 0.0 for k in p}
+    for _ in range(rounds):
+        mixed = {s: sum(pi[k] * p[k][s] for k in p) for s in c}
+        pi = {k: pi[k] * sum(m / mixed[s] * p[k][s] for s, m in c.items()) / n for k in p}
+    return pi, sum(m * math.log(sum(pi[k] * p[k][s] for k in p)) for s, m in c.items())
+
+
+def plain_predict(text, p, penalty=4.0, rounds=8):
+    """Expectation-maximisation for every number of languages, without any early end."""
+    if not p or not any(x.isalpha() for x in text or ""):
+        return "und", 0.0
+    c = plain_counts(text)
+    full, _ = plain_mixture(c, p, set(p), rounds)
+    order = sorted(p, key=lambda k: (-full[k], k))
+    tries = []
+    for k in range(1, len(p) + 1):
+        pi, likely = plain_mixture(c, p, set(order[:k]), rounds if k > 1 else 1)
+        tries.append((likely - k * penalty * math.log(max(sum(c.values()), 2)) / 2, -k, pi))
+    pi = max(tries, key=lambda x: x[:2])[2]
+    best = max(p, key=lambda k: pi[k])
+    return best, pi[best] / sum(pi.values())
+
+
+def test_mixtures_against_brute_force():
+    rng = random.Random(5)
+    alphabets = ("abcdefg", "efghijkl", "klmnopq", "opqrstu", "uvwxyz")
+    words = {a: ["".join(rng.choices(a, k=rng.randint(2, 6))) for _ in range(80)] for a in alphabets}
+    rows = [(" ".join(rng.choices(words[a], k=60)), a) for a in alphabets for _ in range(10)]
+    p = plain_model(rows)
+    model = langid.Model(list(p), np.stack([langid.counts([t for t, k in rows if k == a]).sum(axis=0) for a in p]))
+    texts = [" ".join(" ".join(rng.choices(words[a], k=rng.randint(3, 80))) for a in rng.sample(alphabets, rng.randint(1, 5))) for _ in range(40)]
+    langs, scores = model.predict(texts)
+    sizes = set()
+    for t, lang, score in zip(texts, langs, scores, strict=True):
+        want, share = plain_predict(t, p)
+        assert lang == want and abs(score - share) < 2e-3
+        sizes.add(int((model.proportions(langid.counts([t]))[0] > 0).sum()))
+    assert max(sizes) >= 4
