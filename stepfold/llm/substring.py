@@ -16,8 +16,10 @@ repeated, and every word it covers is removed.  The steps:
    from a window's end gives its matching statistic, up to the window's length,
    over places that hold at least two weights.  Windows that reach the length are
    the repeated ones; their intervals are reported.
-5. Keys with over ``cap`` different segments are cut again by the minimisers of
-   another hash, so no shard grows with a hot passage.
+5. The segments of keys with over ``cap`` different ones are cut again by the
+   minimisers of another hash, and so are their pieces, until no key has more than
+   that: no shard grows with a hot passage.  What the pieces' shards report counts
+   for the segments.  Keys and passages with very many copies are salted in joins.
 
 Sorting to the window's depth is enough: backward search uses only numbers of
 suffixes before an interval, and intervals of patterns up to that depth are
@@ -25,8 +27,10 @@ contiguous.
 
 Defined results: null text has no words; repeated rows count as separate places;
 a window may recur within its own document, overlapping itself too; an empty
-table gives no rows.  Rows are told apart by 128 bits over id and text, words by
-64 bits, segments by 128.
+table gives no rows; a long text is hashed in blocks; other columns are not looked at.
+Rows are told apart by 128 bits over id and text, words by 64 bits, segments of one
+key by 64 more: with 10**9 different words the chance that any two of them share a
+hash is 3 %, and a window is only taken wrongly if all of its 35 words are equal or do.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty, word_blocks
+from .common import HOT_LEAST, HOT_SHARE, cut, hot_keys, lookup, salted_join, text_or_empty, word_blocks
 
 _U = np.uint64
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
@@ -246,9 +250,8 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == _U else x, pa.int64())
 
 
-def _cut_texts(rows: DataFrame, window: int, gram: int, seed: int) -> DataFrame:
-    """All segments of (r1, r2, text) rows; of the given spans where there is a column of them."""
-    spans = "spans" in rows.columns
+def _cut_texts(rows: DataFrame, window: int, gram: int) -> DataFrame:
+    """All segments of (r1, r2, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -256,12 +259,9 @@ def _cut_texts(rows: DataFrame, window: int, gram: int, seed: int) -> DataFrame:
                 r1, r2 = b.column(0).to_pylist(), b.column(1).to_pylist()
                 found = []
                 for i in range(b.num_rows):
-                    h = word_hashes(b.column(2)[i].as_py())
-                    for x in b.column(3)[i].as_py() if spans else ({"h": 0, "s": 0, "e": len(h)},):
-                        key, digest, s, e, w = segments(h[x["s"] : x["e"]], window, gram, seed)
-                        if len(key):
-                            key = _mix(key ^ _U(x["h"] % (1 << 64)), seed) if spans else key
-                            found.append((key, digest, np.full(len(key), r1[i]), np.full(len(key), r2[i]), s + x["s"], e + x["s"], w))
+                    key, digest, s, e, w = segments(word_hashes(b.column(2)[i].as_py()), window, gram)
+                    if len(key):
+                        found.append((key, digest, np.full(len(key), r1[i]), np.full(len(key), r2[i]), s, e, w))
                     if sum(len(f[0]) for f in found) > 1 << 17 or (found and i == b.num_rows - 1):
                         yield pa.RecordBatch.from_arrays([_signed(np.concatenate(x)) for x in zip(*found, strict=True)], ["h", "d", "r1", "r2", "s", "e", "w"])
                         found = []
@@ -271,8 +271,9 @@ def _cut_texts(rows: DataFrame, window: int, gram: int, seed: int) -> DataFrame:
 
 def _repeated(segs: DataFrame) -> DataFrame:
     """Segments whose key occurs more than once."""
-    keys = segs.groupBy("h").agg(F.sum("w").alias("n")).filter("n > 1").select("h")
-    return segs.join(keys, "h", "left_semi")
+    keys = cut(segs.groupBy("h").agg(F.sum("w").alias("n"), F.count("*").alias("places")).filter("n > 1").drop("n"))
+    total = keys.agg(F.sum("places")).first()[0] or 0
+    return lookup(segs, keys, ["h"], "places", total, ["r1", "r2", "s"], "left_semi")
 
 
 def _fetch(rows: DataFrame, picked: DataFrame) -> DataFrame:
@@ -323,27 +324,77 @@ def _search(fetched: DataFrame, window: int, shard_words: int) -> DataFrame:
     return dealt.select("h", "d", "weight", "words").mapInArrow(run, "h bigint, d bigint, s bigint, e bigint")
 
 
+def _hot(each: DataFrame, cap: int) -> DataFrame:
+    """The keys (h) of over ``cap`` different segments."""
+    return cut(each.groupBy("h").count().filter(F.col("count") > cap).select("h"))
+
+
+def _cut_again(hot: DataFrame, window: int, gram: int, seed: int) -> DataFrame:
+    """(ph, pd, s, h, d, weight, w, words): the pieces of different segments (h, d, weight, words) by another hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for b in batches:
+                out = []
+                for h, d, weight, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    own = np.frombuffer(words, _U)
+                    key, digest, s, e, w = segments(own, window, gram, seed)
+                    key = _mix(key ^ _U(h % (1 << 64)), seed)
+                    pieces = zip(key.view(np.int64).tolist(), digest.view(np.int64).tolist(), s.tolist(), e.tolist(), w.tolist(), strict=True)
+                    out += [(h, d, i, k, x, weight, n, own[i:j].tobytes()) for k, x, i, j, n in pieces]
+                kinds = [pa.int64()] * 7 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds], ["ph", "pd", "s", "h", "d", "weight", "w", "words"])
+
+    return hot.select("h", "d", "weight", "words").mapInArrow(run, "ph bigint, pd bigint, s bigint, h bigint, d bigint, weight bigint, w bigint, words binary")
+
+
+def _resolved(hot: DataFrame, window: int, gram: int, cap: int, shard_words: int, seed: int) -> DataFrame:
+    """(h, d, s, e) of the segments (h, d, weight, words) of keys over ``cap``, through their pieces.
+
+    Different windows of one key share a piece's key too with a chance below 3/4 each
+    time, so a few rounds suffice.
+    """
+    pieces = cut(_cut_again(hot, window, gram, seed))
+    each = pieces.groupBy("h", "d").agg(F.sum("weight").alias("weight"), F.count("*").alias("places"), F.first("words").alias("words"))
+    keys = pieces.groupBy("h").agg(F.sum(F.col("weight") * F.col("w")).alias("n")).filter("n > 1").select("h")
+    each = cut(each.join(keys, "h", "left_semi"))
+    over = _hot(each, cap)
+    if over.isEmpty():
+        found = _search(each, window, shard_words)
+    else:
+        again = _resolved(cut(each.join(over, "h", "left_semi")), window, gram, cap, shard_words, seed + 1)
+        found = _search(each.join(over, "h", "left_anti"), window, shard_words).unionByName(again)
+    table = cut(found.groupBy("h", "d").agg(F.collect_set(F.struct("s", "e")).alias("spans")).join(each.select("h", "d", "places"), ["h", "d"]))
+    at = lookup(pieces.select("ph", "pd", F.col("s").alias("at"), "h", "d"), table, ["h", "d"], "places", pieces.count(), ["ph", "pd", "at"])
+    at = at.select(F.col("ph").alias("h"), F.col("pd").alias("d"), "at", F.explode("spans").alias("x"))
+    return at.select("h", "d", (F.col("at") + F.col("x.s")).alias("s"), (F.col("at") + F.col("x.e")).alias("e"))
+
+
 def _identified(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = text_or_empty(text_col)
     key = F.col(id_col).cast("string")
     return documents.select(F.xxhash64(key, text).alias("r1"), F.xxhash64(text, F.lit(1), key).alias("r2"), F.col(id_col).alias("doc_id"), text.alias("text"))
 
 
-def repeated_spans(rows: DataFrame, window: int = 35, gram: int = 9, cap: int = 50_000, shard_words: int = 300_000) -> DataFrame:
+def repeated_spans(rows: DataFrame, window: int = 35, gram: int = 9, cap: int = 20_000, shard_words: int = 300_000) -> DataFrame:
     """(r1, r2, spans): the word intervals of each row (r1, r2, text) to remove."""
     rows = rows.select("r1", "r2", "doc_id", "text")
-    segs = cut(_repeated(_cut_texts(rows.select("r1", "r2", "text"), window, gram, 0)))
-    for seed in (1, 2, 3):
-        hot = cut(segs.groupBy("h", "d").count().groupBy("h").count().filter(F.col("count") > cap).select("h"))
-        if hot.isEmpty():
-            break
-        spans = segs.join(hot, "h", "left_semi").groupBy("r1", "r2").agg(F.collect_list(F.struct("h", "s", "e")).alias("spans"))
-        again = rows.join(spans, ["r1", "r2"]).select("r1", "r2", "text", "spans")
-        segs = cut(segs.join(hot, "h", "left_anti").unionByName(_repeated(_cut_texts(again, window, gram, seed))))
+    segs = cut(_repeated(_cut_texts(rows.select("r1", "r2", "text"), window, gram)))
     each = segs.groupBy("h", "d").agg(F.count("*").alias("weight"), F.min(F.struct("r1", "r2", "s", "e")).alias("x")).select("h", "d", "weight", "x.*")
-    found = _search(_fetch(rows, each), window, shard_words)
-    spans = segs.select("h", "d", "r1", "r2", F.col("s").alias("at")).join(found, ["h", "d"])
-    return spans.groupBy("r1", "r2").agg(F.array_sort(F.collect_set(F.struct((F.col("at") + F.col("s")).alias("s"), (F.col("at") + F.col("e")).alias("e")))).alias("spans"))
+    over = _hot(each, cap)
+    if over.isEmpty():
+        found = _search(_fetch(rows, each), window, shard_words)
+    else:
+        each = cut(each)
+        hot = cut(_fetch(rows, each.join(over, "h", "left_semi")).dropDuplicates(["h", "d"]))
+        found = _search(_fetch(rows, each.join(over, "h", "left_anti")), window, shard_words).unionByName(_resolved(hot, window, gram, cap, shard_words, 1))
+    found = found.groupBy("h", "d").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    # what is found isn't computed before the last join, so that both read one exchange of the texts
+    total = segs.count()
+    common = cut(segs.groupBy("h", "d").agg(F.count("*").alias("weight")).filter(F.col("weight") > max(total * HOT_SHARE, HOT_LEAST)))
+    spans = salted_join(segs.select("h", "d", "r1", "r2", F.col("s").alias("at")), found, ["h", "d"], hot_keys(common, ["h", "d"], "weight", total), ["r1", "r2", "at"])
+    spans = spans.select("r1", "r2", "at", F.explode("spans").alias("x"))
+    return spans.groupBy("r1", "r2").agg(F.array_sort(F.collect_set(F.struct((F.col("at") + F.col("x.s")).alias("s"), (F.col("at") + F.col("x.e")).alias("e")))).alias("spans"))
 
 
 def _kept(text: str, spans: list[dict] | None) -> Iterator[tuple[int, list[bytes]]]:
