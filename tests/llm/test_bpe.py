@@ -51,3 +51,18 @@ def test_tables(spark, odd, none, small):
     assert bpe.digests(none, path, public_tokenizers.PATTERN).count() == 0
     back = bpe.decode(bpe.encode(small, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
     assert {r["doc_id"]: bytes(r["data"]).decode() for r in back.collect()} == {r["doc_id"]: r["text"] for r in small.collect()}
+
+
+def test_digests_of_many_texts_are_those_of_each(monkeypatch):
+    rng = random.Random(9)
+    own = bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    texts = ["".join(rng.choices("ab cé中\U0001f600 1\n.", k=rng.choice((0, 1, 30, 300, 3000)))) for _ in range(60)] + ["x" * 5000, "", "word " * 900]
+    fresh = bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    want = [fresh.digest(t) for t in texts]
+    monkeypatch.setattr(bpe.Codec, "MOST", 50)  # pre-tokens are forgotten and come back
+    assert list(own.digests(texts, size=1000, together=4000)) == want
+    assert [own.digest(t, 100) for t in texts] == want
+    for t, (n, ids, back) in zip(texts, want, strict=True):
+        found = own.encode(t)
+        assert n == len(found) and hashlib.sha256(",".join(map(str, found)).encode()).hexdigest() == ids
+        assert hashlib.sha256(t.encode()).hexdigest() == back and own.decode(found) == t.encode()
