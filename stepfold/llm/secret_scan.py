@@ -15,7 +15,8 @@ The identifier dictionary holds the most frequent identifiers of all texts, up t
 ``dictionary_bytes`` (its size is the feature; counts cover every row).
 
 Spans are code points, end exclusive.  Defined results: null text counts as empty;
-repeated rows give repeated rows; an empty table gives no rows.
+repeated rows give repeated rows; an empty table gives no rows; a very long text takes
+time in proportion to its length; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 class Novelty:
     """Marginal compressed size against surroundings and a corpus dictionary."""
 
-    def __init__(self, dictionary: bytes, novelty: float = 0.8, around: int = 120, reach: int = 48):
+    def __init__(self, dictionary: bytes, novelty: float = 0.7, around: int = 120, reach: int = 48):
         self.novelty, self.around, self.reach = novelty, around, reach
         primed = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(dictionary) >= 8 else None
         if primed is not None:
