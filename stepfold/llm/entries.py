@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, langid, licenses, mixing, pii, secret_scan, simhash, substring
+from . import ann, bpe, embedding_dedup, exact_dedup, langid, licenses, mixing, pii, secret_scan, simhash, substring
 from .common import table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -60,6 +60,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_language_id": op9_language_id,
         "op10_simhash": op10_simhash,
+        "op13_embedding_dedup": op13_embedding_dedup,
     }
 
 
@@ -112,4 +117,14 @@ def oracle_sql() -> dict[str, str]:
                      count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d)
             SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
         """,
+        "op13_embedding_dedup": """
+            WITH RECURSIVE r AS (
+              SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+              WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+            l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM r a JOIN r b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+            c AS (SELECT u, w FROM l UNION SELECT c.u, l.w FROM c JOIN l ON c.w = l.u),
+            n AS (SELECT u, count(*) AS n FROM l GROUP BY u), m AS (SELECT u, min(w) AS least FROM c GROUP BY u)
+            SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m.least, vec_id)) AS component_id, vec_id <= coalesce(m.least, vec_id) AS kept
+            FROM embeddings LEFT JOIN n ON n.u = vec_id LEFT JOIN m ON m.u = vec_id
+        """,
     }
