@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embedding_dedup, exact_dedup, langid, licenses, mixing, pii, secret_scan, simhash, substring
+from . import ann, bpe, embedding_dedup, exact_dedup, langid, licenses, mixing, pii, ranked, secret_scan, simhash, substring
 from .common import table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -60,6 +60,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -76,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_language_id": op9_language_id,
         "op10_simhash": op10_simhash,
+        "op11_ranked_search": op11_ranked_search,
         "op13_embedding_dedup": op13_embedding_dedup,
     }
 
@@ -117,14 +122,28 @@ def oracle_sql() -> dict[str, str]:
                      count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d)
             SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
         """,
+        "op11_ranked_search": r"""
+            WITH w AS (SELECT doc_id, row_number() OVER () AS k, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+            p AS (SELECT k, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM w GROUP BY k, term),
+            d AS (SELECT k, sum(tf)::BIGINT AS n FROM p GROUP BY k),
+            s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM d),
+            f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+            i AS (SELECT item_id, row_number() OVER () AS q, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+            r AS (
+              SELECT q, any_value(item_id) AS item_id, any_value(doc_id) AS doc_id,
+                sum(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))))::BIGINT AS score
+              FROM i JOIN f USING (term) JOIN p USING (term) JOIN d USING (k) CROSS JOIN s GROUP BY q, k),
+            o AS (SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM r WHERE score > 0)
+            SELECT * FROM o WHERE rank <= 10
+        """,
         "op13_embedding_dedup": """
             WITH RECURSIVE r AS (
               SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
-              WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+              WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
             l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM r a JOIN r b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
             c AS (SELECT u, w FROM l UNION SELECT c.u, l.w FROM c JOIN l ON c.w = l.u),
-            n AS (SELECT u, count(*) AS n FROM l GROUP BY u), m AS (SELECT u, min(w) AS least FROM c GROUP BY u)
-            SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m.least, vec_id)) AS component_id, vec_id <= coalesce(m.least, vec_id) AS kept
-            FROM embeddings LEFT JOIN n ON n.u = vec_id LEFT JOIN m ON m.u = vec_id
+            n AS (SELECT u, count(*) AS n FROM l GROUP BY u), m AS (SELECT u, min(w) AS low FROM c GROUP BY u)
+            SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(m.low, e.vec_id)) AS component_id, e.vec_id <= coalesce(m.low, e.vec_id) AS kept
+            FROM embeddings e LEFT JOIN n ON n.u = e.vec_id LEFT JOIN m ON m.u = e.vec_id
         """,
     }
