@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embedding_dedup, exact_dedup, langid, licenses, mixing, pii, ranked, secret_scan, simhash, substring
+from . import ann, bpe, embedding_dedup, exact_dedup, langid, licenses, mixing, pii, ranked, secret_scan, simhash, substring, token_alignment
 from .common import table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -64,6 +64,11 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return token_alignment.align(table(spark, sf_dir, "documents"), a, b).documents
+
+
 def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -81,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": op9_language_id,
         "op10_simhash": op10_simhash,
         "op11_ranked_search": op11_ranked_search,
+        "op12_token_alignment": op12_token_alignment,
         "op13_embedding_dedup": op13_embedding_dedup,
     }
 

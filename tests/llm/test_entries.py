@@ -20,6 +20,7 @@ COLUMNS = {
     "op9_language_id": "doc_id held_out lang_pred score",
     "op10_simhash": "doc_id fingerprint component_id",
     "op11_ranked_search": "item_id rank doc_id score",
+    "op12_token_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
     "op13_embedding_dedup": "vec_id n_links component_id kept",
 }
 
