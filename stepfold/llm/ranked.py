@@ -89,70 +89,77 @@ def impacts(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
 HEAD = 5  # numbers of a block's head: first and last document, largest impact, postings, end of its bytes
 
 
-def _shard(shard: int, ids: list, counts: list[Counter], n: int, total: int) -> Iterator[tuple]:
-    """Rows (shard, term, df, heads, body, ids) of a shard's documents, the first with their ids and m."""
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i]))
-    sizes = [counts[i].total() for i in order]
-    m = np.array([10 + 90 * k * n // total for k in sizes], np.int64)
-    yield shard, None, len(order), b"", m.tobytes(), [ids[i] for i in order]
-    number: dict[bytes, int] = {}
-    of = np.fromiter((number.setdefault(t, len(number)) for i in order for t in counts[i]), np.int64)
-    tf = np.fromiter((k for i in order for k in counts[i].values()), np.int64)
-    doc = np.repeat(np.arange(len(order)), [len(counts[i]) for i in order])
-    by = np.argsort(of, kind="stable")
-    of, tf, doc = of[by], tf[by], doc[by]
-    start = np.concatenate(([0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]))
-    df = np.diff(start)
-    place = np.arange(len(of)) - np.repeat(start[:-1], df)
-    begin = np.flatnonzero(place % BLOCK == 0)
-    size = np.diff(np.concatenate((begin, [len(of)])))
-    gap = doc - np.concatenate(([0], doc[:-1]))
-    gap[begin] = 0
-    pair = np.empty(2 * len(of), np.int64)  # a block's gaps, then its frequencies
-    slot = np.arange(len(of)) + np.repeat(begin, size)
-    pair[slot], pair[slot + np.repeat(size, size)] = gap, tf
-    body, at = packed(pair)
-    lists = np.searchsorted(begin, start)  # a list's first block
-    ends = at[2 * (begin + size)]
-    from_ = at[2 * start]
-    heads = np.stack((doc[begin], doc[begin + size - 1], np.maximum.reduceat(impacts(tf, m[doc]), begin), size, ends - np.repeat(from_[:-1], np.diff(lists))), axis=1)
-    for k, term in enumerate(number):
-        yield shard, term, int(df[k]), heads[lists[k] : lists[k + 1]].tobytes(), body[from_[k] : from_[k + 1]].tobytes(), None
-
-
-def index(documents: DataFrame, n: int, total: int, id_col: str = "doc_id", text_col: str = "text", shard_postings: int = 1 << 21) -> DataFrame:
+class Shard:
+    """Documents read so far, as numbers of terms and frequencies."""
+
+    def __init__(self, name: int):
+        self.name, self.ids, self.number, self.of, self.tf, self.held = name, [], {}, [], [], 0
+
+    def add(self, own: object, counts: Counter) -> None:
+        number = self.number
+        self.ids.append(own)
+        self.of.append(np.fromiter((number.setdefault(t, len(number)) for t in counts), np.int32, len(counts)))
+        self.tf.append(np.fromiter(counts.values(), np.int64, len(counts)))
+        self.held += len(counts)
+
+    def rows(self, n: int, total: int) -> Iterator[tuple]:
+        """(shard, term, df, heads, body, ids): the documents' ids and m, then each term."""
+        order = sorted(range(len(self.ids)), key=lambda i: (self.ids[i] is None, self.ids[i]))
+        m = np.array([10 + 90 * int(self.tf[i].sum()) * n // total for i in order], np.int64)
+        yield self.name, None, len(order), b"", m.tobytes(), [self.ids[i] for i in order]
+        of, tf = np.concatenate([self.of[i] for i in order]), np.concatenate([self.tf[i] for i in order])
+        doc = np.repeat(np.arange(len(order)), [len(self.of[i]) for i in order])
+        by = np.argsort(of, kind="stable")
+        of, tf, doc = of[by], tf[by], doc[by]
+        start = np.concatenate(([0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]))
+        df = np.diff(start)
+        place = np.arange(len(of)) - np.repeat(start[:-1], df)
+        begin = np.flatnonzero(place % BLOCK == 0)
+        size = np.diff(np.concatenate((begin, [len(of)])))
+        gap = doc - np.concatenate(([0], doc[:-1]))
+        gap[begin] = 0
+        pair = np.empty(2 * len(of), np.int64)  # a block's gaps, then its frequencies
+        slot = np.arange(len(of)) + np.repeat(begin, size)
+        pair[slot], pair[slot + np.repeat(size, size)] = gap, tf
+        body, at = packed(pair)
+        lists = np.searchsorted(begin, start)  # a list's first block
+        ends = at[2 * (begin + size)]
+        from_ = at[2 * start]
+        heads = np.stack((doc[begin], doc[begin + size - 1], np.maximum.reduceat(impacts(tf, m[doc]), begin), size, ends - np.repeat(from_[:-1], np.diff(lists))), axis=1)
+        for k, term in enumerate(self.number):
+            yield self.name, term, int(df[k]), heads[lists[k] : lists[k + 1]].tobytes(), body[from_[k] : from_[k + 1]].tobytes(), None
+
+
+def index(documents: DataFrame, n: int, total: int, id_col: str = "doc_id", text_col: str = "text", shard_postings: int = 1 << 20) -> DataFrame:
     """shard, term, df, heads, body, ids; ``n`` and ``total`` are N and L of all documents."""
     rows = documents.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = ["shard", "term", "df", "heads", "body", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, ids, counts, held = TaskContext.get().partitionId() << 32, [], [], 0
-        for batch in batches:
-            schema = pa.schema(list(zip(names, [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.list_(batch.schema.field(0).type)], strict=True)))
-
-            def flush():
-                out, held_bytes = [], 0
-                for row in _shard(shard, ids, counts, n, total):
-                    out.append(row)
-                    held_bytes += len(row[3]) + len(row[4]) + 64
-                    if held_bytes > 1 << 22:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                        out, held_bytes = [], 0
-                if out:
+        def flush(shard: Shard, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+            schema = pa.schema(list(zip(names, [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.list_(id_type)], strict=True)))
+            out, size = [], 0
+            for row in shard.rows(n, total):
+                out.append(row)
+                size += len(row[3]) + len(row[4]) + 64
+                if size > 1 << 22:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-            for i, t in zip(batch.column(0), batch.column(1), strict=True):
-                c = Counter(terms(t.as_py()))
-                if c:
-                    ids.append(i.as_py())
-                    counts.append(c)
-                    held += len(c)
-                if held >= shard_postings:
-                    yield from flush()
-                    shard, ids, counts, held = shard + 1, [], [], 0
-        if counts:
-            yield from flush()
+        shard = Shard(TaskContext.get().partitionId() << 32)
+        for batch in batches:
+            for own, text in zip(batch.column(0), batch.column(1), strict=True):
+                counts = Counter(terms(text.as_py()))
+                if counts:
+                    shard.add(own.as_py(), counts)
+                if shard.held >= shard_postings:
+                    yield from flush(shard, batch.schema.field(0).type)
+                    shard = Shard(shard.name + 1)
+        if shard.held:
+            yield from flush(shard, batch.schema.field(0).type)
 
     return rows.mapInArrow(run, f"shard bigint, term binary, df bigint, heads binary, body binary, ids array<{kind}>")
 
@@ -340,7 +347,7 @@ def search(indexed: DataFrame, wanted: DataFrame, n: int, k: int = 10, query_row
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
 
 
-def ranked(documents: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_postings: int = 1 << 21, query_rows: int = 1000) -> DataFrame:
+def ranked(documents: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_postings: int = 1 << 20, query_rows: int = 1000) -> DataFrame:
     """The k best documents of each query: item_id, rank (from 1), doc_id, score."""
     n, total = totals(documents, text_col)
     indexed = cut(index(documents, n, max(total, 1), id_col, text_col, shard_postings))
