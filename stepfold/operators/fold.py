@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import action_score, mean_plus_worst, object_components, present
+from .order import radix_quantiles
 
 PILLARS = ("f1", "spatial", "integrity")
 
@@ -79,67 +80,32 @@ def overall(steps: DataFrame, keys: tuple[str, ...] = ("case_id",)) -> DataFrame
     return one.select(((F.col("atomic") + F.col("chain") + F.col("cycle")) / 3).alias("cmg"), "ssp")
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], p: float, by: list[str] | None = None, accuracy: int = 2000) -> DataFrame:
-    """(by..., column, quantile) of numeric columns, by linear interpolation, NULL and NaN left out.
-
-    No task holds a column's values: a sketch (bounded by ``accuracy``) brackets the two
-    order statistics, one pass counts what lies below the bracket, and only the
-    different values inside it, with their numbers, are put in order.
-    """
-    by = by or []
-    each = df.select(*by, F.explode(F.array(*(F.struct(F.lit(c).alias("column"), present(F.col(c).cast("double")).alias("x")) for c in columns))).alias("v")).select(*by, "v.column", "v.x").filter("x IS NOT NULL")
-    keys = [*by, "column"]
-    slack = 3.0 / accuracy
-    low, high = (F.percentile_approx("x", F.lit(min(1.0, max(0.0, p + s))), F.lit(accuracy)) for s in (-slack, slack))
-    at = (F.count("*") - 1) * p
-    bracket = each.groupBy(*keys).agg(low.alias("low"), high.alias("high"), F.min("x").alias("least"), F.max("x").alias("most"), at.alias("at"), F.count("*").alias("n"))
-    # at the ends, and of few values, all are inside
-    few = F.col("n") <= 10 * accuracy
-    bracket = bracket.withColumns({"low": F.when(few | F.lit(p - slack <= 0), F.col("least")).otherwise(F.col("low")), "high": F.when(few | F.lit(p + slack >= 1), F.col("most")).otherwise(F.col("high"))}).drop("least", "most", "n")
-    same = [F.col(f"e.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    j = each.alias("e").join(bracket.alias("b"), on).select(*(F.col(f"e.{k}").alias(k) for k in keys), "e.x", "b.low", "b.high", "b.at")
-    inside = F.when(F.col("x").between(F.col("low"), F.col("high")), F.col("x"))
-    counts = j.withColumn("inside", F.when(F.col("x") < F.col("low"), float("-inf")).otherwise(inside)).filter("inside IS NOT NULL").groupBy(*keys, "at", "inside").agg(F.count("*").alias("n"))
-    place = Window.partitionBy(*keys).orderBy("inside").rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("upto", F.sum("n").over(place))
-
-    def value(k: Column) -> Column:
-        return F.min(F.when(F.col("upto") > k, F.col("inside")))
-
-    pair = counts.groupBy(*keys, "at").agg(value(F.floor("at")).alias("a"), value(F.ceil("at")).alias("b"))
-    exact = F.when((F.col("a") > float("-inf")) & F.col("b").isNotNull(), F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at")))
-    return pair.select(*keys, F.coalesce(exact, F.raise_error(F.lit("the sketch missed an order statistic")).cast("double")).alias("quantile"))
-
-
-#: Tables that are estimated below this many bytes may have a group's different values in one task's buffer.
+#: Tables of up to so many bytes on disk may have a group's different values in one task's buffer.
 HELD_BYTES = 1 << 28
 
 
-def is_small(df: DataFrame, most: int = HELD_BYTES) -> bool:
-    """Whether the optimiser's estimate of a table's size, which no job is run for, is at most ``most`` bytes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most
+def is_small(spark: SparkSession, *paths: str, most: int = HELD_BYTES) -> bool:
+    """Whether the files of some tables are at most ``most`` bytes together; no plan is made and no job run."""
+    total = 0
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        total += where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    return total <= most
 
 
-def quantiles(df: DataFrame, columns: list[str], p: float, by: list[str] | None = None, held_bytes: int = HELD_BYTES) -> DataFrame:
-    """What ``exact_quantiles`` gives, in one aggregation where the table is small."""
-    if not is_small(df, held_bytes):
-        return exact_quantiles(df, columns, p, by)
+def quantiles(df: DataFrame, columns: list[str], p: float, by: list[str] | None = None, direct: bool = False) -> DataFrame:
+    """(by..., column, quantile): by radix selection, or (``direct``, for small tables) in one aggregation; the rows are the same."""
+    if not direct:
+        return radix_quantiles(df, columns, [p], by).drop("p")
     by = by or []
     one = df.groupBy(*by).agg(*(F.percentile(present(F.col(c).cast("double")), F.lit(p)).alias(c) for c in columns))
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("quantile")) for c in columns))).alias("q")
     return one.select(*by, each).select(*by, "q.column", "q.quantile").filter("quantile IS NOT NULL")
 
 
-def summary(df: DataFrame, columns: list[str], by: list[str] | None = None, held_bytes: int = HELD_BYTES) -> DataFrame:
-    """mean, median, least, largest and count of each column, skipping NULL and NaN.
-
-    ``median`` holds a group's different values in one task, so tables over
-    ``held_bytes`` get their medians from ``exact_quantiles``.
-    """
-    by, direct = by or [], is_small(df, held_bytes)
+def summary(df: DataFrame, columns: list[str], by: list[str] | None = None, direct: bool = False) -> DataFrame:
+    """mean, median, least, largest and count of each column, skipping NULL and NaN; ``direct`` as for ``quantiles``."""
+    by = by or []
     aggs = []
     for c in columns:
         x = present(F.col(c))
@@ -148,7 +114,7 @@ def summary(df: DataFrame, columns: list[str], by: list[str] | None = None, held
     if direct:
         return one
     keys = [f"_k{n}" for n in range(len(by))]
-    medians = exact_quantiles(df, columns, 0.5, by).groupBy(*(F.col(b).alias(k) for b, k in zip(by, keys, strict=True)))
+    medians = quantiles(df, columns, 0.5, by).groupBy(*(F.col(b).alias(k) for b, k in zip(by, keys, strict=True)))
     medians = medians.agg(*(F.max(F.when(F.col("column") == c, F.col("quantile"))).alias(f"{c}_median") for c in columns))
     on = F.lit(True)
     for b, k in zip(by, keys, strict=True):

@@ -97,7 +97,7 @@ def cosine01(spark, d):
 @query("q51_metric_summary", f"{W} SELECT count(*) AS n, " + ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(median({c}), 6) AS {c}_median, round(min({c}), 6) AS {c}_min, round(max({c}), 6) AS {c}_max" for c in ("translation_norm", "rotation_angle")) + " FROM moved")
 def metric_summary(spark, d):
     m = _moved(spark, d).select(F.col("m_translation_norm").alias("translation_norm"), F.col("m_rotation_angle").alias("rotation_angle"))
-    s = fold.summary(m, m.columns)
+    s = fold.summary(m, m.columns, direct=fold.is_small(spark, f"{d}/embeddings.parquet"))
     return s.select(F.col("translation_norm_count").alias("n"), *(F.round(f"{c}_{k}", 6).alias(f"{c}_{k}") for c in m.columns for k in ("mean", "median", "min", "max")))
 
 
@@ -105,7 +105,7 @@ def metric_summary(spark, d):
     round(avg(dir_cos), 7) AS dir_cos_mean, round(avg(sign_ok), 7) AS sign_ok_rate FROM dirs GROUP BY 1""")
 def pose_split_summary(spark, d):
     c = _compared(spark, d).withColumn("grp", F.when(F.col("unit") == "m", "translation").otherwise("rotation"))
-    s = fold.summary(c, ["abs_err", "dir_cos", "sign_ok"], ["grp"])
+    s = fold.summary(c, ["abs_err", "dir_cos", "sign_ok"], ["grp"], fold.is_small(spark, f"{d}/embeddings.parquet"))
     return s.select("grp", F.col("abs_err_count").alias("n"), *(F.round(a, 7).alias(b) for a, b in (("abs_err_mean", "abs_err_mean"), ("abs_err_median", "abs_err_median"), ("dir_cos_mean", "dir_cos_mean"), ("sign_ok_mean", "sign_ok_rate"))))
 
 

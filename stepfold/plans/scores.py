@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import object_components
 from ..operators import fold, rules
+from ..operators.order import radix_quantiles
 from .fixtures import STEPS_SQL, step_records, table
 from .registry import query, r9
 
@@ -102,10 +103,34 @@ def case_frequency(spark, d):
 )
 def wide_mean_summary(spark, d):
     cols = ["action_expected", "action_abs_err", "center_error_norm", "object_integrity"]
-    s = fold.summary(step_records(spark, d), cols)
+    s = fold.summary(step_records(spark, d), cols, direct=fold.is_small(spark, f"{d}/lineitem.parquet"))
     return s.select(F.col("action_expected_count").alias("n"), *(r9(f"{c}_{k}").alias(f"{c}_{k}") for c in cols for k in ("mean", "median", "min", "max")))
 
 
+WIDE = ("l_quantity", "l_extendedprice", "l_discount")
+PLACES = (0.05, 0.5, 0.98)
+
+
+@query(
+    "q123_radix_quantiles",
+    "SELECT l_returnflag AS kind, "
+    + ", ".join(f"round(quantile_cont({c}, {p}::DOUBLE), 6) AS {c}_{round(100 * p)}" for c in WIDE for p in PLACES)
+    + " FROM lineitem GROUP BY 1 UNION ALL SELECT NULL, "
+    + ", ".join(f"round(quantile_cont({c} * (l_linenumber - 3), {p}::DOUBLE), 6)" for c in WIDE for p in PLACES)
+    + " FROM lineitem",
+)
+def radix_places(spark, d):
+    """The way of large tables: quantiles of all columns by histograms of digits, in groups and (with signs) over all rows."""
+    line = table(spark, d, "lineitem")
+
+    def wide(found, *by):
+        return found.groupBy(*by).agg(*(F.round(F.max(F.when((F.col("column") == c) & (F.col("p") == p), F.col("quantile"))), 6).alias(f"{c}_{round(100 * p)}") for c in WIDE for p in PLACES))
+
+    grouped = wide(radix_quantiles(line.withColumnRenamed("l_returnflag", "kind"), list(WIDE), list(PLACES), ["kind"]), "kind")
+    signed = line.select(*((F.col(c) * (F.col("l_linenumber") - 3)).alias(c) for c in WIDE))
+    return grouped.union(wide(radix_quantiles(signed, list(WIDE), list(PLACES))).select(F.lit(None).cast("string").alias("kind"), "*"))
+
+
 MODELS_SQL = f"""{W}, m AS (SELECT c_mktsegment AS model, s.* FROM scored s JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey),
     mc AS (SELECT model, subtype, case_id, avg(score) AS s FROM m GROUP BY ALL), mk AS (SELECT model, subtype, avg(s) AS s, count(*) AS n FROM mc GROUP BY ALL),
     mm AS (SELECT model, round(avg(s), 9) AS cmg, sum(n)::BIGINT AS num_cases FROM mk GROUP BY 1)"""

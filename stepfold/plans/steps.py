@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..operators.fold import quantiles
+from ..operators.fold import is_small, quantiles
 from ..sources.jsonl import parse_lines
 from .fixtures import STEPS_SQL, step_records, table
 from .registry import query, r9
@@ -109,7 +109,7 @@ def coalesce_shapes(spark, d):
 def outlier_clip(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", "value")
     # a hot user's values are never held by one task
-    q = quantiles(e.filter("value > 0"), ["value"], 0.98, ["user_id"]).select("user_id", F.col("quantile").alias("q"))
+    q = quantiles(e.filter("value > 0"), ["value"], 0.98, ["user_id"], is_small(spark, f"{d}/events.parquet")).select("user_id", F.col("quantile").alias("q"))
     return e.join(q, "user_id").select("event_id", F.when(F.col("value") > F.col("q"), 0.0).otherwise(F.col("value")).alias("clipped"))
 
 

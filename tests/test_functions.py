@@ -93,38 +93,62 @@ def test_depths():
     assert mask.sum() == 1 and mask[5, 5]
 
 
-def test_exact_quantiles_against_a_sort(spark):
+def test_keys_of_doubles_keep_order_and_come_back(spark):
+    import struct
+
+    from pyspark.sql import functions as F
+
+    from stepfold.operators.order import double_key, key_double
+
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 1 << 63, 4000).view(np.float64)
+    x = [float(v) for v in x if v == v] + [2.0**e for e in range(-1074, 1024, 7)] + [float(np.nextafter(2.0**e, 0)) for e in range(-1021, 1024, 9)] + [0.0, -0.0, 5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, float("inf")]
+    x += [-v for v in x]
+    rows = spark.createDataFrame([(v,) for v in x], "x double").withColumn("k", double_key(F.col("x"))).withColumn("back", key_double(F.col("k"))).collect()
+    for r in rows:
+        bits = struct.unpack("<q", struct.pack("<d", abs(r["x"])))[0]
+        assert r["k"] == (-bits if r["x"] < 0 else bits) and r["back"] == r["x"]
+    odd = spark.createDataFrame([(None,), (float("nan"),)], "x double").select(double_key(F.col("x")).alias("k")).collect()
+    assert [r["k"] for r in odd] == [None, None]
+
+
+def test_radix_quantiles_are_percentiles(spark):
     import random
 
     from pyspark.sql import functions as F
 
     from stepfold.operators import fold
+    from stepfold.operators.order import radix_quantiles
 
     rng = random.Random(4)
-    kinds = {"ties": lambda: float(rng.randint(0, 3)), "wide": lambda: rng.gauss(0, 1) ** 3, "one": lambda: 5.0}
-    rows = [(g, kinds["ties"](), kinds["wide"](), kinds["one"]() if rng.random() < 0.9 else None) for g in ("a", "b", None) for _ in range(rng.randint(800, 6000))]
-    rows += [("c", 1.0, float("nan"), None), ("d", 2.0, 1.0, 3.0), ("d", 3.0, 2.0, 4.0)]
-    df = spark.createDataFrame(rows, "g string, ties double, wide double, one double").repartition(4)
-
-    def plain(values, p):
-        values = sorted(v for v in values if v is not None and v == v)
-        at = (len(values) - 1) * p
-        a, b = values[int(at)], values[min(int(at) + 1, len(values) - 1)]
-        return a + (b - a) * (at - int(at))
-
-    for p in (0.0, 0.5, 0.98, 1.0):
-        got = {(r["g"], r["column"]): r["quantile"] for r in fold.exact_quantiles(df, list(kinds), p, ["g"], accuracy=100).collect()}
-        small = {(r["g"], r["column"]): r["quantile"] for r in fold.quantiles(df, list(kinds), p, ["g"], 1 << 40).collect()}
-        assert set(small) == set(got)
-        for g in ("a", "b", None, "d"):
-            for k, c in enumerate(kinds):
-                assert abs(small[g, c] - got[g, c]) < 1e-9
-                assert abs(got[g, c] - plain([r[k + 1] for r in rows if r[0] == g], p)) < 1e-9
-        assert ("c", "one") not in got and ("c", "wide") not in got
-    for most in (0, 1 << 40):
-        whole = fold.summary(df, list(kinds), held_bytes=most).first()
-        for k, c in enumerate(kinds):
-            assert abs(whole[f"{c}_median"] - plain([r[k + 1] for r in rows], 0.5)) < 1e-9
-        assert fold.summary(df.filter(F.lit(False)), ["wide"], held_bytes=most).first()["wide_median"] is None
-        by = {r["g"]: r for r in fold.summary(df, list(kinds), ["g"], most).collect()}
-        assert abs(by[None]["wide_median"] - plain([r[2] for r in rows if r[0] is None], 0.5)) < 1e-9 and by["c"]["one_median"] is None and by["c"]["ties_count"] == 1
+    inf = float("inf")
+    kinds = {"ties": lambda: float(rng.randint(0, 3)), "wide": lambda: rng.gauss(0, 1) ** 3, "one": lambda: 5.0, "ends": lambda: rng.choice([inf, -inf, 0.0, -0.0, 5e-324, -1e308, 1e308])}
+    rows = [(g, kinds["ties"](), kinds["wide"](), kinds["one"]() if rng.random() < 0.9 else None, kinds["ends"]()) for g in ("a", "b", None) for _ in range(rng.randint(800, 6000))]
+    rows += [("c", 1.0, float("nan"), None, None), ("d", 2.0, 1.0, 3.0, inf), ("d", 3.0, 2.0, 4.0, -inf)]
+    df = spark.createDataFrame(rows, "g string, ties double, wide double, one double, ends double").repartition(4)
+    same = lambda a, b: a is b or a is not None and b is not None and (a == b or a != a and b != b or abs(a - b) < 1e-9 * max(1, abs(b)))
+    ps = [0.0, 0.5, 0.98, 1.0]
+    for by in (["g"], None):
+        got = {(r["g"] if by else None, r["column"], r["p"]): r["quantile"] for r in radix_quantiles(df, list(kinds), ps, by).collect()}
+        for p in ps:
+            want = {(r["g"] if by else None, r["column"], p): r["quantile"] for r in fold.quantiles(df, list(kinds), p, by, direct=True).collect()}
+            assert {k for k in got if k[2] == p} == set(want)
+            assert all(same(got[k], want[k]) for k in want), [(k, got[k], want[k]) for k in want if not same(got[k], want[k])]
+    assert ("c", "one", 0.5) not in got
+    empty = df.filter(F.lit(False))
+    assert radix_quantiles(empty, ["wide"], ps).count() == 0
+    for direct in (False, True):
+        assert fold.summary(empty, ["wide"], direct=direct).first()["wide_median"] is None
+    for by in (["g"], None):
+        one, two = ({r["g"] if by else None: r.asDict() for r in fold.summary(df, list(kinds), by, direct).collect()} for direct in (False, True))
+        assert one.keys() == two.keys() and all(same(one[g][c], two[g][c]) for g in two for c in two[g] if c != "g")
+
+
+def test_radix_plan_has_no_window_and_no_sort_of_values(spark):
+    from stepfold.operators.order import _narrowed, double_key
+    from pyspark.sql import functions as F
+
+    keys = spark.range(1000).select(F.lit("x").alias("column"), double_key(F.col("id").cast("double")).alias("key"))
+    ranks = keys.groupBy("column").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).selectExpr("*", "0.5D AS p", "499.5D AS at", "499L AS rank", "499L AS wanted")
+    plan = _narrowed(keys, ranks, ["column"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Percentile" not in plan
