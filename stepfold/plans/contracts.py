@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import rules
+from ..operators.contain import contained
 from ..operators.rules import Rule
 from .fixtures import STEPS_SQL, step_records, table
 from .registry import query
@@ -97,34 +98,9 @@ def safe_id_and_path(spark, d):
 
 @query("q20_content_leakage", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def content_leakage(spark, d):
-    """Containment through an equi-join: both sides are cut to their first five words at each place."""
-    def words(c):
-        return F.split(c, " ")
-
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    """Containment through an equi-join on the rarest run of words of each item."""
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
-    # a contained item starts inside a word at most, so its second to sixth words are whole in the document
-    probe = items.select("item_id", "item", F.array_join(F.slice(words(F.col("item")), 2, 5), " ").alias("probe"), F.size(words(F.col("item"))).alias("n"))
-    spots = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 5), " "))
-    grams = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(spots)).alias("g"))
-    long = grams.join(probe.filter("n > 6"), F.col("g") == F.col("probe")).select("doc_id", "item_id", "item").distinct()
-    found = long.join(docs, "doc_id").filter(F.contains("text", "item")).select("doc_id", "item_id")
-    # of three to six words those inside are whole; of fewer no word need be, so their first characters are the key
-    middle, first = F.array_join(F.slice(words(F.col("item")), 2, F.greatest(F.col("n") - 2, F.lit(0))), " "), F.least(F.length("item"), F.lit(16))
-    size = F.when(F.col("n") > 2, F.struct(F.lit("words").alias("unit"), (F.col("n") - 2).alias("n"))).otherwise(F.struct(F.lit("chars").alias("unit"), first.alias("n")))
-    short = probe.filter("n <= 6 AND item IS NOT NULL").select("item_id", "item", size.alias("size"), F.when(F.col("n") > 2, middle).otherwise(F.left("item", first)).alias("probe"))
-    sizes = [r["size"] for r in short.select("size").distinct().collect()]  # four and seventeen at most
-    if not sizes:
-        return found
-
-    def keys(unit, n):
-        length, cut = (F.size("w"), lambda i: F.array_join(F.slice("w", i, n), " ")) if unit == "words" else (F.length("text"), lambda i: F.substring("text", i, n))
-        places = F.transform(F.sequence(F.lit(1), F.greatest(length - n + 1, F.lit(1))), cut) if n else F.array(F.lit(""))
-        return F.transform(F.array_distinct(places), lambda g: F.struct(F.struct(F.lit(unit).alias("unit"), F.lit(n).alias("n")).alias("size"), g.alias("probe")))
-
-    spots = docs.select("doc_id", "text", words(F.col("text")).alias("w")).filter("text IS NOT NULL").select("doc_id", F.explode(F.concat(*(keys(*x) for x in sorted(sizes)))).alias("k"))
-    few = spots.select("doc_id", "k.size", "k.probe").join(short, ["size", "probe"]).select("doc_id", "item_id", "item").distinct()
-    return found.union(few.join(docs, "doc_id").filter(F.contains("text", "item")).select("doc_id", "item_id"))
+    return contained(table(spark, d, "documents").select("doc_id", "text"), items)
 
 
 @query(
