@@ -7,13 +7,16 @@ and the next lies exactly one overlap, that of the next token to end on either s
 links are as many as there are different ends, whatever the size of a group.
 
 That is done once for each different *piece* of the corpus, not for each of its
-occurrences: a text with a space before it is parted at each space that stands
-between two characters that aren't white space.  Both tokenisers part there in any case
-(:func:`separable` checks the second's vocabulary, the first's pattern begins a token
-there), so tokens, groups and links of a text are those of its pieces one after another.
-Texts are read in blocks of about ``block_chars`` characters; a block is one row with its
-documents as codes into a dictionary of its pieces, and a row for each piece.  What has been
-found for the pieces goes back to the blocks, which put their documents together.
+occurrences.  A text with a space before it is parted before a space that stands between
+two characters that aren't white space, between a Latin letter and an ASCII character that
+is no letter, and after a line feed that stands between two characters that aren't white space.  Both tokenisers
+part there in any case (:func:`separable` checks the second's vocabulary; the first's
+pattern ends its run of letters or of white space there), so tokens, groups and links of a text are those of its
+pieces one after another.  Texts are read in blocks of about ``block_chars`` characters; a block
+is one row with its documents as codes into a dictionary of its pieces, and a row for each
+piece.  Equal pieces become one row with their places (block and code; of each ``NEAR_PARTS`` input
+partitions, so that no row grows with the corpus), and what is found for it goes to those places,
+where the blocks put their documents together.
 
 Defined results: texts that are null, empty, or whose tokens' joined bytes differ from
 space and text on either side have no tokens (zeros, '' for the groups) and count in no
@@ -40,16 +43,16 @@ from pyspark.sql import functions as F
 from .common import lookup, shared_dir, text_or_empty
 from .ranked import packed, unpacked
 
-_CUT, _NEAR = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s | \s")
+_LETTERS, _OTHERS = r"A-Za-zÀ-ÖØ-öø-ɏ", r"\x00-\x40\x5b-\x60\x7b-\x7f"
+_CUT = rf"(?<=[{_LETTERS}])(?=[{_OTHERS}])|(?<=\S)(?= \S)|(?<=\S\n)(?=\S)"
+#: A Latin word up to what isn't one, or what stands up to the next cut.
+_PIECE = re.compile(rf" ?[{_LETTERS}]+(?=[{_OTHERS}]|\Z)|(?:[^{_LETTERS}\s]+\n?|[\s\S])(?:(?!{_CUT})[\s\S])*")
+NEAR_PARTS = 4096
 
 
 def pieces_of(text: str) -> list[str]:
     """The pieces of a text that isn't empty; joined they are a space and the text."""
-    text = " " + text
-    if not _NEAR.search(text) and not text[-1] == " ":
-        return [" " + p for p in text.split(" ")[1:]]
-    parts = _CUT.split(text)
-    return [parts[0], *(" " + p for p in parts[1:])]
+    return _PIECE.findall(" " + text)
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -92,18 +95,27 @@ def byte_level(path: str) -> Tokenizer:
 
 
 def sentence_pieces(path: str) -> Tokenizer:
-    """B: texts begin with a space, which the model adds itself."""
+    """B: the model adds a space to what it encodes; what must not begin with one is encoded after a line feed."""
     import sentencepiece
 
     own = sentencepiece.SentencePieceProcessor(model_file=path)
     names = [own.id_to_piece(i) for i in range(own.get_piece_size())]
-    table = [bytes([int(p[3:5], 16)]) if own.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
-    return Tokenizer(lambda texts: own.encode([t[1:] for t in texts], num_threads=1), table)
+    none = [own.is_control(i) or own.is_unknown(i) for i in range(len(names))]  # no text has these
+    table = [b"" if none[i] else bytes([int(p[3:5], 16)]) if own.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+    skip = len(own.encode("\n"))
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        begins = [len(t) > 1 and t[0] == " " for t in texts]  # to nothing at all it adds no space
+        ids = own.encode([t[1:] if s else "\n" + t for t, s in zip(texts, begins, strict=True)], num_threads=1)
+        return [x if s else x[skip:] for x, s in zip(ids, begins, strict=True)]
+
+    return Tokenizer(encode, table)
 
 
 def separable(b: Tokenizer) -> bool:
-    """Whether no token goes on from a character that isn't white space to a space, so that texts part there."""
-    return not any(re.search(rb"[^ ] ", t) for t in b.bytes_of)
+    """Whether no token goes on across a place where :func:`pieces_of` parts texts, nor across a line feed."""
+    across = re.compile(rf"[{_LETTERS}][{_OTHERS}]|[^ ] |\n.|.\n", re.DOTALL)
+    return not any(across.search(t.decode(errors="replace")) for t in b.bytes_of)
 
 
 def blocks(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 1 << 24, part: bool = True) -> DataFrame:
@@ -143,7 +155,7 @@ def blocks(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def encoded(pieces: DataFrame, a: Callable[[], Tokenizer], b: Callable[[], Tokenizer]) -> DataFrame:
-    """piece_id, piece, n, ok and both sides' ids and lengths in bytes."""
+    """``pieces`` with ok, n_a and the ids and lengths in bytes of both sides' tokens (the first n_a are A's)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = a(), b()
@@ -152,52 +164,52 @@ def encoded(pieces: DataFrame, a: Callable[[], Tokenizer], b: Callable[[], Token
                 batch = whole.slice(lo, 2000)
                 texts = batch.column("piece").to_pylist()
                 want = [t.encode() for t in texts]
-                ok, columns = np.ones(len(texts), bool), []
+                ok, ids, lens = np.ones(len(texts), bool), [], []
                 for side in (one, two):
-                    ids = side.encode(texts)
-                    parts = [[side.bytes_of[i] for i in x] for x in ids]
+                    own = side.encode(texts)
+                    parts = [[side.bytes_of[i] for i in x] for x in own]
                     ok &= np.fromiter((b"".join(p) == w and b"" not in p for p, w in zip(parts, want, strict=True)), bool, len(texts))
-                    columns += [pa.array(ids, pa.list_(pa.int32())), pa.array([[len(x) for x in p] for p in parts], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ok), *columns], [*batch.schema.names, "ok", "a_ids", "a_lens", "b_ids", "b_lens"])
+                    ids.append(own)
+                    lens.append([[len(x) for x in p] for p in parts])
+                both = [pa.array([x + y for x, y in zip(*side, strict=True)], pa.list_(pa.int32())) for side in (ids, lens)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ok), pa.array([len(x) for x in ids[0]], pa.int32()), *both], [*batch.schema.names, "ok", "n_a", "ids", "lens"])
 
     fields = ", ".join(f"{c} {t}" for c, t in pieces.dtypes)
-    return pieces.mapInArrow(run, f"{fields}, ok boolean, a_ids array<int>, a_lens array<int>, b_ids array<int>, b_lens array<int>")
+    return pieces.mapInArrow(run, f"{fields}, ok boolean, n_a int, ids array<int>, lens array<int>")
+
+
+def _ends(dealt: DataFrame) -> DataFrame:
+    """piece_id, end, a_id, b_id: each place where a token ends, with the tokens that do.
 
+    Both sides are exploded as one list.  The equi-join of their ends is a grouping by
+    piece and end, which the partitioning by piece serves: nothing is shuffled.
+    """
+    each = dealt.select("piece_id", "n_a", F.posexplode(F.arrays_zip(F.col("ids").alias("id"), F.col("lens").alias("len"))).alias("pos", "token"))
+    each = each.select("piece_id", (F.col("pos") >= F.col("n_a")).alias("second"), "pos", "token.id", "token.len")
+    so_far = Window.partitionBy("piece_id", "second").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("end", F.sum("len").over(so_far))
+    return each.groupBy("piece_id", "end").agg(F.max(F.when(~F.col("second"), F.col("id"))).alias("a_ends"), F.max(F.when(F.col("second"), F.col("id"))).alias("b_ends"))
 
-def _ends(pieces: DataFrame, side: str) -> DataFrame:
-    """piece_id, end, <side>_pos, <side>_id of each token."""
-    each = pieces.select("piece_id", F.posexplode(F.arrays_zip(F.col(f"{side}_ids").alias("id"), F.col(f"{side}_lens").alias("len"))).alias("pos", "token"))
-    so_far = Window.partitionBy("piece_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return each.select("piece_id", F.sum("token.len").over(so_far).alias("end"), F.col("pos").alias(f"{side}_pos"), F.col("token.id").alias(f"{side}_id"))
 
+def overlaps(dealt: DataFrame) -> DataFrame:
+    """A row for each link: piece_id, end, in_group, a_id, b_id, a_ends, b_ends (the ids of tokens that end here).
 
-def overlaps(pieces: DataFrame) -> DataFrame:
-    """A row for each link: piece_id, end, in_group, is_cut, a_id, b_id, a_ends, b_ends (whether that token ends here)."""
-    dealt = pieces.filter("ok").repartition("piece_id")
-    both = _ends(dealt, "a").join(_ends(dealt, "b"), ["piece_id", "end"], "full")
-    before = Window.partitionBy("piece_id").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("piece_id").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
-    is_cut = F.col("a_pos").isNotNull() & F.col("b_pos").isNotNull()
-    return both.select(
+    From the last end backwards a running count of cuts numbers the groups (downwards from
+    -1), and the last id seen of each side is the token that covers what lies before the end.
+    """
+    back = Window.partitionBy("piece_id").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
+    is_cut = F.col("a_ends").isNotNull() & F.col("b_ends").isNotNull()
+    return _ends(dealt).select(
         "piece_id",
         "end",
-        F.coalesce(F.sum(is_cut.cast("int")).over(before), F.lit(0)).alias("in_group"),
-        is_cut.alias("is_cut"),
-        F.last("a_id", ignorenulls=True).over(after).alias("a_id"),
-        F.last("b_id", ignorenulls=True).over(after).alias("b_id"),
-        F.col("a_pos").isNotNull().alias("a_ends"),
-        F.col("b_pos").isNotNull().alias("b_ends"),
+        (-F.sum(is_cut.cast("int")).over(back)).alias("in_group"),
+        F.last("a_ends", ignorenulls=True).over(back).alias("a_id"),
+        F.last("b_ends", ignorenulls=True).over(back).alias("b_id"),
+        "a_ends",
+        "b_ends",
     )
 
 
-def pair_counts(links: DataFrame, pieces: DataFrame) -> DataFrame:
-    """a_id, b_id, count (links of the corpus that hold the pair), is_best (none of its B id's is higher), rows (of ``links``)."""
-    weight = pieces.filter("ok").select("piece_id", "n")
-    pairs = links.select("piece_id", "a_id", "b_id").join(weight, "piece_id").groupBy("a_id", "b_id").agg(F.sum("n").alias("count"), F.count("*").alias("rows"))
-    top = F.max("count").over(Window.partitionBy("b_id"))
-    return pairs.withColumn("is_best", F.col("count") == top)
-
-
 def _text_of(groups: Column) -> Column:
     """``a1,a2|b1;a3|b2`` of a sorted array of (in_group, side, end, id); the column must be a plain attribute."""
 
@@ -209,29 +221,53 @@ def _text_of(groups: Column) -> Column:
     return F.array_join(F.transform(groups, one), "")
 
 
-def summaries(links: DataFrame, pairs: DataFrame) -> DataFrame:
-    """For each piece: piece_id, n_a, n_b, n_groups, n_links, n_best, count_sum, text."""
-    total = max(pairs.agg(F.sum("rows")).first()[0] or 1, 1)
-    counted = lookup(links, pairs, ["a_id", "b_id"], "rows", total, ["piece_id"])
+def aligned(pieces: DataFrame) -> DataFrame:
+    """piece_id, places, n, links (array of a_id, b_id), n_a, n_b, n_groups, text of each piece that both sides write as it is."""
+    dealt = pieces.filter("ok").select("piece_id", "n_a", "ids", "lens").repartition("piece_id")
 
     def tokens(side: str, number: int) -> Column:
-        return F.collect_list(F.when(F.col(f"{side}_ends"), F.struct("in_group", F.lit(number).alias("side"), "end", F.col(f"{side}_id").alias("id"))))
-
-    each = counted.groupBy("piece_id").agg(
-        F.count_if("a_ends").alias("n_a"),
-        F.count_if("b_ends").alias("n_b"),
-        F.count_if("is_cut").alias("n_groups"),
-        F.count("*").alias("n_links"),
-        F.count_if("is_best").alias("n_best"),
-        F.sum("count").alias("count_sum"),
+        ends = F.col(f"{side}_ends")
+        return F.collect_list(F.when(ends.isNotNull(), F.struct("in_group", F.lit(number).alias("side"), "end", ends.alias("id"))))
+
+    each = overlaps(dealt).groupBy("piece_id").agg(
+        F.collect_list(F.struct("a_id", "b_id")).alias("links"),
+        F.count("a_ends").alias("n_a"),
+        F.count("b_ends").alias("n_b"),
+        (-F.min("in_group")).alias("n_groups"),
         F.array_sort(F.concat(tokens("a", 0), tokens("b", 1))).alias("groups"),
     )
-    return each.withColumn("text", _text_of(F.col("groups"))).drop("groups")
+    each = each.withColumn("text", _text_of(F.col("groups"))).drop("groups")
+    return each.join(pieces.select("piece_id", "places", "n"), "piece_id")
+
+
+def pair_counts(found: DataFrame) -> DataFrame:
+    """a_id, b_id, count (links of the corpus that hold the pair), is_best (none of its B id's is higher), rows (of all pieces)."""
+    pairs = found.select("n", F.inline("links")).groupBy("a_id", "b_id").agg(F.sum("n").alias("count"), F.count("*").alias("rows"))
+    return pairs.withColumn("is_best", F.col("count") == F.max("count").over(Window.partitionBy("b_id")))
+
+
+def counted(found: DataFrame, pairs: DataFrame, held: int = 1 << 20) -> DataFrame:
+    """For each piece: places, NUMBERS, text.
+
+    Up to ``held`` pairs (16 bytes each) go to every task, more are met by key, the hot ones salted.
+    """
+    total, number = pairs.agg(F.sum("rows"), F.count("*")).first()
+    each = found.select("piece_id", F.inline("links"))
+    if number <= held:
+        each = each.join(F.broadcast(pairs.drop("rows")), ["a_id", "b_id"])
+    else:
+        each = lookup(each, pairs, ["a_id", "b_id"], "rows", max(total or 1, 1), ["piece_id"])
+    sums = each.groupBy("piece_id").agg(F.count("*").alias("n_links"), F.count_if("is_best").alias("n_best"), F.sum("count").alias("count_sum"))
+    return found.drop("links", "n").join(sums, "piece_id").drop("piece_id")
+
+
+def _part(block: Column) -> Column:
+    return F.floor(block / float(NEAR_PARTS << 32)).cast("int")
 
 
 def _lost(coded: DataFrame, bad: DataFrame) -> DataFrame:
-    """piece, lost: how often each piece occurs in documents that hold a piece of ``bad``."""
-    words = coded.filter(F.col("piece").isNotNull()).join(bad.select("piece", F.lit(True).alias("bad")), "piece", "left")
+    """piece, part, lost: how often each piece occurs in documents that hold a piece of ``bad``."""
+    words = coded.filter(F.col("piece").isNotNull()).join(bad.select("piece", F.lit(True).alias("bad")).distinct(), "piece", "left")
     touched = words.filter("bad").select("block").distinct()
     words = words.join(touched, "block", "left_semi").select("block", "code", "piece", F.coalesce("bad", F.lit(False)).alias("bad"))
     docs = coded.filter(F.col("piece").isNull()).join(touched, "block", "left_semi").select(F.col("block").alias("of"), "sizes", "codes")
@@ -246,32 +282,36 @@ def _lost(coded: DataFrame, bad: DataFrame) -> DataFrame:
                 if flag[codes[lo:hi]].any():
                     lost += np.bincount(codes[lo:hi], minlength=len(lost))
         at = np.flatnonzero(lost)
-        return pa.table({"piece": words.column("piece").take(pa.array(at)), "lost": pa.array(lost[at])})
+        of = np.full(len(at), docs.column("of")[0].as_py())
+        return pa.table({"of": of, "piece": words.column("piece").take(pa.array(at)), "lost": pa.array(lost[at])})
 
-    found = docs.groupBy("of").cogroup(words.groupBy("block")).applyInArrow(run, "piece string, lost bigint")
-    return found.groupBy("piece").agg(F.sum("lost").alias("lost"))
+    found = docs.groupBy("of").cogroup(words.groupBy("block")).applyInArrow(run, "of bigint, piece string, lost bigint")
+    return found.groupBy("piece", _part(F.col("of")).alias("part")).agg(F.sum("lost").alias("lost"))
 
 
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
 def _together(coded: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of the documents, from their codes and ``found`` (piece, places, ok, NUMBERS, text)."""
+    """The rows of the documents, from their codes and ``found`` (places, NUMBERS, text); a piece without a row there spoils its documents."""
     kind = coded.schema["ids"].dataType.elementType.simpleString()
-    words = coded.filter(F.col("piece").isNotNull()).select("block", "code", "piece")
-    places = max(found.agg(F.sum("places")).first()[0] or 1, 1)
-    words = lookup(words, found, ["piece"], "places", places, ["block"]).drop("piece")
+    words = found.select(F.inline("places"), *NUMBERS, "text")
     docs = coded.filter(F.col("piece").isNull()).select(F.col("block").alias("of"), "ids", "sizes", "codes")
     id_type = coded.select(F.get("ids", F.lit(0)).alias("x")).limit(0).toArrow().schema.field(0).type
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        words = words.sort_by("code")
-        ok = words.column("ok").to_numpy(zero_copy_only=False)
-        value = np.array([words.column(c).fill_null(0).to_numpy() for c in NUMBERS], np.int64).reshape(len(NUMBERS), len(ok))
-        text = words.column("text").to_pylist()
+        code, many = words.column("code").to_numpy(), words.num_rows
+        each = [unpacked(np.frombuffer(c.as_py(), np.uint8)) for c in docs.column("codes")]
+        size = 1 + max((int(c.max(initial=0)) for c in each), default=0)
+        ok, value, text = np.zeros(size, bool), np.zeros((len(NUMBERS), size), np.int64), [""] * size
+        ok[code] = True
+        for k, name in enumerate(NUMBERS):
+            value[k, code] = words.column(name).to_numpy() if many else 0
+        for k, t in zip(code.tolist(), words.column("text").to_pylist(), strict=True):
+            text[k] = t
         ids, rows, digests = [], [], []
-        for own, sizes, codes in zip(docs.column("ids"), docs.column("sizes"), docs.column("codes"), strict=True):
-            codes, ends = unpacked(np.frombuffer(codes.as_py(), np.uint8)), np.cumsum(unpacked(np.frombuffer(sizes.as_py(), np.uint8)))
+        for own, sizes, codes in zip(docs.column("ids"), docs.column("sizes"), each, strict=True):
+            ends = np.cumsum(unpacked(np.frombuffer(sizes.as_py(), np.uint8)))
             ids += own.as_py()
             for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                 part = codes[lo:hi]
@@ -290,23 +330,23 @@ def _together(coded: DataFrame, found: DataFrame) -> DataFrame:
 
 class Alignment(NamedTuple):
     documents: DataFrame  #: doc_id, NUMBERS, groups_sha256
-    pieces: DataFrame  #: piece_id, piece, n, ok, ids and lengths of both sides
-    links: DataFrame  #: of pieces, see overlaps()
+    pieces: DataFrame  #: see encoded()
+    found: DataFrame  #: of pieces, see aligned()
     pairs: DataFrame  #: a_id, b_id, count, is_best
 
 
-def align(documents: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 1 << 24) -> Alignment:
+def align(documents: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 1 << 24, held: int = 1 << 20) -> Alignment:
     """Align the tokens of a byte-level model (``a_path``) with those of a sentencepiece model (``b_path``)."""
     part = separable(sentence_pieces(b_path))
     coded = kept(blocks(documents, id_col, text_col, block_chars, part))
-    distinct = coded.filter(F.col("piece").isNotNull()).groupBy("piece").agg(F.sum("n").alias("n"), F.count("*").alias("places"))
-    numbered = distinct.select(F.monotonically_increasing_id().alias("piece_id"), "piece", "n", "places")
+    words = coded.filter(F.col("piece").isNotNull()).withColumn("part", _part(F.col("block")))
+    distinct = words.groupBy("piece", "part").agg(F.sum("n").alias("n"), F.collect_list(F.struct("block", "code")).alias("places"))
+    numbered = distinct.select(F.monotonically_increasing_id().alias("piece_id"), "piece", "part", "n", "places")
     pieces = kept(encoded(numbered, lambda: byte_level(a_path), lambda: sentence_pieces(b_path)))
     bad = pieces.filter(~F.col("ok"))
     if not bad.isEmpty():
-        left = pieces.join(_lost(coded, bad.select("piece")), "piece", "left")
+        left = pieces.join(_lost(coded, bad.select("piece")), ["piece", "part"], "left")
         pieces = kept(left.withColumn("n", F.col("n") - F.coalesce("lost", F.lit(0))).select(*pieces.columns))
-    links = kept(overlaps(pieces))
-    pairs = kept(pair_counts(links, pieces))
-    found = pieces.select("piece_id", "piece", "places", "ok").join(summaries(links, pairs), "piece_id", "left").drop("piece_id")
-    return Alignment(_together(coded, kept(found)), pieces, links, pairs)
+    found = kept(aligned(pieces))
+    pairs = kept(pair_counts(found))
+    return Alignment(_together(coded, counted(found, pairs, held)), pieces, found, pairs)

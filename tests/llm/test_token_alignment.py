@@ -1,4 +1,6 @@
 import hashlib
+import random
+import re
 from collections import Counter
 
 import public_tokenizers as P
@@ -81,11 +83,11 @@ ODD = [
 ]
 
 
-@pytest.mark.parametrize("block_chars", [1 << 24, 200])
-def test_odd_texts_against_whole_texts(spark, plain, block_chars):
+@pytest.mark.parametrize(("block_chars", "held"), [(1 << 24, 1 << 20), (200, 0)])
+def test_odd_texts_against_whole_texts(spark, plain, block_chars, held):
     docs = [(i, t) for i, t in enumerate(ODD)] + [(3, " lead"), (None, "no id"), (100, None), (101, "")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 AS block", "'x' AS piece").repartition(3)
-    assert result(ta.align(df, A, B, block_chars=block_chars).documents) == plain(docs)
+    assert result(ta.align(df, A, B, block_chars=block_chars, held=held).documents) == plain(docs)
 
 
 def test_small_table_against_whole_texts(spark, plain, small):
@@ -103,13 +105,25 @@ def test_odd_rows_and_no_rows(spark, plain, odd, none):
     assert result(ta.align(empty, A, B).documents) == plain([(1, None), (2, "")])
 
 
-def test_pieces_joined_are_the_text():
-    for t in ODD:
-        parts = ta.pieces_of(t)
-        assert "".join(parts) == " " + t and all(parts)
-    assert ta.pieces_of("one two\nthree  four") == [" one", " two\nthree  four"]
+def test_pieces_are_cut_at_all_places_and_no_other():
+    rng = random.Random(3)
+    for t in [*ODD, *("".join(rng.choices(" \n\tabÉß.,!'1日\u3000\x1c▁", k=rng.randint(1, 30))) for _ in range(3000))]:
+        assert ta.pieces_of(t) == re.split(ta._CUT, " " + t)
+    assert ta.pieces_of("one two.\nthree  four") == [" one", " two", ".\n", "three", "  four"]
+
+
+def test_random_texts_by_pieces_and_whole(plain):
+    """Both tokenisers part where texts are parted."""
+    rng = random.Random(4)
+    a, b = ta.byte_level(A), ta.sentence_pieces(B)
+    words = ["the", "The", " ", "  ", "\n", "\n\n", ".", "...", ",", "don't", "'s", "'", "I'll", "12", "a1", "été", "Straße", "日本", "\t", "?!", "$$", "%", "é", "\u3000", "x_y", "-", "fi", "<s>", "<0x0A>"]
+    for _ in range(3000):
+        t = "".join(rng.choices(words, k=rng.randint(1, 12)))
+        for side in (a, b):
+            assert [i for x in side.encode(ta.pieces_of(t)) for i in x] == side.encode([" " + t])[0], t
 
 
 def test_texts_part_at_spaces():
     assert ta.separable(ta.sentence_pieces(B))
-    assert not ta.separable(ta.Tokenizer(list, [b" a", b"a b"]))
+    for t in (b"a b", b"a.", b"x\ny", b"\xc3\xa9,"):
+        assert not ta.separable(ta.Tokenizer(list, [b" a", t]))
