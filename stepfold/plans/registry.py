@@ -27,4 +27,4 @@ def r9(x: Column | str) -> Column:
     return F.round(F.col(x) if isinstance(x, str) else x, 9)
 
 
-from . import contracts, delivery, legacy, measures, objects, poses, scores, steps, texts, verdicts  # noqa: E402, F401
+from . import contracts, delivery, legacy, measures, objects, poses, scores, steps, texts, verdicts, views  # noqa: E402, F401
