@@ -67,11 +67,17 @@ def center_inside(a: Column, b: Column) -> Column:
     return center_x(a).between(b["x1"], b["x2"]) & center_y(a).between(b["y1"], b["y2"])
 
 
-def expanded_contains(g: Column, a: Column, ratio: float, margin: float) -> Column:
-    """Whether the centre of ``a`` lies in ``g`` widened by a ratio of its sides, by ``margin`` at least."""
+def expanded(g: Column, ratio: float, margin: float) -> Column:
+    """``g`` widened on each side by a ratio of that side's length, by ``margin`` at least."""
     mx = F.greatest(F.lit(margin), F.greatest(F.lit(1.0), g["x2"] - g["x1"]) * ratio)
     my = F.greatest(F.lit(margin), F.greatest(F.lit(1.0), g["y2"] - g["y1"]) * ratio)
-    return center_x(a).between(g["x1"] - mx, g["x2"] + mx) & center_y(a).between(g["y1"] - my, g["y2"] + my)
+    return box(g["x1"] - mx, g["y1"] - my, g["x2"] + mx, g["y2"] + my)
+
+
+def expanded_contains(g: Column, a: Column, ratio: float, margin: float) -> Column:
+    """Whether the centre of ``a`` lies in ``g`` widened by a ratio of its sides, by ``margin`` at least."""
+    wide = expanded(g, ratio, margin)
+    return center_x(a).between(wide["x1"], wide["x2"]) & center_y(a).between(wide["y1"], wide["y2"])
 
 
 def to_center_size(b: Column, height: float, width: float) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import boxes, labels
 from ..functions.scores import available_composite
 from ..operators import match, pairs
+from ..operators.grid import hull, meeting
 from .fixtures import HEIGHT, OBJECTS_SQL, SIGNALS_SQL, WIDTH, iou_sql, objects, signals
 from .registry import query, r9
 
@@ -49,12 +50,15 @@ NEAR_SQL = f"""{CANON.format('g.label')} = {CANON.format('p.label')} AND ({iou_s
 @query("q39_neighbourhood_filter", f"{W}, {CROSS_SQL} SELECT DISTINCT step_id, p.idx AS idx, p.label AS label FROM x WHERE {NEAR_SQL}")
 def neighbourhood_filter(spark, d):
     o = objects(spark, d)
-    g = o.select("step_id", F.col("gt").alias("g"), F.col("label").alias("gl"))
+    gt, reach = F.col("gt"), 0.12 * (HEIGHT**2 + WIDTH**2) ** 0.5
+    wide = boxes.expanded(gt, 0.5, 0.02 * WIDTH)
+    x, y = boxes.center_x(gt), boxes.center_y(gt)
+    g = o.select("step_id", F.col("label").alias("gl"), F.col("gt").alias("g"), hull(gt, wide, boxes.box(x - reach, y - reach, x + reach, y + reach)).alias("at"))
+    p = o.select("step_id", "idx", "label", "pred", hull(F.col("pred"), F.col("pred")).alias("at"))
+    met = meeting(g, p, ["step_id"], "at", "at", cell=256.0).select("l.g", "l.gl", "r.*")
     gb, pb = F.col("g"), F.col("pred")
     near = (boxes.iou(gb, pb) > 0) | boxes.expanded_contains(gb, pb, 0.5, 0.02 * WIDTH) | (boxes.center_distance(gb, pb, HEIGHT, WIDTH) <= 0.12)
-    g = g.withColumnRenamed("step_id", "gs")
-    on = (F.col("step_id") == F.col("gs")) & labels.compatible(F.col("gl"), F.col("label")) & near
-    return o.select("step_id", "idx", "label", "pred").join(g, on, "left_semi").select("step_id", "idx", "label")
+    return met.filter(labels.compatible(F.col("gl"), F.col("label")) & near).select("step_id", "idx", "label").distinct()
 
 
 QUALITY_SQL = """q AS (SELECT step_id, idx, label, greatest(0.0::DOUBLE, least(639.0::DOUBLE, round_even(gx1, 0))) AS x1, greatest(0.0::DOUBLE, least(639.0::DOUBLE, round_even(gx2, 0))) AS x2,
@@ -161,7 +165,10 @@ def _candidates(spark, d, tau: float = 0.25):
     o = objects(spark, d)
     g = o.select("step_id", "label", F.col("idx").alias("gt_idx"), "gt", F.col("feature").alias("gf"))
     p = o.select("step_id", "label", F.col("idx").alias("pred_idx"), "pred", F.col("feature").alias("pf"))
-    j = g.join(p, ["step_id", "label"]).withColumn("iou", boxes.iou_eps(F.col("gt"), F.col("pred"))).filter(F.col("iou") >= tau)
+    g, p = g.withColumn("at", hull(F.col("gt"), F.col("gt"))), p.withColumn("at", hull(F.col("pred"), F.col("pred")))
+    # boxes that overlap at all touch, so the grid misses none
+    j = meeting(g, p, ["step_id", "label"], "at", "at").select("l.step_id", "l.gt_idx", "l.gt", "l.gf", "r.pred_idx", "r.pred", "r.pf")
+    j = j.withColumn("iou", boxes.iou_eps(F.col("gt"), F.col("pred"))).filter(F.col("iou") >= tau)
     dot = F.aggregate(F.zip_with("gf", "pf", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     return j.select("step_id", "gt_idx", "pred_idx", "iou", dot.alias("similarity"))
 
