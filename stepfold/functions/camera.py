@@ -50,33 +50,3 @@ def with_digest(df: DataFrame, column: str, name: str) -> DataFrame:
         return part.map(lambda v: None if v is None else digest(np.asarray(v, float).tolist()))
 
     return df.withColumn(name, run(F.col(column)))
-
-
-def ground_alignment(poses: np.ndarray) -> np.ndarray:
-    """Poses turned so that the plane their positions spread over is level and upwards is +z.
-
-    The principal axes of the positions make the new frame; its z axis points
-    against the mean of the cameras' y (down) axes.
-    """
-    c = poses[:, :3, 3]
-    mid = c.mean(axis=0)
-    _, _, vt = np.linalg.svd(c - mid)
-    if vt[2] @ poses[:, :3, 1].mean(axis=0) > 0:
-        vt[2] = -vt[2]
-    if np.linalg.det(vt) < 0:
-        vt[1] = -vt[1]
-    out = poses.copy()
-    out[:, :3, :3] = vt @ poses[:, :3, :3]
-    out[:, :3, 3] = (c - mid) @ vt.T
-    return out
-
-
-def align_scenes(frames: DataFrame) -> DataFrame:
-    """(scene_id, frame, pose) with poses (array of 16) aligned scene by scene."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame", kind="stable")
-        out = ground_alignment(np.array(pdf["pose"].tolist(), float).reshape(-1, 4, 4))
-        return pdf.assign(pose=list(out.reshape(len(pdf), 16)))
-
-    return frames.select("scene_id", "frame", "pose").groupBy("scene_id").applyInPandas(run, "scene_id string, frame int, pose array<double>")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import pose
-from ..operators import fold
+from ..operators import fold, ground
 from .fixtures import POSES_SQL, poses, table
 from .registry import query, r9
 
@@ -119,3 +119,33 @@ def matrix_validity(spark, d):
     scaled = [x * F.when(F.col("vec_id") % 11 == 0, 2.0).otherwise(1.0) for x in r]
     ok = F.abs(pose.determinant(scaled) - 1) < 1e-6
     return poses(spark, d).select("vec_id", ok.alias("valid"), *(F.round(v, 7).alias(f"inv_{n}") for v, n in zip(inv, "xyz", strict=True)))
+
+
+GROUND_SQL = f"""{W}, g AS (SELECT step_id, c0, c1, c2, r1, r4, r7 FROM rot),
+    s AS (SELECT step_id, count(*) AS n, avg(r1) AS d0, avg(r4) AS d1, avg(r7) AS d2, var_pop(c0) AS a, covar_pop(c0, c1) AS b, covar_pop(c0, c2) AS c, var_pop(c1) AS d, covar_pop(c1, c2) AS e, var_pop(c2) AS f FROM g GROUP BY 1),
+    m AS (SELECT *, (a + d + f) / 3 AS q, sqrt(((a - (a + d + f) / 3) ** 2 + (d - (a + d + f) / 3) ** 2 + (f - (a + d + f) / 3) ** 2 + 2 * (b * b + c * c + e * e)) / 6) AS p FROM s),
+    h AS (SELECT *, acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (((a - q) * ((d - q) * (f - q) - e * e) - b * (b * (f - q) - e * c) + c * (b * e - (d - q) * c)) / nullif(p ** 3, 0)) / 2))) / 3 AS phi FROM m)
+    SELECT step_id, n, round(q + 2 * p * cos(phi), 6) AS spread1, round(q + 2 * p * cos(phi + 4 * pi() / 3), 6) AS spread2, round(q + 2 * p * cos(phi + 2 * pi() / 3), 6) AS spread3,
+      0.0::DOUBLE AS mixed, 0.0::DOUBLE AS centre, 1.0::DOUBLE AS handed, true AS level FROM h"""
+
+
+@query("q127_ground_alignment", GROUND_SQL)
+def ground_alignment(spark, d):
+    """Of each step's aligned cameras: variances along the axes (the covariance's eigenvalues), no covariance, centred, right-handed, upright."""
+    p = poses(spark, d)
+    r, zero, one = pose.yaw_pitch(F.col("yaw"), F.col("pitch")), F.lit(0.0), F.lit(1.0)
+    c = [F.col(f"c{k}") for k in range(3)]
+    frames = p.select("step_id", F.array(*r[:3], c[0], *r[3:6], c[1], *r[6:], c[2], zero, zero, zero, one).alias("pose"))
+    v = ground.aligned(frames, "step_id").select("step_id", *(F.col("pose")[k].alias(f"p{k}") for k in range(12)))
+    x, y, z = F.col("p3"), F.col("p7"), F.col("p11")
+    turn = [F.col(f"p{k}") for k in (0, 1, 2, 4, 5, 6, 8, 9, 10)]
+    off = F.greatest(*(F.abs(F.covar_pop(a, b)) for a, b in ((x, y), (x, z), (y, z))))
+    mid = F.greatest(*(F.abs(F.avg(a)) for a in (x, y, z)))
+    return v.withColumn("det", pose.determinant(turn)).groupBy("step_id").agg(
+        F.count("*").alias("n"),
+        *(F.round(F.var_pop(a), 6).alias(f"spread{k}") for k, a in enumerate((x, y, z), 1)),
+        F.round(off, 6).alias("mixed"),
+        F.round(mid, 6).alias("centre"),
+        F.round(F.avg("det"), 6).alias("handed"),
+        (F.avg("p9") <= 1e-9).alias("level"),
+    )

@@ -52,17 +52,45 @@ def test_intrinsics(spark):
 
 
 def test_ground_alignment(spark):
-    rng = np.random.default_rng(0)
-    q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
-    q *= np.sign(np.linalg.det(q))
-    flat = np.c_[rng.normal(size=(30, 2)) * 5, rng.normal(size=30) * 0.01]
-    poses = np.tile(np.eye(4), (30, 1, 1))
-    poses[:, :3, :3] = q @ np.array([[1.0, 0, 0], [0, 0, 1], [0, -1, 0]])
-    poses[:, :3, 3] = flat @ q.T
-    out = camera.ground_alignment(poses)
-    assert np.abs(out[:, 2, 3]).max() < 0.1 and (out[:, 2, 1] < -0.99).all()
-    df = spark.createDataFrame([("s", i, p.ravel().tolist()) for i, p in enumerate(poses)], "scene_id string, frame int, pose array<double>")
-    assert np.allclose(np.array([r["pose"] for r in camera.align_scenes(df).orderBy("frame").collect()]).reshape(-1, 4, 4), out)
+    from pyspark.sql import functions as F
+
+    from stepfold.operators import ground
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for scene in range(12):
+        turn = np.linalg.qr(rng.normal(size=(3, 3)))[0]
+        where = rng.normal(size=(40, 3)) * [5, 3, 0.2] @ turn.T + rng.normal(size=3) * 1000
+        for k in range(40):
+            p = np.eye(4)
+            p[:3, :3], p[:3, 3] = np.linalg.qr(rng.normal(size=(3, 3)))[0], where[k]
+            p[:3, 1] = -turn[:, 2] + 0.1 * rng.normal(size=3)
+            rows.append((f"s{scene}", k, p.ravel().tolist()))
+    rows += [("one", 0, np.eye(4).ravel().tolist()), ("one", 1, None), (None, 0, np.eye(4).ravel().tolist()), ("none", 0, None)]
+    df = spark.createDataFrame(rows, "scene_id string, frame int, pose array<double>").repartition(3)
+    found = {r["scene_id"]: r for r in ground.alignments(df).collect()}
+    got = {(r["scene_id"], r["frame"]): r["pose"] for r in ground.aligned(df).collect()}
+    assert len(got) == len(rows) and got["one", 1] is None and got["none", 0] is None and set(found) == {f"s{k}" for k in range(12)} | {"one", None}
+    for scene in (f"s{k}" for k in range(12)):
+        poses = np.array([p for s, _, p in rows if s == scene]).reshape(-1, 4, 4)
+        c = poses[:, :3, 3]
+        u = np.array(found[scene]["rows"])
+        assert np.allclose(u @ u.T, np.eye(3), atol=1e-12) and np.linalg.det(u) > 0
+        values = np.linalg.eigvalsh(np.cov(c.T, bias=True))[::-1]
+        assert np.allclose(found[scene]["spread"], values, rtol=1e-9)
+        _, _, vt = np.linalg.svd(c - c.mean(axis=0))
+        assert np.allclose(np.abs((u * vt).sum(axis=1)), 1, atol=1e-9)
+        assert u[2] @ poses[:, :3, 1].mean(axis=0) < 0 and u[0][np.abs(u[0]).argmax()] > 0
+        want = poses.copy()
+        want[:, :3, :3], want[:, :3, 3] = u @ poses[:, :3, :3], (c - c.mean(axis=0)) @ u.T
+        out = np.array([got[scene, k] for k in range(40)]).reshape(-1, 4, 4)
+        assert np.allclose(out, want, atol=1e-8) and np.allclose(out[:, :3, 3].mean(axis=0), 0, atol=1e-9)
+    # a diagonal matrix, equal values and zeros are axes as they stand
+    for shape in ([3.0, 0.0, 0.0, 2.0, 0.0, 1.0], [1.0, 0.0, 0.0, 1.0, 0.0, 1.0], [0.0] * 6, [2.0, 1.0, 1.0, 2.0, 1.0, 2.0]):
+        r = spark.range(1).select(ground.principal_axes([F.lit(x) for x in shape]).alias("x")).first()["x"]
+        u = np.array([x["axis"] for x in r])
+        m = np.array([[shape[0], shape[1], shape[2]], [shape[1], shape[3], shape[4]], [shape[2], shape[4], shape[5]]])
+        assert np.allclose(u @ u.T, np.eye(3), atol=1e-12) and np.allclose(m @ u.T, u.T * [x["value"] for x in r], atol=1e-12)
 
 
 def test_image_signals():
