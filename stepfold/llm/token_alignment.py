@@ -128,11 +128,11 @@ def blocks(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         def flush(id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
             schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(id_type)), ("sizes", pa.binary()), ("codes", pa.binary()), ("code", pa.int32()), ("piece", pa.string()), ("n", pa.int64())])
-            codes = np.concatenate(coded) if coded else np.empty(0, np.int64)
+            n, names = np.bincount(np.concatenate(coded), minlength=len(number)), list(number)
             sizes = np.array([len(c) for c in coded], np.int64)
-            first = [[block], [ids], [packed(sizes)[0].tobytes()], [packed(codes)[0].tobytes()], [None], [None], [None]]
+            codes = b"".join([packed(c.astype(np.int64))[0].tobytes() for c in coded])
+            first = [[block], [ids], [packed(sizes)[0].tobytes()], [codes], [None], [None], [None]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(first, schema, strict=True)], schema=schema)
-            n, names = np.bincount(codes, minlength=len(number)), list(number)
             for lo in range(0, len(names), 1 << 16):
                 some = names[lo : lo + (1 << 16)]
                 none = [pa.nulls(len(some), schema.field(c).type) for c in ("ids", "sizes", "codes")]
@@ -143,7 +143,7 @@ def blocks(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 text = t.as_py()
                 some = (pieces_of(text) if part else [" " + text]) if text else []
                 ids.append(i.as_py())
-                coded.append(np.array([number.setdefault(p, len(number)) for p in some], np.int64))
+                coded.append(np.array([number.setdefault(p, len(number)) for p in some], np.int32))
                 held += len(text)
                 if held >= block_chars:
                     yield from flush(batch.schema.field(0).type)
@@ -179,20 +179,20 @@ def encoded(pieces: DataFrame, a: Callable[[], Tokenizer], b: Callable[[], Token
 
 
 def _ends(dealt: DataFrame) -> DataFrame:
-    """piece_id, end, a_id, b_id: each place where a token ends, with the tokens that do.
+    """piece_id, n, end, a_ends, b_ends: each place where a token ends, with the ids that do.
 
     Both sides are exploded as one list.  The equi-join of their ends is a grouping by
     piece and end, which the partitioning by piece serves: nothing is shuffled.
     """
-    each = dealt.select("piece_id", "n_a", F.posexplode(F.arrays_zip(F.col("ids").alias("id"), F.col("lens").alias("len"))).alias("pos", "token"))
-    each = each.select("piece_id", (F.col("pos") >= F.col("n_a")).alias("second"), "pos", "token.id", "token.len")
+    each = dealt.select("piece_id", "n", "n_a", F.posexplode(F.arrays_zip(F.col("ids").alias("id"), F.col("lens").alias("len"))).alias("pos", "token"))
+    each = each.select("piece_id", "n", (F.col("pos") >= F.col("n_a")).alias("second"), "pos", "token.id", "token.len")
     so_far = Window.partitionBy("piece_id", "second").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     each = each.withColumn("end", F.sum("len").over(so_far))
-    return each.groupBy("piece_id", "end").agg(F.max(F.when(~F.col("second"), F.col("id"))).alias("a_ends"), F.max(F.when(F.col("second"), F.col("id"))).alias("b_ends"))
+    return each.groupBy("piece_id", "end").agg(F.max("n").alias("n"), F.max(F.when(~F.col("second"), F.col("id"))).alias("a_ends"), F.max(F.when(F.col("second"), F.col("id"))).alias("b_ends"))
 
 
 def overlaps(dealt: DataFrame) -> DataFrame:
-    """A row for each link: piece_id, end, in_group, a_id, b_id, a_ends, b_ends (the ids of tokens that end here).
+    """A row for each link: piece_id, n, end, in_group, a_id, b_id, a_ends, b_ends (the ids of tokens that end here).
 
     From the last end backwards a running count of cuts numbers the groups (downwards from
     -1), and the last id seen of each side is the token that covers what lies before the end.
@@ -201,6 +201,7 @@ def overlaps(dealt: DataFrame) -> DataFrame:
     is_cut = F.col("a_ends").isNotNull() & F.col("b_ends").isNotNull()
     return _ends(dealt).select(
         "piece_id",
+        "n",
         "end",
         (-F.sum(is_cut.cast("int")).over(back)).alias("in_group"),
         F.last("a_ends", ignorenulls=True).over(back).alias("a_id"),
@@ -222,22 +223,22 @@ def _text_of(groups: Column) -> Column:
 
 
 def aligned(pieces: DataFrame) -> DataFrame:
-    """piece_id, places, n, links (array of a_id, b_id), n_a, n_b, n_groups, text of each piece that both sides write as it is."""
-    dealt = pieces.filter("ok").select("piece_id", "n_a", "ids", "lens").repartition("piece_id")
+    """piece_id, n, links (array of a_id, b_id), n_a, n_b, n_groups, text of each piece that both sides write as it is."""
+    dealt = pieces.filter("ok").select("piece_id", "n", "n_a", "ids", "lens").repartition("piece_id")
 
     def tokens(side: str, number: int) -> Column:
         ends = F.col(f"{side}_ends")
         return F.collect_list(F.when(ends.isNotNull(), F.struct("in_group", F.lit(number).alias("side"), "end", ends.alias("id"))))
 
     each = overlaps(dealt).groupBy("piece_id").agg(
+        F.max("n").alias("n"),
         F.collect_list(F.struct("a_id", "b_id")).alias("links"),
         F.count("a_ends").alias("n_a"),
         F.count("b_ends").alias("n_b"),
         (-F.min("in_group")).alias("n_groups"),
         F.array_sort(F.concat(tokens("a", 0), tokens("b", 1))).alias("groups"),
     )
-    each = each.withColumn("text", _text_of(F.col("groups"))).drop("groups")
-    return each.join(pieces.select("piece_id", "places", "n"), "piece_id")
+    return each.withColumn("text", _text_of(F.col("groups"))).drop("groups")
 
 
 def pair_counts(found: DataFrame) -> DataFrame:
@@ -246,7 +247,7 @@ def pair_counts(found: DataFrame) -> DataFrame:
     return pairs.withColumn("is_best", F.col("count") == F.max("count").over(Window.partitionBy("b_id")))
 
 
-def counted(found: DataFrame, pairs: DataFrame, held: int = 1 << 20) -> DataFrame:
+def counted(pieces: DataFrame, found: DataFrame, pairs: DataFrame, held: int = 1 << 20) -> DataFrame:
     """For each piece: places, NUMBERS, text.
 
     Up to ``held`` pairs (16 bytes each) go to every task, more are met by key, the hot ones salted.
@@ -258,7 +259,7 @@ def counted(found: DataFrame, pairs: DataFrame, held: int = 1 << 20) -> DataFram
     else:
         each = lookup(each, pairs, ["a_id", "b_id"], "rows", max(total or 1, 1), ["piece_id"])
     sums = each.groupBy("piece_id").agg(F.count("*").alias("n_links"), F.count_if("is_best").alias("n_best"), F.sum("count").alias("count_sum"))
-    return found.drop("links", "n").join(sums, "piece_id").drop("piece_id")
+    return found.drop("links", "n").join(sums, "piece_id").join(pieces.select("piece_id", "places"), "piece_id").drop("piece_id")
 
 
 def _part(block: Column) -> Column:
@@ -349,4 +350,4 @@ def align(documents: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id"
         pieces = kept(left.withColumn("n", F.col("n") - F.coalesce("lost", F.lit(0))).select(*pieces.columns))
     found = kept(aligned(pieces))
     pairs = kept(pair_counts(found))
-    return Alignment(_together(coded, counted(found, pairs, held)), pieces, found, pairs)
+    return Alignment(_together(coded, counted(pieces, found, pairs, held)), pieces, found, pairs)
