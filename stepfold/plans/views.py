@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import visibility
+from ..operators import pictures, visibility
 from .fixtures import table, vectors
-from .registry import query
+from .registry import query, r9
 
 SIDE, FOCAL = 8, 8.0
 
@@ -97,3 +97,97 @@ def visible_objects(spark, d):
     objects = objects.select(F.floor(F.col("vec_id") / 4).alias("id"), F.col("vec_id").alias("object_id"), (F.col("i") % SIDE).alias("x"), F.floor(F.col("i") / SIDE).cast("int").alias("y"))
     share = visibility.visible_share(objects, visibility.support(_views(spark, d), "target", 1))
     return share.select(F.col("id").alias("step"), "object_id", "area", F.round("share", 9).alias("share"), (F.col("share") >= 0.25).alias("visible"))
+
+
+#: Gray images of whole numbers, and each with its successor's.
+IMAGE_SQL = """
+v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+pix AS (SELECT id, i % 8 AS x, i // 8 AS y, greatest(0.0::DOUBLE, least(255.0::DOUBLE, floor(128 + 500 * e[i + 1]))) AS v,
+        greatest(0.0::DOUBLE, least(255.0::DOUBLE, floor(128 + 500 * e[(i + 21) % 64 + 1]))) AS g, greatest(0.0::DOUBLE, least(255.0::DOUBLE, floor(128 + 500 * e[(i + 42) % 64 + 1]))) AS b
+        FROM v, (SELECT unnest(range(64)) AS i)),
+two AS (SELECT p.id, x, y, p.v AS a, q.v AS b FROM pix p JOIN (SELECT id - 1 AS id, x, y, v FROM pix) q USING (id, x, y))"""
+
+
+def _pixels(spark, d):
+    """id, x, y, v, g, b of each embedding as an image of three planes."""
+    each = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("e")).select("id", "e", F.posexplode("e").alias("i", "v"))
+
+    def level(v):
+        return F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.floor(128 + 500 * v).cast("double")))
+
+    return each.select(
+        "id",
+        (F.col("i") % SIDE).alias("x"),
+        F.floor(F.col("i") / SIDE).cast("int").alias("y"),
+        level(F.col("v")).alias("v"),
+        *(level(F.get("e", (F.col("i") + k) % 64)).alias(n) for n, k in (("g", 21), ("b", 42))),
+    )
+
+
+def _before(pixels):
+    """Images under the number of the one before."""
+    return pixels.withColumn("id", F.col("id") - 1)
+
+
+@query(
+    "q128_structural_similarity",
+    f"""WITH {IMAGE_SQL}, k AS (SELECT t, CASE WHEN t + o < 0 THEN -(t + o) WHEN t + o > 7 THEN 14 - (t + o) ELSE t + o END AS s, exp(-o * o / 4.5::DOUBLE) AS w FROM (SELECT unnest(range(8)) AS t), (SELECT unnest(range(-3, 4)) AS o)),
+    w AS (SELECT t, s, sum(w) / (SELECT sum(exp(-o * o / 4.5::DOUBLE)) FROM (SELECT unnest(range(-3, 4)) AS o)) AS w FROM k GROUP BY ALL),
+    m AS (SELECT id, wx.t AS x, wy.t AS y, sum(a * wx.w * wy.w) AS a, sum(b * wx.w * wy.w) AS b, sum(a * a * wx.w * wy.w) AS aa, sum(b * b * wx.w * wy.w) AS bb, sum(a * b * wx.w * wy.w) AS ab
+          FROM two JOIN w wx ON wx.s = x JOIN w wy ON wy.s = y GROUP BY ALL)
+    SELECT id AS vec_id, round(avg((2 * a * b + 6.5025::DOUBLE) * (2 * (ab - a * b) + 58.5225::DOUBLE) / ((a * a + b * b + 6.5025::DOUBLE) * (aa - a * a + bb - b * b + 58.5225::DOUBLE))), 6) AS ssim FROM m GROUP BY 1""",
+)
+def structural_similarity(spark, d):
+    p = _pixels(spark, d)
+    two = p.select("id", "x", "y", F.col("v").alias("a")).join(_before(p).select("id", "x", "y", F.col("v").alias("b")), ["id", "x", "y"])
+    return pictures.ssim(two, (SIDE, SIDE)).select(F.col("id").alias("vec_id"), F.round("ssim", 6).alias("ssim"))
+
+
+@query(
+    "q129_resampled_images",
+    f"""WITH {IMAGE_SQL}, area AS (SELECT t, s, (least((t + 1) * 8 / 3::DOUBLE, s + 1) - greatest(t * 8 / 3::DOUBLE, s)) / (8 / 3::DOUBLE) AS w FROM (SELECT unnest(range(3)) AS t), (SELECT unnest(range(8)) AS s)),
+    a AS (SELECT id, wx.t AS x, wy.t AS y, sum(v * wx.w * wy.w) AS v FROM pix JOIN area wx ON wx.s = x AND wx.w > 0 JOIN area wy ON wy.s = y AND wy.w > 0 GROUP BY ALL),
+    line AS (SELECT t, (t + 0.5::DOUBLE) * 8 / 5 - 0.5::DOUBLE AS p FROM (SELECT unnest(range(5)) AS t)),
+    lin AS (SELECT t, least(7, greatest(0, floor(p)::INT + k)) AS s, sum(CASE k WHEN 0 THEN 1 - (p - floor(p)) ELSE p - floor(p) END) AS w FROM line, (SELECT unnest(range(2)) AS k) GROUP BY ALL),
+    b AS (SELECT id, wx.t AS x, wy.t AS y, sum(v * wx.w * wy.w) AS v FROM pix JOIN lin wx ON wx.s = x JOIN lin wy ON wy.s = y GROUP BY ALL)
+    SELECT 'area' AS kind, id AS vec_id, x, y, round(v, 6) AS value FROM a UNION ALL SELECT 'bilinear', id, x, y, round(v, 6) FROM b""",
+)
+def resampled_images(spark, d):
+    p = _pixels(spark, d).select("id", "x", "y", F.col("v").alias("value"))
+
+    def small(kind, n):
+        return pictures.resized(p, (SIDE, SIDE), (n, n), kind).select(F.lit(kind).alias("kind"), F.col("id").alias("vec_id"), F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"), F.round("value", 6).alias("value"))
+
+    return small("area", 3).union(small("bilinear", 5))
+
+
+@query(
+    "q130_colour_similarity",
+    f"""WITH {IMAGE_SQL}, c AS (SELECT id, v AS r, g, b, greatest(v, g, b) AS hi, greatest(v, g, b) - least(v, g, b) AS d FROM pix),
+    t AS (SELECT *, CASE WHEN d = 0 THEN 0.0::DOUBLE WHEN hi = r THEN CASE WHEN g < b THEN ((g - b) / d) % 6 + 6 ELSE (g - b) / d % 6 END WHEN hi = g THEN (b - r) / d + 2 ELSE (r - g) / d + 4 END / 6 AS hue, CASE WHEN hi > 0 THEN d / hi ELSE 0.0::DOUBLE END AS sat FROM c),
+    h AS (SELECT id, (least(floor((hue % 1) * 30), 29) * 32 + least(floor(sat / 1.0000001::DOUBLE * 32), 31))::INT AS bin, count(*)::DOUBLE AS n FROM t GROUP BY ALL),
+    j AS (SELECT id, coalesce(p.n, 0) AS p, coalesce(q.n, 0) AS q FROM h p FULL JOIN (SELECT id - 1 AS id, bin, n FROM h) q USING (id, bin)),
+    s AS (SELECT id, sum(p * p) - sum(p) ** 2 / 960 AS vp, sum(q * q) - sum(q) ** 2 / 960 AS vq, sum(p * q) - sum(p) * sum(q) / 960 AS cov FROM j GROUP BY 1)
+    SELECT id AS vec_id, round(CASE WHEN vp * vq > 0 THEN (cov / sqrt(vp * vq) + 1) / 2 ELSE 1.0::DOUBLE END, 9) AS similarity FROM s""",
+)
+def colour_similarity(spark, d):
+    bins = pictures.hue_bins(_pixels(spark, d).withColumnRenamed("v", "r"))
+    return pictures.colour_similarity(bins, _before(bins)).select(F.col("id").alias("vec_id"), r9("similarity").alias("similarity"))
+
+
+@query(
+    "q131_shape_similarity",
+    f"""WITH {IMAGE_SQL}, m AS (SELECT id, x::HUGEINT AS x, y::HUGEINT AS y FROM pix WHERE v > 150),
+    s AS (SELECT id, count(*)::HUGEINT AS n, sum(x)::HUGEINT AS x, sum(y)::HUGEINT AS y, sum(x * x)::HUGEINT AS xx, sum(x * y)::HUGEINT AS xy, sum(y * y)::HUGEINT AS yy, sum(x * x * x)::HUGEINT AS xxx, sum(x * x * y)::HUGEINT AS xxy, sum(x * y * y)::HUGEINT AS xyy, sum(y * y * y)::HUGEINT AS yyy FROM m GROUP BY 1),
+    c AS (SELECT id, n::DOUBLE AS n, (n * xx - x * x)::DOUBLE / n::DOUBLE ** 3 AS n20, (n * xy - x * y)::DOUBLE / n::DOUBLE ** 3 AS n11, (n * yy - y * y)::DOUBLE / n::DOUBLE ** 3 AS n02,
+      (n * n * xxx - 3 * n * x * xx + 2 * x * x * x)::DOUBLE / n::DOUBLE ** 4.5 AS n30, (n * n * yyy - 3 * n * y * yy + 2 * y * y * y)::DOUBLE / n::DOUBLE ** 4.5 AS n03,
+      (n * n * xxy - 2 * n * x * xy - n * y * xx + 2 * x * x * y)::DOUBLE / n::DOUBLE ** 4.5 AS n21, (n * n * xyy - 2 * n * y * xy - n * x * yy + 2 * y * y * x)::DOUBLE / n::DOUBLE ** 4.5 AS n12 FROM s),
+    k AS (SELECT id, n, n30 + n12 AS a, n21 + n03 AS b, n30 - 3 * n12 AS c, 3 * n21 - n03 AS d, n20 + n02 AS s, n20 - n02 AS t, n11 AS u FROM c),
+    h AS (SELECT id, n, list_transform([s, t * t + 4 * u * u, c * c + d * d, a * a + b * b, c * a * (a * a - 3 * b * b) + d * b * (3 * a * a - b * b), t * (a * a - b * b) + 4 * u * a * b, d * a * (a * a - 3 * b * b) - c * b * (3 * a * a - b * b)], lambda z: -sign(z) * log10(abs(z) + 1e-12)) AS hu FROM k),
+    o AS (SELECT id, count(*) AS shared FROM m JOIN (SELECT id - 1 AS id, x, y FROM m) USING (id, x, y) GROUP BY 1),
+    j AS (SELECT p.id, coalesce(shared, 0) / (p.n + q.n - coalesce(shared, 0)) AS iou, list_sum([abs(p.hu[i] - q.hu[i]) FOR i IN range(1, 8)]) / 7 AS off FROM h p JOIN (SELECT id - 1 AS id, n, hu FROM h) q ON q.id = p.id LEFT JOIN o ON o.id = p.id)
+    SELECT id AS vec_id, round(iou, 9) AS iou, round(0.6::DOUBLE * iou + 0.4::DOUBLE * exp(-off / 3), 6) AS similarity FROM j""",
+)
+def shape_similarity(spark, d):
+    m = _pixels(spark, d).filter("v > 150").select("id", "x", "y")
+    return pictures.shape_similarity(m, _before(m)).select(F.col("id").alias("vec_id"), r9("iou").alias("iou"), F.round("similarity", 6).alias("similarity"))
