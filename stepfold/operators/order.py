@@ -11,11 +11,11 @@ done; 64 bits take eight passes, usually fewer, as the common bits in front cost
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import present
+from ..lineage import cut
 
 _MANTISSA = 1 << 52
 
@@ -80,13 +80,10 @@ def _narrowed(keys: DataFrame, ranks: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _passes(keys: DataFrame, ranks: DataFrame, names: list[str]) -> DataFrame:
-    """Narrow until every interval is one key.  Only the ranks are kept between passes; what is lost is computed again."""
-    now = ranks.persist(StorageLevel.MEMORY_AND_DISK)
+    """Narrow until every interval is one key.  Only the ranks are written between passes."""
+    now = cut(ranks)
     while not now.filter("lo < hi").isEmpty():
-        new = _narrowed(keys, now, names).persist(StorageLevel.MEMORY_AND_DISK)
-        new.count()
-        now.unpersist()
-        now = new
+        now = cut(_narrowed(keys, now, names))
     return now
 
 

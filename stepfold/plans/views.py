@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import pictures, visibility
+from ..lineage import cut
+from ..operators import outlines, pictures, visibility
 from .fixtures import table, vectors
 from .registry import query, r9
 
@@ -191,3 +192,28 @@ def colour_similarity(spark, d):
 def shape_similarity(spark, d):
     m = _pixels(spark, d).filter("v > 150").select("id", "x", "y")
     return pictures.shape_similarity(m, _before(m)).select(F.col("id").alias("vec_id"), r9("iou").alias("iou"), F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    "q132_edge_overlap",
+    f"""WITH RECURSIVE {IMAGE_SQL}, off AS (SELECT dx, dy FROM (SELECT unnest(range(-1, 2)) AS dx), (SELECT unnest(range(-1, 2)) AS dy)),
+    g AS (SELECT p.id, p.x, p.y, sum(q.v * dx * (2 - abs(dy))) AS gx, sum(q.v * dy * (2 - abs(dx))) AS gy FROM pix p CROSS JOIN off JOIN pix q ON q.id = p.id AND q.x = least(7, greatest(0, p.x + dx)) AND q.y = least(7, greatest(0, p.y + dy)) GROUP BY ALL),
+    s AS (SELECT *, abs(gx) + abs(gy) AS n FROM g),
+    r AS (SELECT p.id, p.x, p.y, p.gx, p.gy, p.n, map_from_entries(list((dx * 10 + dy, q.n))) AS m FROM s p CROSS JOIN off JOIN s q ON q.id = p.id AND q.x = p.x + dx AND q.y = p.y + dy GROUP BY ALL),
+    t AS (SELECT *, coalesce(m[-10], 0) AS w, coalesce(m[10], 0) AS e, coalesce(m[-1], 0) AS u, coalesce(m[1], 0) AS d, coalesce(m[9], 0) AS ne, coalesce(m[-9], 0) AS sw, coalesce(m[-11], 0) AS nw, coalesce(m[11], 0) AS se FROM r),
+    weak AS (SELECT id, x, y, n FROM t WHERE n > 60 AND CASE WHEN abs(gy) < tan(pi() / 8) * abs(gx) THEN n > w AND n >= e WHEN abs(gy) > tan(3 * pi() / 8) * abs(gx) THEN n > u AND n >= d
+      WHEN (gx < 0) <> (gy < 0) THEN n > ne AND n > sw ELSE n > nw AND n > se END),
+    edge AS (SELECT id, x, y FROM weak WHERE n > 150 UNION SELECT w.id, w.x, w.y FROM edge f JOIN weak w ON w.id = f.id AND abs(w.x - f.x) <= 1 AND abs(w.y - f.y) <= 1),
+    next AS (SELECT id - 1 AS id, x, y FROM edge),
+    a AS (SELECT id, EXISTS (SELECT 1 FROM next q WHERE q.id = p.id AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1) AS hit FROM edge p),
+    b AS (SELECT id, EXISTS (SELECT 1 FROM edge q WHERE q.id = p.id AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1) AS hit FROM next p),
+    k AS (SELECT id, count(*) AS n, count(*) FILTER (hit) AS hits FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1)
+    SELECT v.id AS vec_id, coalesce(n, 0)::BIGINT AS n_edges, round(coalesce(hits / n::DOUBLE, 1.0::DOUBLE), 9) AS overlap FROM v LEFT JOIN k ON k.id = v.id""",
+)
+def edge_overlap(spark, d):
+    """Edges of each image and its successor, by components of runs, and how far they lie together."""
+    found = cut(outlines.edges(_pixels(spark, d).select("id", "x", "y", F.col("v").alias("value")), (SIDE, SIDE)))
+    ids, after = table(spark, d, "embeddings").select(F.col("vec_id").alias("id")), _before(found)
+    n = found.select("id").union(after.select("id")).groupBy("id").agg(F.count("*").alias("n"))
+    each = outlines.edge_overlap(ids, found, after, (SIDE, SIDE)).join(n, "id", "left")
+    return each.select(F.col("id").alias("vec_id"), F.coalesce("n", F.lit(0)).alias("n_edges"), r9("overlap").alias("overlap"))
