@@ -48,6 +48,8 @@ _CUT = rf"(?<=[{_LETTERS}])(?=[{_OTHERS}])|(?<=\S)(?= \S)|(?<=\S\n)(?=\S)"
 #: A Latin word up to what isn't one, or what stands up to the next cut.
 _PIECE = re.compile(rf" ?[{_LETTERS}]+(?=[{_OTHERS}]|\Z)|(?:[^{_LETTERS}\s]+\n?|[\s\S])(?:(?!{_CUT})[\s\S])*")
 NEAR_PARTS = 4096
+#: A block's number is its input partition's and so many bits for its place there; with 32 bits for the code it is one long.
+BLOCK_BITS = 11
 
 
 def pieces_of(text: str) -> list[str]:
@@ -124,7 +126,7 @@ def blocks(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, ids, coded, number, held = TaskContext.get().partitionId() << 32, [], [], {}, 0
+        block, ids, coded, number, held = TaskContext.get().partitionId() << BLOCK_BITS, [], [], {}, 0
 
         def flush(id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
             schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(id_type)), ("sizes", pa.binary()), ("codes", pa.binary()), ("code", pa.int32()), ("piece", pa.string()), ("n", pa.int64())])
@@ -148,6 +150,8 @@ def blocks(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if held >= block_chars:
                     yield from flush(batch.schema.field(0).type)
                     block, ids, coded, number, held = block + 1, [], [], {}, 0
+                    if not block % (1 << BLOCK_BITS):
+                        raise ValueError(f"an input partition has over {1 << BLOCK_BITS} blocks of {block_chars} characters")
         if ids:
             yield from flush(batch.schema.field(0).type)
 
@@ -248,7 +252,7 @@ def pair_counts(found: DataFrame) -> DataFrame:
 
 
 def counted(pieces: DataFrame, found: DataFrame, pairs: DataFrame, held: int = 1 << 20) -> DataFrame:
-    """For each piece: places, NUMBERS, text.
+    """For each piece: places, NUMBERS but n_links, text.
 
     Up to ``held`` pairs (16 bytes each) go to every task, more are met by key, the hot ones salted.
     """
@@ -258,12 +262,12 @@ def counted(pieces: DataFrame, found: DataFrame, pairs: DataFrame, held: int = 1
         each = each.join(F.broadcast(pairs.drop("rows")), ["a_id", "b_id"])
     else:
         each = lookup(each, pairs, ["a_id", "b_id"], "rows", max(total or 1, 1), ["piece_id"])
-    sums = each.groupBy("piece_id").agg(F.count("*").alias("n_links"), F.count_if("is_best").alias("n_best"), F.sum("count").alias("count_sum"))
+    sums = each.groupBy("piece_id").agg(F.count_if("is_best").alias("n_best"), F.sum("count").alias("count_sum"))
     return found.drop("links", "n").join(sums, "piece_id").join(pieces.select("piece_id", "places"), "piece_id").drop("piece_id")
 
 
 def _part(block: Column) -> Column:
-    return F.floor(block / float(NEAR_PARTS << 32)).cast("int")
+    return F.floor(block / float(NEAR_PARTS << BLOCK_BITS)).cast("int")
 
 
 def _lost(coded: DataFrame, bad: DataFrame) -> DataFrame:
@@ -296,7 +300,9 @@ NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 def _together(coded: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of the documents, from their codes and ``found`` (places, NUMBERS, text); a piece without a row there spoils its documents."""
     kind = coded.schema["ids"].dataType.elementType.simpleString()
-    words = found.select(F.inline("places"), *NUMBERS, "text")
+    sent = [c for c in NUMBERS if c != "n_links"]
+    words = found.select(F.explode("places").alias("place"), *sent, "text")
+    words = words.select(F.shiftright("place", 32).alias("block"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("code"), *sent, "text")
     docs = coded.filter(F.col("piece").isNull()).select(F.col("block").alias("of"), "ids", "sizes", "codes")
     id_type = coded.select(F.get("ids", F.lit(0)).alias("x")).limit(0).toArrow().schema.field(0).type
 
@@ -306,8 +312,10 @@ def _together(coded: DataFrame, found: DataFrame) -> DataFrame:
         size = 1 + max((int(c.max(initial=0)) for c in each), default=0)
         ok, value, text = np.zeros(size, bool), np.zeros((len(NUMBERS), size), np.int64), [""] * size
         ok[code] = True
-        for k, name in enumerate(NUMBERS):
-            value[k, code] = words.column(name).to_numpy() if many else 0
+        for name in sent:
+            value[NUMBERS.index(name), code] = words.column(name).to_numpy() if many else 0
+        # each end is a link's, and a cut ends a token on both sides
+        value[NUMBERS.index("n_links")] = sum(value[NUMBERS.index(n)] for n in ("n_a", "n_b")) - value[NUMBERS.index("n_groups")]
         for k, t in zip(code.tolist(), words.column("text").to_pylist(), strict=True):
             text[k] = t
         ids, rows, digests = [], [], []
@@ -341,7 +349,7 @@ def align(documents: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id"
     part = separable(sentence_pieces(b_path))
     coded = kept(blocks(documents, id_col, text_col, block_chars, part))
     words = coded.filter(F.col("piece").isNotNull()).withColumn("part", _part(F.col("block")))
-    distinct = words.groupBy("piece", "part").agg(F.sum("n").alias("n"), F.collect_list(F.struct("block", "code")).alias("places"))
+    distinct = words.groupBy("piece", "part").agg(F.sum("n").alias("n"), F.collect_list(F.shiftleft("block", 32) + F.col("code")).alias("places"))
     numbered = distinct.select(F.monotonically_increasing_id().alias("piece_id"), "piece", "part", "n", "places")
     pieces = kept(encoded(numbered, lambda: byte_level(a_path), lambda: sentence_pieces(b_path)))
     bad = pieces.filter(~F.col("ok"))
