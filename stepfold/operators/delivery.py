@@ -70,8 +70,9 @@ def substitute_paths(rows: DataFrame, assets: DataFrame, key: str, paths: str) -
     return rows.join(put, key, "left").withColumn(paths, F.coalesce(F.transform("_put", lambda x: x["path"]), F.col(paths))).drop("_put")
 
 
-def manifest_warning(recorded: DataFrame, digest: str, column: str = "manifest_sha256") -> DataFrame:
-    """(warning): rows that disagree on the manifest's digest, or agree on another than ``digest``."""
-    one = recorded.filter(F.length(column) > 0).agg(F.count_distinct(column).alias("n"), F.min(column).alias("only"))
+def manifest_warning(recorded: DataFrame, digest: str, column: str = "manifest_sha256", by: list[str] | None = None) -> DataFrame:
+    """(by..., warning): runs whose rows disagree on the manifest's digest, or agree on another than ``digest``; without ``by`` all rows are one run."""
+    by = by or []
+    one = recorded.filter(F.length(column) > 0).groupBy(*by).agg(F.count_distinct(column).alias("n"), F.min(column).alias("only"))
     text = F.when(F.col("n") > 1, F.concat(F.lit("rows disagree: "), F.col("n").cast("string"))).when((F.col("n") == 1) & (F.col("only") != digest), F.concat(F.lit("recorded as "), "only"))
-    return one.select(text.alias("warning")).filter("warning IS NOT NULL")
+    return one.select(*by, text.alias("warning")).filter("warning IS NOT NULL")

@@ -83,8 +83,8 @@ def substituted_paths(spark, d):
     return delivery.substitute_paths(rows, assets, "conv_id", "paths").select("conv_id", F.array_join("paths", ",").alias("paths"))
 
 
-@query("q115_manifest_warnings", """SELECT o_orderpriority AS grp, CASE WHEN count(DISTINCT o_orderstatus) > 1 THEN 'rows disagree: ' || count(DISTINCT o_orderstatus) WHEN min(o_orderstatus) <> 'F' THEN 'recorded as ' || min(o_orderstatus) END AS warning
-    FROM orders WHERE o_orderkey % 50 = 7 AND length(o_orderstatus) > 0 AND o_orderpriority = '1-URGENT' GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1 OR min(o_orderstatus) <> 'F'""")
+@query("q115_manifest_warnings", """SELECT o_custkey AS run, CASE WHEN count(DISTINCT o_orderstatus) > 1 THEN 'rows disagree: ' || count(DISTINCT o_orderstatus) ELSE 'recorded as ' || min(o_orderstatus) END AS warning
+    FROM orders WHERE length(o_orderstatus) > 0 GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1 OR min(o_orderstatus) <> 'F'""")
 def manifest_warnings(spark, d):
-    some = table(spark, d, "orders").filter("o_orderkey % 50 = 7 AND o_orderpriority = '1-URGENT'")
-    return delivery.manifest_warning(some, "F", "o_orderstatus").select(F.lit("1-URGENT").alias("grp"), "warning")
+    """A customer's orders as the rows of a run."""
+    return delivery.manifest_warning(table(spark, d, "orders"), "F", "o_orderstatus", ["o_custkey"]).withColumnRenamed("o_custkey", "run")
