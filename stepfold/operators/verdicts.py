@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes, labels
+from . import match
+from .grid import meeting
 
 #: Overlap a pair needs, and whether labels count by synonym group.
 POLICIES = {"strict": (0.35, False), "relaxed": (0.25, True)}
@@ -49,6 +51,61 @@ def policy_candidates(truth: DataFrame, found: DataFrame, policy: str) -> DataFr
     return pairs.withColumn("iou", boxes.iou_eps(F.col("a"), F.col("b"))).filter(F.col("iou") >= tau).select("step_id", "gt_idx", "pred_idx", "iou")
 
 
+#: The similarity and the centre distance that an assignment by appearance asks for.
+IDENTITY_FLOOR, CENTRE_REACH = 0.78, 0.35
+
+
+def appearance_candidates(truth: DataFrame, found: DataFrame, height: float, width: float, floor: float = IDENTITY_FLOOR, reach: float = CENTRE_REACH) -> DataFrame:
+    """(step_id, gt_idx, pred_idx, similarity, centre, iou, weight) of pairs that may be one object by appearance.
+
+    ``truth`` and ``found`` have step_id, an index, box and feature (array of doubles, null or
+    zero where none could be taken: such objects have no candidates).  Labels and overlap
+    play no part; only pairs within ``reach`` of each other (as a share of the diagonal) are looked at, through the
+    grid.  The weight is the similarity (cosine as 0 to 1) above the floor, a little over nothing at the floor itself.
+    """
+    far = reach * (height**2 + width**2) ** 0.5
+
+    def at(df: DataFrame, name: str, slack: float) -> DataFrame:
+        b = F.col("box")
+        x, y = boxes.center_x(b), boxes.center_y(b)
+        df = df.withColumn("at", boxes.box(x - slack, y - slack, x + slack, y + slack))
+        return df.select("step_id", name, "box", F.col("feature").cast("array<double>").alias("feature"), "at")
+
+    pair = meeting(at(truth, "gt_idx", far), at(found, "pred_idx", 0.0), ["step_id"], "at", "at", cell=far)
+    pair = pair.select("l.step_id", "l.gt_idx", "r.pred_idx", F.col("l.box").alias("a"), F.col("r.box").alias("b"), F.col("l.feature").alias("u"), F.col("r.feature").alias("v"))
+
+    def dot(x: str, y: str) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+
+    size = F.sqrt(dot("u", "u") * dot("v", "v"))
+    # greatest and least pass over nulls, so a size that is null or zero is told first
+    similarity = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (dot("u", "v") / F.when(size > 0, size) + 1) / 2)))
+    pair = pair.withColumns({"similarity": similarity, "centre": boxes.center_distance(F.col("a"), F.col("b"), height, width), "iou": boxes.iou(F.col("a"), F.col("b"))})
+    good = pair.filter((F.col("centre") <= reach) & (F.col("similarity") >= floor))
+    return good.select("step_id", "gt_idx", "pred_idx", "similarity", "centre", "iou", (F.col("similarity") - floor + 1e-12).alias("weight"))
+
+
+def match_by(policy: str, truth: DataFrame, found: DataFrame, height: float = 0, width: float = 0, proposals: DataFrame | None = None, **options) -> DataFrame:
+    """(step_id, gt_idx, pred_idx, score) of the pairs that a policy matches.
+
+    ``strict`` and ``relaxed`` take pairs of a label greedily by overlap; ``assignment`` pairs by appearance
+    for the greatest total, with dummies for what stays alone; ``verdict`` takes recorded
+    ``proposals`` (see ``match.gated_match``) and falls back to ``strict`` where there are none at all.
+    """
+    if policy == "verdict" and proposals is None:
+        policy = "strict"
+    if policy in POLICIES:
+        some = policy_candidates(truth, found, policy).withColumn("similarity", F.lit(0.0))
+        return match.greedy_match(some).select("step_id", "gt_idx", "pred_idx", F.col("iou").alias("score"))
+    if policy == "assignment":
+        some = appearance_candidates(truth, found, height, width, **options)
+        chosen = match.optimal_match(some.select("step_id", "gt_idx", "pred_idx", "weight")).drop("weight")
+        return chosen.join(some, ["step_id", "gt_idx", "pred_idx"]).select("step_id", "gt_idx", "pred_idx", F.col("similarity").alias("score"))
+    if policy == "verdict":
+        return match.gated_match(proposals, **options).filter("status = 'match'").select("step_id", "gt_idx", "pred_idx", F.col("confidence").alias("score"))
+    raise ValueError(f"unknown match policy: {policy}")
+
+
 def _nearest(missing: DataFrame, found: DataFrame, height: float, width: float, name: str) -> DataFrame:
     """The detection of a step that lies best for each missing object: iou, centre (three decimals), label, label_ok."""
     b = found.select(F.col("step_id").alias("s"), "pred_idx", F.col("box").alias("b"), F.col("label").alias("l"))

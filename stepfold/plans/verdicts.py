@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import boxes
+from ..functions import boxes, labels
 from ..operators import match, verdicts
 from .fixtures import HEIGHT, OBJECTS_SQL, WIDTH, iou_sql, objects
-from .objects import CANON, CROSS_SQL, DIAG, W
+from .objects import CANON, CROSS_SQL, DIAG, W, _assignment_sql
 from .registry import query, r9
 
 R = f"WITH RECURSIVE {OBJECTS_SQL}"
@@ -76,6 +77,52 @@ def match_policies(spark, d):
     return out
 
 
+COSINE_SQL = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, (list_cosine_similarity(g.feature, list_concat(p.feature[2:], p.feature[1:1])) + 1) / 2))"
+CENTRE_SQL = f"sqrt((g.gcx - p.pcx) * (g.gcx - p.pcx) + (g.gcy - p.pcy) * (g.gcy - p.pcy)) / {DIAG}"
+
+
+def _with_feature(spark, d, other: bool):
+    """Objects with features; those of detections are moved on by one place, so that no two pairs are equally alike."""
+    feature = F.concat(F.slice("feature", 2, 31), F.slice("feature", 1, 1)) if other else F.col("feature")
+    return objects(spark, d).select("step_id", F.col("idx").alias("pred_idx" if other else "gt_idx"), F.col("pred" if other else "gt").alias("box"), feature.alias("feature"))
+
+
+@query(
+    "q133_appearance_assignment",
+    f"""{W}, {CROSS_SQL}, cand AS (SELECT step_id, g.idx AS gt_idx, p.idx AS pred_idx, {COSINE_SQL} AS sim, {COSINE_SQL} - 0.52::DOUBLE + 1e-12::DOUBLE AS weight FROM x WHERE {COSINE_SQL} >= 0.52 AND {CENTRE_SQL} <= 0.1 AND g.idx <> p.idx),
+    {_assignment_sql()}, best AS (SELECT step_id, unnest(arg_max(path, total)) AS x FROM f10 GROUP BY 1)
+    SELECT step_id, x.gt_idx AS gt_idx, x.pred_idx AS pred_idx, round(c.sim, 9) AS similarity, row_number() OVER (PARTITION BY step_id ORDER BY c.sim DESC, c.gt_idx, c.pred_idx)::INT AS rank
+    FROM best b JOIN cand c USING (step_id) WHERE c.gt_idx = b.x.gt_idx AND c.pred_idx = b.x.pred_idx""",
+)
+def appearance_assignment(spark, d):
+    """An object's own detection is left out and both floors are set low, so that there is something to choose."""
+    some = verdicts.appearance_candidates(_with_feature(spark, d, False), _with_feature(spark, d, True), HEIGHT, WIDTH, 0.52, 0.1).filter("gt_idx <> pred_idx")
+    chosen = match.optimal_match(some.select("step_id", "gt_idx", "pred_idx", "weight")).drop("weight").join(some, ["step_id", "gt_idx", "pred_idx"])
+    rank = F.row_number().over(Window.partitionBy("step_id").orderBy(F.desc("similarity"), "gt_idx", "pred_idx"))
+    return chosen.select("step_id", "gt_idx", "pred_idx", r9("similarity").alias("similarity"), rank.alias("rank"))
+
+
+PROPOSED_SQL = f"SELECT step_id AS grp, step_id, g.idx AS gt_idx, p.idx AS pred_idx, round(coalesce(CASE WHEN (g.idx + p.idx) % 5 <> 0 THEN 1 - {CENTRE_SQL} END, 0.5::DOUBLE), 9) AS confidence, {CANON.format('g.label')} = {CANON.format('p.label')} AS compatible FROM x"
+
+
+@query(
+    "q134_gated_matches",
+    f"""{R}, {CROSS_SQL}, {greedy_sql(f"SELECT * FROM ({PROPOSED_SQL}) WHERE compatible AND confidence >= 0.8", 'confidence DESC, gt_idx, pred_idx')}, every AS ({PROPOSED_SQL})
+    SELECT e.step_id, e.gt_idx, e.pred_idx, e.confidence, CASE WHEN w.took THEN 'match' ELSE 'rejected' END AS status,
+      CASE WHEN w.took THEN NULL WHEN NOT e.compatible THEN 'label' WHEN e.confidence < 0.8 THEN 'confidence' ELSE 'one_to_one' END AS reason
+    FROM every e LEFT JOIN k ON k.grp = e.step_id AND k.gt_idx = e.gt_idx AND k.pred_idx = e.pred_idx LEFT JOIN walk w ON w.grp = k.grp AND w.n = k.n""",
+)
+def gated_matches(spark, d):
+    """All pairs of a step as a judge's proposals, with what becomes of each."""
+    o = objects(spark, d)
+    g = o.select("step_id", F.col("idx").alias("gt_idx"), F.col("label").alias("gl"), "gt")
+    p = o.select("step_id", F.col("idx").alias("pred_idx"), F.col("label").alias("pl"), "pred")
+    near = 1 - boxes.center_distance(F.col("gt"), F.col("pred"), HEIGHT, WIDTH)
+    told = F.when((F.col("gt_idx") + F.col("pred_idx")) % 5 != 0, F.round(near, 9))
+    all_ = g.join(p, "step_id").select("step_id", "gt_idx", "pred_idx", labels.compatible(F.col("gl"), F.col("pl")).alias("compatible"), told.alias("confidence"))
+    return match.gated_match(all_)
+
+
 def _best_sql(name: str, where: str) -> str:
     return f"""{name}1 AS (SELECT step_id, g.idx AS gt_idx, p.idx AS pred_idx, p.label AS label, {CANON.format('g.label')} = {CANON.format('p.label')} AS label_ok, {iou_sql('g.g', 'p.p')} AS iou,
       sqrt((g.gcx - p.pcx) * (g.gcx - p.pcx) + (g.gcy - p.pcy) * (g.gcy - p.pcy)) / {DIAG} AS centre FROM x WHERE NOT g.matched AND {where}),

@@ -1,10 +1,12 @@
 from itertools import permutations
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from stepfold.operators import match
+from stepfold.plans import registry  # noqa: F401, I001  (it loads the modules in order)
 from stepfold.plans import objects
 
 DIR = "/root/testdata/sf0.001"
@@ -122,3 +124,23 @@ def test_merge_recover_query(spark):
     rows = objects.merge_recover(spark, "/root/testdata/sf0.001").collect()
     assert {r["kind"] for r in rows} >= {"merged", "extra"} and all((r["gt_idx"] is not None) == (r["kind"] == "recovered") for r in rows)
     assert all(r["distance"] <= 0.35 and r["gt_idx"] != r["idx"] for r in rows if r["kind"] == "recovered")
+
+
+def test_policies_are_dispatched(spark):
+    from stepfold.operators import verdicts
+
+    box = "struct<x1:double,y1:double,x2:double,y2:double>"
+    truth = spark.createDataFrame([(1, 0, "chair", (0.0, 0.0, 10.0, 10.0), [1.0, 0.0]), (1, 1, "sofa", (50.0, 0.0, 60.0, 10.0), [0.0, 1.0]), (1, 2, "bed", (0.0, 50.0, 9.0, 60.0), None)], f"step_id bigint, gt_idx int, label string, box {box}, feature array<double>")
+    found = spark.createDataFrame([(1, 0, "chair", (0.0, 0.0, 10.0, 9.0), [0.0, 1.0]), (1, 1, "couch", (52.0, 0.0, 62.0, 10.0), [1.0, 0.01]), (1, 2, "bed", (0.0, 50.0, 9.0, 60.0), [0.0, 0.0])], f"step_id bigint, pred_idx int, label string, box {box}, feature array<double>")
+
+    def pairs(policy, **options):
+        return sorted((r["gt_idx"], r["pred_idx"]) for r in verdicts.match_by(policy, truth, found, 100, 100, **options).collect())
+
+    assert pairs("strict") == [(0, 0), (2, 2)] and pairs("verdict") == pairs("strict")
+    assert (1, 1) in pairs("relaxed") or pairs("relaxed") == pairs("strict")
+    # by appearance the two change places, if they may lie that far apart; what has no feature stays alone
+    assert pairs("assignment") == [] and pairs("assignment", reach=0.6) == [(0, 1), (1, 0)]
+    told = spark.createDataFrame([(1, 0, 1, True, 0.9), (1, 1, 1, True, 0.85), (1, 2, 2, False, 1.0)], "step_id bigint, gt_idx int, pred_idx int, compatible boolean, confidence double")
+    assert pairs("verdict", proposals=told) == [(0, 1)]
+    with pytest.raises(ValueError):
+        pairs("other")
