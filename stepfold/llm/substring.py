@@ -16,10 +16,11 @@ repeated, and every word it covers is removed.  The steps:
    from a window's end gives its matching statistic, up to the window's length,
    over places that hold at least two weights.  Windows that reach the length are
    the repeated ones; their intervals are reported.
-5. The segments of keys with over ``cap`` different ones are cut again by the
-   minimisers of another hash, and so are their pieces, until no key has more than
-   that: no shard grows with a hot passage.  What the pieces' shards report counts
-   for the segments.  Keys and passages with very many copies are salted in joins.
+5. A key with over ``cap`` different segments (the end of a passage that goes on in
+   very many ways) has no shard.  The windows of its segments are told apart by
+   128-bit digests, counted by weight in one aggregation, and those that count twice or more are
+   joined back: one round whatever the input, and no task holds such a key.  Keys,
+   windows and passages with very many copies are salted in joins.
 
 Sorting to the window's depth is enough: backward search uses only numbers of
 suffixes before an interval, and intervals of patterns up to that depth are
@@ -40,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import HOT_LEAST, HOT_SHARE, cut, hot_keys, lookup, salted_join, text_or_empty, word_blocks
@@ -101,7 +102,7 @@ def word_hashes(text: str) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, _U)
 
 
-def segments(h: np.ndarray, window: int, gram: int, seed: int = 0) -> tuple[np.ndarray, ...]:
+def segments(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
     """Key, digest, first word, end word and weight of each segment of a word sequence.
 
     The weight is 2 where the key occurs at several places of the segment, which may
@@ -111,7 +112,7 @@ def segments(h: np.ndarray, window: int, gram: int, seed: int = 0) -> tuple[np.n
     if len(h) < window:
         return tuple(np.empty(0, k) for k in (_U, _U, np.int64, np.int64, np.int64))
     sums, down = _ranges(h, _WORDS)
-    grams = _mix((sums[gram:] - sums[:-gram]) * down[: len(h) - gram + 1], seed)
+    grams = _mix((sums[gram:] - sums[:-gram]) * down[: len(h) - gram + 1])
     least, have = grams, 1
     while have < width:
         step = min(have, width - have)
@@ -329,45 +330,42 @@ def _hot(each: DataFrame, cap: int) -> DataFrame:
     return cut(each.groupBy("h").count().filter(F.col("count") > cap).select("h"))
 
 
-def _cut_again(hot: DataFrame, window: int, gram: int, seed: int) -> DataFrame:
-    """(ph, pd, s, h, d, weight, w, words): the pieces of different segments (h, d, weight, words) by another hash."""
+def _windows(hot: DataFrame, window: int) -> DataFrame:
+    """(h, d, at, weight, x1, x2): every window of different segments (h, d, weight, words) with its digests."""
+
+    def digests(h: np.ndarray, mixed: int) -> np.ndarray:
+        sums, down = _ranges(_mix(h, mixed), _WORDS)
+        return _mix((sums[window:] - sums[:-window]) * down[: len(h) - window + 1], mixed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, rows_at_once = ["h", "d", "at", "weight", "x1", "x2"], 1 << 17
         with np.errstate(over="ignore"):
             for b in batches:
-                out = []
+                held, n = [], 0
                 for h, d, weight, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     own = np.frombuffer(words, _U)
-                    key, digest, s, e, w = segments(own, window, gram, seed)
-                    key = _mix(key ^ _U(h % (1 << 64)), seed)
-                    pieces = zip(key.view(np.int64).tolist(), digest.view(np.int64).tolist(), s.tolist(), e.tolist(), w.tolist(), strict=True)
-                    out += [(h, d, i, k, x, weight, n, own[i:j].tobytes()) for k, x, i, j, n in pieces]
-                kinds = [pa.int64()] * 7 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds], ["ph", "pd", "s", "h", "d", "weight", "w", "words"])
-
-    return hot.select("h", "d", "weight", "words").mapInArrow(run, "ph bigint, pd bigint, s bigint, h bigint, d bigint, weight bigint, w bigint, words binary")
-
-
-def _resolved(hot: DataFrame, window: int, gram: int, cap: int, shard_words: int, seed: int) -> DataFrame:
-    """(h, d, s, e) of the segments (h, d, weight, words) of keys over ``cap``, through their pieces.
-
-    Different windows of one key share a piece's key too with a chance below 3/4 each
-    time, so a few rounds suffice.
-    """
-    pieces = cut(_cut_again(hot, window, gram, seed))
-    each = pieces.groupBy("h", "d").agg(F.sum("weight").alias("weight"), F.count("*").alias("places"), F.first("words").alias("words"))
-    keys = pieces.groupBy("h").agg(F.sum(F.col("weight") * F.col("w")).alias("n")).filter("n > 1").select("h")
-    each = cut(each.join(keys, "h", "left_semi"))
-    over = _hot(each, cap)
-    if over.isEmpty():
-        found = _search(each, window, shard_words)
-    else:
-        again = _resolved(cut(each.join(over, "h", "left_semi")), window, gram, cap, shard_words, seed + 1)
-        found = _search(each.join(over, "h", "left_anti"), window, shard_words).unionByName(again)
-    table = cut(found.groupBy("h", "d").agg(F.collect_set(F.struct("s", "e")).alias("spans")).join(each.select("h", "d", "places"), ["h", "d"]))
-    at = lookup(pieces.select("ph", "pd", F.col("s").alias("at"), "h", "d"), table, ["h", "d"], "places", pieces.count(), ["ph", "pd", "at"])
-    at = at.select(F.col("ph").alias("h"), F.col("pd").alias("d"), "at", F.explode("spans").alias("x"))
-    return at.select("h", "d", (F.col("at") + F.col("x.s")).alias("s"), (F.col("at") + F.col("x.e")).alias("e"))
+                    k = len(own) - window + 1
+                    held.append((np.full(k, h), np.full(k, d), np.arange(k), np.full(k, weight), digests(own, 0x1234567), digests(own, 0x89ABCDE)))
+                    n += k
+                    if n >= rows_at_once:
+                        yield pa.RecordBatch.from_arrays([_signed(np.concatenate(c)) for c in zip(*held, strict=True)], names)
+                        held, n = [], 0
+                if held:
+                    yield pa.RecordBatch.from_arrays([_signed(np.concatenate(c)) for c in zip(*held, strict=True)], names)
+
+    return hot.select("h", "d", "weight", "words").mapInArrow(run, "h bigint, d bigint, at bigint, weight bigint, x1 bigint, x2 bigint")
+
+
+def _by_windows(hot: DataFrame, window: int) -> DataFrame:
+    """(h, d, s, e): the repeated intervals of the segments (h, d, weight, words) of keys over ``cap``."""
+    each = _windows(hot, window)
+    counts = cut(each.groupBy("x1", "x2").agg(F.sum("weight").alias("n"), F.count("*").alias("places")).filter("n > 1").drop("n"))
+    total = counts.agg(F.sum("places")).first()[0] or 0
+    again = lookup(each, counts, ["x1", "x2"], "places", total, ["h", "d", "at"], "left_semi")
+    # neighbouring windows are one interval
+    island = F.col("at") - F.row_number().over(Window.partitionBy("h", "d").orderBy("at"))
+    runs = again.select("h", "d", "at", island.alias("island")).groupBy("h", "d", "island")
+    return runs.agg(F.min("at").alias("s"), (F.max("at") + window).alias("e")).drop("island")
 
 
 def _identified(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -387,7 +385,7 @@ def repeated_spans(rows: DataFrame, window: int = 35, gram: int = 9, cap: int =
     else:
         each = cut(each)
         hot = cut(_fetch(rows, each.join(over, "h", "left_semi")).dropDuplicates(["h", "d"]))
-        found = _search(_fetch(rows, each.join(over, "h", "left_anti")), window, shard_words).unionByName(_resolved(hot, window, gram, cap, shard_words, 1))
+        found = _search(_fetch(rows, each.join(over, "h", "left_anti")), window, shard_words).unionByName(_by_windows(hot, window))
     found = found.groupBy("h", "d").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     # what is found isn't computed before the last join, so that both read one exchange of the texts
     total = segs.count()

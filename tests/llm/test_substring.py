@@ -53,10 +53,22 @@ def test_planted_passages(spark):
     assert sum(r[2] for r in check(made(spark))) > 1000
 
 
-def test_hot_keys_are_cut_again(spark):
+def test_hot_keys_go_by_windows(spark):
     check(made(spark, 1), cap=3, shard_words=500)
 
 
+def test_many_continuations_take_one_round(spark, monkeypatch):
+    """A passage that goes on in more ways than a key may have segments: one pass over windows, whatever the number."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"h{i} i{i} {passage} " + " ".join(f"c{i}x{k}" for k in range(30))) for i in range(60)]
+    calls = []
+    whole = substring._by_windows
+    monkeypatch.setattr(substring, "_by_windows", lambda *a: calls.append(a) or whole(*a))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert all(r[2] == 60 for r in check(df, cap=20))
+    assert len(calls) == 1
+
+
 def test_short_windows(spark):
     check(made(spark, 2), window=12, gram=5)
 
