@@ -12,6 +12,11 @@ def values(spark, rows, schema, column):
 def test_labels(spark):
     raw = [("The  Coffee_Table",), ('"a sofa"',), ("wall",), (None,), ("TV/monitor",), ("an-apple!",), (" / desk",)]
     assert values(spark, raw, "x string", labels.normalise(F.col("x"))) == ["coffee table", "sofa", "", "", "tv", "an apple", "desk"]
+    more = {
+        "a": "a", "the": "the", "the ": "the", '"the "': "", "a_lamp": "a lamp", "a  lamp": "lamp", "an the lamp": "the lamp", "'`\"Lamp\"`'": "lamp", "o'neil's rug": "oneils rug", "red . rug": "red  rug",
+        "//": "", "/ /rug/mat": "rug", "!/rug": "rug", "rug / mat": "rug", "Éclair 2": "clair 2", "\tthe\trug\n": "rug", "' rug": "rug", "Walls": "", "the walls": "", "wall-": "", "12": "12", "--": "", "a/b": "a", "sofa_bed/x": "sofa bed",
+    }
+    assert values(spark, [(k,) for k in more], "x string", labels.normalise(F.col("x"))) == list(more.values())
     pairs = [("sofa", "bed"), ("chair", "table"), ("", "chair"), ("desk", "countertop"), ("lamp", "lamp")]
     assert values(spark, pairs, "a string, b string", labels.compatible(F.col("a"), F.col("b"))) == [True, False, True, True, True]
     assert values(spark, [(["a cup", "cup", "wall", None, "Mug"],)], "x array<string>", labels.distinct_labels(F.col("x"), 5)) == [["cup", "mug"]]
