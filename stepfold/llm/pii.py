@@ -133,13 +133,12 @@ def _terms(text: Column, shortest: int) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(free, F.lit(_term(shortest)), F.lit(0)), lambda m: F.lower(m)))
 
 
-def _term_spans(text: Column, terms: Column, shortest: int) -> Column:
-    """Array of (kind, start, end) of every occurrence of one of the terms outside e-mail addresses."""
+def _word_spans(text: Column, shortest: int) -> Column:
+    """Array of (term, start, end) of every word outside e-mail addresses that may be a term."""
     both = F.struct(F.split(text, PATTERNS["email"], -1).alias("p"), F.regexp_extract_all(text, F.lit(PATTERNS["email"]), F.lit(0)).alias("m"))
 
     def words(part, at):
-        said = F.filter(_located(part, _term(shortest)), lambda w: F.array_contains(terms, F.lower(w["m"])))
-        return F.transform(said, lambda w: F.struct(F.lit("term").alias("kind"), (at + w["start"]).alias("start"), (at + w["start"] + F.length(w["m"])).alias("end")))
+        return F.transform(_located(part, _term(shortest)), lambda w: F.struct(F.lower(w["m"]).alias("term"), (at + w["start"]).alias("start"), (at + w["start"] + F.length(w["m"])).alias("end")))
 
     def pieces(x):
         ends = _sums(F.zip_with(x["p"], x["m"], lambda p, m: F.length(p) + F.coalesce(F.length(m), F.lit(0))))
@@ -232,9 +231,12 @@ def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     told = cut(disclosing_terms(documents, rows, seen, text_col, support=support, shortest=shortest, **options).select("entity", "term", "n_both"))
     total = told.agg(F.sum("n_both")).first()[0] or 0
     hit = lookup(_pairs(seen, support, shortest), told, ["entity", "term"], "n_both", total, ["k1"], "left_semi")
-    said = hit.groupBy("k1", "k2").agg(F.collect_set("term").alias("said"))
-    terms = F.array_sort(_term_spans(F.col("text"), F.col("said"), shortest))
-    spans = cut(seen.join(said, ["k1", "k2"]).select("k1", "k2", terms.alias("terms"), "copies"))
+    # the words of texts with a disclosing term meet the text's terms by key, however many there are of either
+    said = cut(hit.select("k1", "k2", "term").distinct())
+    words = seen.join(said.select("k1", "k2").distinct(), ["k1", "k2"]).select("k1", "k2", F.inline(_word_spans(F.col("text"), shortest)))
+    each = F.array_sort(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end")))
+    terms = words.join(said, ["k1", "k2", "term"]).groupBy("k1", "k2").agg(each.alias("terms"))
+    spans = cut(terms.join(seen.select("k1", "k2", "copies"), ["k1", "k2"]))
     none = F.array().cast(_SPANS)
     rows = rows.drop("entities")
     free = rows.filter("text IS NULL").select("doc_id", "k1", "k2", "base", none.alias("terms"))
