@@ -185,3 +185,29 @@ def test_radix_plan_has_no_window_and_no_sort_of_values(spark):
     ranks = keys.groupBy("column").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).selectExpr("*", "0.5D AS p", "499.5D AS at", "499L AS rank", "499L AS wanted")
     plan = _narrowed(keys, ranks, ["column"])._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Percentile" not in plan
+
+
+def test_radix_passes_are_few_and_move_no_key(spark, monkeypatch):
+    """Numbers of all sizes and signs, in groups and without: three passes, four at most, each of which counts keys where they are read."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from stepfold.operators import order
+
+    rng = random.Random(9)
+    rows = [(k % 3, rng.gauss(0, 1) * 10.0 ** rng.randint(-9, 9), rng.random()) for k in range(100_000)]
+    df = spark.createDataFrame(rows, "g int, a double, b double").repartition(4)
+    for by in ([], ["g"]):
+        seen = []
+        monkeypatch.setattr(order, "cut", lambda frame, keep=order.cut: seen.append(frame) or keep(frame))
+        found = order.radix_quantiles(df, ["a", "b"], [0.05, 0.5], by).count()
+        monkeypatch.undo()
+        assert found == (12 if by else 4)
+        assert len(seen) <= 4
+        for frame in seen[1:]:
+            plan = frame._jdf.queryExecution().optimizedPlan().toString()
+            assert "strategy=broadcast" in plan
+    few = df.groupBy("g").agg(*(F.percentile(c, F.lit(p)).alias(f"{c}{p}") for c in ("a", "b") for p in (0.05, 0.5))).collect()
+    want = {(r["g"], c, p): r[f"{c}{p}"] for r in few for c in ("a", "b") for p in (0.05, 0.5)}
+    assert {(r["g"], r["column"], r["p"]): r["quantile"] for r in order.radix_quantiles(df, ["a", "b"], [0.05, 0.5], ["g"]).collect()} == want
