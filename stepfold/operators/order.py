@@ -81,7 +81,8 @@ def _keys(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     return each.select(*by, "column", _pattern(F.col("x"), F.col("a"), F.col("e")).alias("key"))
 
 
-_BIN = (F.count("*").alias("n"), F.min("key").alias("first"), F.max("key").alias("last"))
+def _bin() -> list[Column]:
+    return [F.count("*").alias("n"), F.min("key").alias("first"), F.max("key").alias("last")]
 
 
 def _bins() -> Column:
@@ -104,7 +105,7 @@ _NEW = (("rank", "rest"), ("lo", "first"), ("hi", "last"), ("inside", "inside"))
 
 def _first(keys: DataFrame, names: list[str], ps: list[float]) -> DataFrame:
     """The wanted ranks (names, p, at, wanted) with their first intervals (lo, hi, inside) and ``rank`` counted from the start of them."""
-    counts = keys.groupBy(*names, F.shiftright("key", 48).alias("digit")).agg(*_BIN)
+    counts = keys.groupBy(*names, F.shiftright("key", 48).alias("digit")).agg(*_bin())
     bins = counts.groupBy(*names).agg(F.sum("n").alias("n"), _bins())
     at = ((F.col("n") - 1) * F.col("p")).alias("at")
     ranks = bins.withColumn("p", F.explode(F.array(*(F.lit(float(p)) for p in ps)))).select(*names, "p", at, "bins")
@@ -123,7 +124,7 @@ def _narrowed(keys: DataFrame, ranks: DataFrame, names: list[str], n_open: int =
     within = F.coalesce(F.col("k.key").between(F.col("o.lo"), F.col("o.hi")), F.lit(False))
     inside = keys.alias("k").join(open_.alias("o"), _same("k", "o", names) & within)
     digit = F.expr("shiftright(k.key, o.shift)").alias("digit")
-    counts = inside.select(*(F.col(f"k.{n}") for n in names), "o.lo", "o.hi", digit, "k.key").groupBy(*names, "lo", "hi", "digit").agg(*_BIN)
+    counts = inside.select(*(F.col(f"k.{n}") for n in names), "o.lo", "o.hi", digit, "k.key").groupBy(*names, "lo", "hi", "digit").agg(*_bin())
     bins = counts.groupBy(*names, "lo", "hi").agg(_bins())
     both = ranks.alias("r").join(bins.alias("b"), _same("r", "b", [*names, "lo", "hi"]), "left").select("r.*", "b.bins").withColumn("s", _digit())
     done = F.col("bins").isNull()
