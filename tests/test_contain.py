@@ -39,3 +39,17 @@ def test_no_common_run_becomes_a_key(spark, only_common):
     assert most <= (total / 4096 if not only_common else 6000 / contain.SALTS * 2)
     assert right.count() == (contain.SALTS if only_common else 1)
     assert sorted(map(tuple, contain.contained(a, b).collect())) == [(17, 0)]
+
+
+def test_texts_send_only_keys_that_items_ask_for(spark, monkeypatch):
+    """Keys of other slots are dropped where texts are read; texts longer than a piece, of several bytes a character and without words keep theirs."""
+    rng = random.Random(5)
+    texts = [(i, " ".join(f"é{rng.randrange(10**6)}" for _ in range(rng.choice([0, 1, 5, 40, 900])))) for i in range(400)] + [(900, ""), (901, "ü" * 3000), (902, "  ")]
+    items = [(i, " ".join(texts[i][1].split(" ")[:9])) for i in range(0, 400, 50)] + [(1000, "üü"), (1001, "é1 é"), (1002, "")]
+    a, b = frames(spark, texts, items)
+    monkeypatch.setattr(contain, "_PIECE", 200)
+    kinds = [("words", 5)]
+    every, asked = contain.text_keys(a, kinds), contain.text_keys(a, kinds, contain.asked_slots(contain.item_keys(b)))
+    assert asked.count() < every.count() / 100 and asked.count() >= 1
+    assert every.count() == every.distinct().count() == len({(d, *t.split(" ")[i : i + 5]) for d, t in texts for i in range(len(t.split(" ")) - 4)})
+    assert sorted(map(tuple, contain.contained(a, b).collect())) == plain(texts, items)
