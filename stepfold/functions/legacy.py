@@ -6,6 +6,7 @@ A case document is a VARIANT column; a path that is missing or of another kind g
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -43,10 +44,16 @@ def text_at(doc: Column, path: str) -> Column:
     return F.try_variant_get(doc, path, "string")
 
 
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def strings_at(doc: Column, path: str) -> Column:
     """The strings at a path as an array: a list's members, or a single value."""
     many = F.try_variant_get(doc, path, "array<string>")
-    return F.coalesce(many, F.when(text_at(doc, path).isNotNull(), F.array(text_at(doc, path))), _none())
+    one = _once(text_at(doc, path), lambda t: F.when(t.isNotNull(), F.array(t)))
+    return F.coalesce(many, one, _none())
 
 
 def members_at(doc: Column, path: str, names: list[str]) -> Column:
@@ -71,20 +78,22 @@ def step_labels(target: Column, records: Column, place: Column, step: Column, mo
     ``place`` the step's position (from 0) and ``step`` its number.
     """
 
-    def labels_of(v: Column) -> Column:
+    def given(v: Column) -> Column:
+        # a lambda's variable is worked out once, however often it is named
         first = strings_at(v, "$.detector_prompt_labels")
-        return distinct_labels(F.when(F.size(first) > 0, first).otherwise(strings_at(v, "$.object_labels")), most)
+        return _once(first, lambda f: F.when(F.size(f) > 0, f).otherwise(strings_at(v, "$.object_labels")))
 
     def number(r: Column) -> Column:
         return F.try_variant_get(r, "$.step", "int")
 
-    here = F.get(records, place)
-    exact = F.when(F.coalesce(number(here), step) == step, here)
-    exact = F.coalesce(exact, F.get(F.filter(records, lambda r: number(r) == step), F.lit(0)))
-    noted = F.coalesce(F.try_variant_get(exact, "$.qwen3vl_gt_object_labels", "variant"), exact)
-    own = labels_of(F.try_variant_get(target, "$.qwen3vl_gt_object_labels", "variant"))
-    other = F.coalesce(labels_of(noted), _none())
-    return F.when(F.coalesce(F.size(own), F.lit(0)) > 0, own).otherwise(other)
+    def of_record(records: Column) -> Column:
+        here = F.get(records, place)
+        exact = F.when(F.coalesce(number(here), step) == step, here)
+        exact = F.coalesce(exact, F.get(F.filter(records, lambda r: number(r) == step), F.lit(0)))
+        return _once(exact, lambda e: distinct_labels(_once(F.coalesce(F.try_variant_get(e, "$.qwen3vl_gt_object_labels", "variant"), e), given), most))
+
+    own = distinct_labels(_once(F.try_variant_get(target, "$.qwen3vl_gt_object_labels", "variant"), given), most)
+    return _once(own, lambda o: F.when(F.coalesce(F.size(o), F.lit(0)) > 0, o).otherwise(F.coalesce(_once(records, of_record), _none())))
 
 
 def frame_path(frame: Column) -> Column:

@@ -211,3 +211,25 @@ def test_radix_passes_are_few_and_move_no_key(spark, monkeypatch):
     few = df.groupBy("g").agg(*(F.percentile(c, F.lit(p)).alias(f"{c}{p}") for c in ("a", "b") for p in (0.05, 0.5))).collect()
     want = {(r["g"], c, p): r[f"{c}{p}"] for r in few for c in ("a", "b") for p in (0.05, 0.5)}
     assert {(r["g"], r["column"], r["p"]): r["quantile"] for r in order.radix_quantiles(df, ["a", "b"], [0.05, 0.5], ["g"]).collect()} == want
+
+
+def test_step_labels_read_each_place_once(spark):
+    """Values that are named often are bound once: the size of the expression is what a row costs."""
+    from pyspark.sql import functions as F
+
+    from stepfold.functions import legacy
+
+    docs = [
+        (1, '{"target": {"qwen3vl_gt_object_labels": {"detector_prompt_labels": "Mug", "object_labels": ["b"]}}, "records": []}', "mug"),
+        (2, '{"target": {"qwen3vl_gt_object_labels": {"object_labels": ["wall"]}}, "records": [{"step": 2, "object_labels": ["a"]}, {"step": 1, "object_labels": ["c", "The C", "d"]}]}', "c,d"),
+        (3, '{"target": null, "records": [{"object_labels": ["e"]}, {"step": 1, "object_labels": ["f"]}]}', "e"),
+        (4, '{"target": {"qwen3vl_gt_object_labels": {"object_labels": ["g"]}}}', "g"),
+        (5, '{"records": [{"step": 3, "object_labels": ["h"]}]}', ""),
+        (6, "{}", ""),
+    ]
+    doc = F.parse_json("doc")
+    found = legacy.step_labels(F.try_variant_get(doc, "$.target", "variant"), F.try_variant_get(doc, "$.records", "array<variant>"), F.lit(0), F.lit(1))
+    df = spark.createDataFrame(docs, "id int, doc string, want string").withColumn("got", F.array_join(found, ","))
+    assert [r["got"] for r in df.orderBy("id").collect()] == [d[2] for d in docs]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("parseJson") <= 4
