@@ -214,6 +214,5 @@ def edge_overlap(spark, d):
     """Edges of each image and its successor, by components of runs, and how far they lie together."""
     found = cut(outlines.edges(_pixels(spark, d).select("id", "x", "y", F.col("v").alias("value")), (SIDE, SIDE)))
     ids, after = table(spark, d, "embeddings").select(F.col("vec_id").alias("id")), _before(found)
-    n = found.select("id").union(after.select("id")).groupBy("id").agg(F.count("*").alias("n"))
-    each = outlines.edge_overlap(ids, found, after, (SIDE, SIDE)).join(n, "id", "left")
-    return each.select(F.col("id").alias("vec_id"), F.coalesce("n", F.lit(0)).alias("n_edges"), r9("overlap").alias("overlap"))
+    each = outlines.edge_overlap(ids, found, after, (SIDE, SIDE))
+    return each.select(F.col("id").alias("vec_id"), F.col("n").alias("n_edges"), r9("overlap").alias("overlap"))
